@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from meshloom.llm import packing
+from meshloom.llm import mixing, packing
 from meshloom.llm.common import documents
 
 
 def queries() -> dict:
     return {
+        "op2_mix_sources": lambda spark, sf_dir: mixing.op2(documents(spark, sf_dir)),
         "op5_best_fit_packing": lambda spark, sf_dir: packing.op5(documents(spark, sf_dir)),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op2_mix_sources": mixing.ORACLE,
+    }
