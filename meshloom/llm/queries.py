@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from meshloom.llm import mixing, packing, quality
+from meshloom.llm import mixing, neardup, packing, quality
 from meshloom.llm.common import documents
 
 
@@ -11,10 +11,12 @@ def queries() -> dict:
         "op2_mix_sources": lambda spark, sf_dir: mixing.op2(documents(spark, sf_dir)),
         "op5_best_fit_packing": lambda spark, sf_dir: packing.op5(documents(spark, sf_dir)),
         "op8_quality_rules": lambda spark, sf_dir: quality.op8(documents(spark, sf_dir)),
+        "op9_near_duplicates": lambda spark, sf_dir: neardup.op9(documents(spark, sf_dir)),
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_mix_sources": mixing.ORACLE,
+        "op9_near_duplicates": neardup.ORACLE,
     }
