@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from meshloom.llm import mixing, neardup, packing, quality
+from meshloom.llm import langid, mixing, neardup, packing, quality
 from meshloom.llm.common import documents
 
 
 def queries() -> dict:
     return {
+        "op1_language_id": lambda spark, sf_dir: langid.op1(documents(spark, sf_dir)),
         "op2_mix_sources": lambda spark, sf_dir: mixing.op2(documents(spark, sf_dir)),
         "op5_best_fit_packing": lambda spark, sf_dir: packing.op5(documents(spark, sf_dir)),
         "op8_quality_rules": lambda spark, sf_dir: quality.op8(documents(spark, sf_dir)),
