@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from meshloom.llm import langid, mixing, neardup, packing, quality
+from meshloom.llm import langid, mixing, neardup, packing, quality, topk
 from meshloom.llm.common import documents
 
 
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op5_best_fit_packing": lambda spark, sf_dir: packing.op5(documents(spark, sf_dir)),
         "op8_quality_rules": lambda spark, sf_dir: quality.op8(documents(spark, sf_dir)),
         "op9_near_duplicates": lambda spark, sf_dir: neardup.op9(documents(spark, sf_dir)),
+        "op10_exact_top_k": lambda spark, sf_dir: topk.op10(spark.read.parquet(f"{sf_dir}/embeddings.parquet")),
     }
 
 
@@ -20,4 +21,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op2_mix_sources": mixing.ORACLE,
         "op9_near_duplicates": neardup.ORACLE,
+        "op10_exact_top_k": topk.ORACLE,
     }
