@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from meshloom.llm import langid, mixing, neardup, packing, quality, topk
+from meshloom.llm import langid, mixing, neardup, packing, quality, tokenbin, topk
 from meshloom.llm.common import documents
 
 
@@ -10,6 +10,7 @@ def queries() -> dict:
     return {
         "op1_language_id": lambda spark, sf_dir: langid.op1(documents(spark, sf_dir)),
         "op2_mix_sources": lambda spark, sf_dir: mixing.op2(documents(spark, sf_dir)),
+        "op4_token_binary": lambda spark, sf_dir: tokenbin.op4(spark, documents(spark, sf_dir)),
         "op5_best_fit_packing": lambda spark, sf_dir: packing.op5(documents(spark, sf_dir)),
         "op8_quality_rules": lambda spark, sf_dir: quality.op8(documents(spark, sf_dir)),
         "op9_near_duplicates": lambda spark, sf_dir: neardup.op9(documents(spark, sf_dir)),
