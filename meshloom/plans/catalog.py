@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from meshloom.plans import mesh
+
+PARTS = (mesh,)
+
 
 def queries() -> dict:
-    return {}
+    return {name: query for part in PARTS for name, query in part.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for part in PARTS for name, sql in part.SQL.items()}
