@@ -10,12 +10,16 @@ from collections.abc import Iterable, Iterator
 #: The tokenizer in production; a parameter of every operator that encodes.
 WORD_BPE = "word_bpe_49k.json"
 #: Words that a worker remembers; beyond that it starts anew.
-CACHED_WORDS = 600_000
+CACHED_WORDS = 800_000
 #: Longer words are not remembered.
 LONG_WORD = 64
-#: A full stop or comma between an ASCII letter and white space is a piece of its own for the tokenizer.
-STOP = re.compile(r"(?<=[A-Za-z])([.,])(?=[\x20\x09-\x0D]|\Z)")
+#: Punctuation between a letter and white space is a piece of its own for the tokenizer.
+STOP = re.compile("(?<=[A-Za-zÀ-ÖØ-öø-ÿ])([!-&(-/:-@\\[-`{-~]+)(?=[\\x20\\x09-\\x0D]|\\Z)")
+#: What str.split takes for white space and the tokenizer doesn't.
+ODD = re.compile("[\\x1c-\\x1f]")
 SPLIT = re.compile(r"[^\x20\x09-\x0D]+")
+#: A text with this may hold a special token, which must be found as it stands.
+SPECIAL = "<|"
 
 
 def default_path() -> str:
@@ -24,11 +28,24 @@ def default_path() -> str:
     return public_tokenizers.path(WORD_BPE)
 
 
+def split_words(text: str) -> list[str]:
+    """Parts of a text whose ids in turn are the text's."""
+    if SPECIAL in text:
+        return SPLIT.findall(text)
+    try:
+        text.encode("latin-1")
+        text = text.lower()  # as the tokenizer does; one letter for one in this range
+    except UnicodeEncodeError:
+        pass
+    text = STOP.sub(r" \1", text)
+    return SPLIT.findall(text) if ODD.search(text) else text.split()
+
+
 class WordEncoder:
     """Encodes text word by word, each distinct word once.
 
-    Right for tokenizers that drop white space and let no piece span it, as the default one does: the ids of a text are then
-    those of its words in turn. `check` compares both ways on given texts.
+    Right for tokenizers that lower-case, drop white space and let no piece span it or join letters with punctuation that ends a
+    word, as the default one does: the ids of a text are then those of its parts in turn. `check` compares both ways.
     """
 
     _made: dict[str, WordEncoder] = {}
@@ -38,6 +55,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.cache: dict[str, bytes] = {}
 
     @classmethod
@@ -59,13 +77,19 @@ class WordEncoder:
             start = end
 
     def _encode(self, texts: list[str]) -> Iterable[bytes]:
-        words = [SPLIT.findall(STOP.sub(r" \1", x)) for x in texts]
+        words = [split_words(x) for x in texts]
         if len(self.cache) > CACHED_WORDS:
             self.cache.clear()
         new = list(set().union(*words).difference(self.cache))
         for i in range(0, len(new), 20_000):
             part = new[i : i + 20_000]
-            for word, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+            rest = []
+            for word in part:
+                if word.isascii() and word.isalpha() and word.islower():  # one piece, which no normalizer changes
+                    self.cache[word] = array("I", [x.id for x in self.model.tokenize(word)]).tobytes()
+                else:
+                    rest.append(word)
+            for word, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
                 self.cache[word] = array("I", e.ids).tobytes()
         out = [b"".join(map(self.cache.__getitem__, x)) for x in words]
         for word in new:
