@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from meshloom.plans import mesh
+from meshloom.plans import mesh, stats
 
-PARTS = (mesh,)
+PARTS = (mesh, stats)
 
 
 def queries() -> dict:
