@@ -61,8 +61,8 @@ def mean(points: list[Vector]) -> Vector:
 
 
 def angle(a: Vector, b: Vector) -> Column:
-    """Degrees between two vectors."""
-    c = dot(a, b) / (norm(a) * norm(b))
+    """Degrees between two vectors, null if one has no length."""
+    c = F.try_divide(dot(a, b), norm(a) * norm(b))
     return F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), c))))
 
 

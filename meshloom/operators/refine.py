@@ -64,10 +64,11 @@ def rotations() -> list[tuple[int, ...]]:
 def canonical_patterns(masks: DataFrame) -> DataFrame:
     """masks (pattern: string of 8 bits) with canonical, the rotation whose marked corners come first.
 
-    Corners count by the sum of the squares of their places, ties go to the larger string.
+    Corners count by the sum of the squares of their places; the first corner must be marked if any is.
     """
     turned = F.array(*[F.concat(*[F.substring("pattern", p[i] + 1, 1) for i in range(8)]) for p in rotations()])
-    scored = F.transform(turned, lambda s: F.struct((-pattern_score(s)).alias("s"), s.alias("p")))
+    first = F.filter(turned, lambda s: s.startswith("1") | (s == "00000000"))
+    scored = F.transform(first, lambda s: F.struct((-pattern_score(s)).alias("s"), s.alias("p")))
     return masks.withColumn("canonical", F.array_max(scored)["p"])
 
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from meshloom.plans import mesh, stats
+from meshloom.plans import mesh, stats, surfaces
 
-PARTS = (mesh, stats)
+PARTS = (mesh, stats, surfaces)
 
 
 def queries() -> dict:

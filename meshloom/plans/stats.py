@@ -94,7 +94,7 @@ def _canonical_sql(source: str) -> str:
     turned = " || ".join(f"pattern[p{i}]" for i in range(1, 9))
     score = " + ".join(f"(t[{i}] = '1')::INTEGER * {i * i}" for i in range(1, 9))
     return f"""{_rotations_sql()}, s AS ({source}), u AS (SELECT s.id, s.pattern, {turned} AS t FROM s, r),
-      k AS (SELECT id, pattern, first(t ORDER BY {score}, t DESC) AS canonical FROM u GROUP BY id, pattern)"""
+      k AS (SELECT id, pattern, first(t ORDER BY {score}, t DESC) AS canonical FROM u WHERE t[1] = '1' OR pattern = '00000000' GROUP BY id, pattern)"""
 
 
 SQL = {
