@@ -37,7 +37,7 @@ def measures(faces: DataFrame) -> DataFrame:
     n, m = V.unit(V.triangle_normal(a, b, c)), V.mean([a, b, c])
     edges, angles = V.edge_lengths(a, b, c), V.interior_angles(a, b, c)
     named = {f"n_{k}": x for k, x in zip("xyz", n, strict=True)} | {f"m_{k}": x for k, x in zip("xyz", m, strict=True)}
-    named |= {"area": V.triangle_area(a, b, c), "aspect": V.aspect_ratio(a, b, c), "least_edge": F.least(*edges), "most_edge": F.greatest(*edges), "least_angle": F.least(*angles)}
+    named |= {"area": V.triangle_area(a, b, c), "aspect": V.aspect_ratio(a, b, c), "least_edge": F.least(*edges), "most_edge": F.greatest(*edges), "least_angle": F.when(V.triangle_area(a, b, c) > 0, F.least(*angles))}
     return faces.withColumns(named)
 
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from meshloom.plans import mesh, stats, surfaces
+from meshloom.plans import mesh, stats, surfaces, texts
 
-PARTS = (mesh, stats, surfaces)
+PARTS = (mesh, stats, surfaces, texts)
 
 
 def queries() -> dict:

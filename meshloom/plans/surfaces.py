@@ -162,7 +162,7 @@ _M = """t AS (SELECT *, sqrt((bx-ax)**2+(by_-ay)**2+(bz-az)**2) AS ab, sqrt((cx-
   (by_-ay)*(cz-az)-(bz-az)*(cy-ay) AS nx, (bz-az)*(cx-ax)-(bx-ax)*(cz-az) AS ny, (bx-ax)*(cy-ay)-(by_-ay)*(cx-ax) AS nz FROM t1),
 m AS (SELECT *, sqrt(nx*nx+ny*ny+nz*nz) / 2 AS area FROM t),
 an AS (SELECT *, CASE WHEN area > 0 THEN greatest(ab, bc, ca)**2 / (2 * area) END AS aspect,
-  CASE WHEN ab > 0 AND bc > 0 AND ca > 0 THEN degrees(least(acos(greatest(-1, least(1, (ab*ab+ca*ca-bc*bc)/(2*ab*ca)))), acos(greatest(-1, least(1, (ab*ab+bc*bc-ca*ca)/(2*ab*bc)))), acos(greatest(-1, least(1, (ca*ca+bc*bc-ab*ab)/(2*ca*bc)))))) END AS least_angle FROM m)"""
+  CASE WHEN area > 0 THEN degrees(least(acos(greatest(-1, least(1, (ab*ab+ca*ca-bc*bc)/(2*ab*ca)))), acos(greatest(-1, least(1, (ab*ab+bc*bc-ca*ca)/(2*ab*bc)))), acos(greatest(-1, least(1, (ca*ca+bc*bc-ab*ab)/(2*ca*bc)))))) END AS least_angle FROM m)"""
 
 
 def _boxes(first: int, name: str) -> str:
