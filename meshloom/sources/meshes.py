@@ -40,9 +40,9 @@ def read_tri(spark: SparkSession, path: str) -> tuple[dict[str, int], DataFrame,
         rows = text.where((F.col("n") > tags[name]) & (F.col("n") <= tags[name] + n))
         return rows.select((F.col("n") - tags[name]).alias("id"), fields().alias("f"))
 
-    xyz = section("DCORVG", head["nvt"]).select(F.col("id").alias("vid"), *[F.col("f")[i].cast("double").alias(c) for i, c in enumerate("xyz")])
-    knpr = section("KNPR", head["nvt"]).select(F.col("id").alias("vid"), F.col("f")[0].cast("int").alias("knpr"))
-    cells = section("KVERT", head["nel"]).select(F.col("id").alias("cid"), F.transform("f", lambda v: v.cast("long")).alias("kvert"))
+    xyz = section("DCORVG", head["nvt"]).select(F.col("id").alias("vid"), *[F.col("f")[i].try_cast("double").alias(c) for i, c in enumerate("xyz")])
+    knpr = section("KNPR", head["nvt"]).select(F.col("id").alias("vid"), F.col("f")[0].try_cast("int").alias("knpr"))
+    cells = section("KVERT", head["nel"]).select(F.col("id").alias("cid"), F.transform("f", lambda v: v.try_cast("long")).alias("kvert"))
     return head, xyz.join(knpr, "vid"), cells
 
 
@@ -62,8 +62,8 @@ def read_off(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     from meshloom.operators.topology import dense_ids
 
     rows = dense_ids(body, ["n"], "k", 0).select("k", fields().alias("f"))
-    sv = rows.where(F.col("k") < nv).select(F.col("k").alias("vid"), *[F.col("f")[i].cast("double").alias(c) for i, c in enumerate("xyz")])
-    polygons = rows.where((F.col("k") >= nv) & (F.col("k") < nv + nf)).select(F.col("k").alias("p"), F.transform(F.slice("f", F.lit(2), F.col("f")[0].cast("int")), lambda v: v.cast("long")).alias("q"))
+    sv = rows.where(F.col("k") < nv).select(F.col("k").alias("vid"), *[F.col("f")[i].try_cast("double").alias(c) for i, c in enumerate("xyz")])
+    polygons = rows.where((F.col("k") >= nv) & (F.col("k") < nv + nf)).select(F.col("k").alias("p"), F.transform(F.slice("f", F.lit(2), F.col("f")[0].try_cast("int")), lambda v: v.try_cast("long")).alias("q"))
     fans = polygons.where(F.size("q") >= 3).select("p", "q", F.explode(F.sequence(F.lit(1), F.size("q") - 2)).alias("i"))
     tri = fans.select("p", "i", F.array(F.col("q")[0], F.get("q", F.col("i")), F.get("q", F.col("i") + 1)).alias("v"))
     return sv, dense_ids(tri, ["p", "i"], "fid", 0).select("fid", "v")
@@ -138,7 +138,7 @@ def read_surface(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 def read_area(spark: SparkSession, path: str, cells: DataFrame) -> DataFrame:
     """(cid, value): the number in a cell's line; cells beyond the end have 0."""
-    values = lines(spark, path).select((F.col("n") + 1).alias("cid"), F.trim("value").cast("double").alias("value"))
+    values = lines(spark, path).select((F.col("n") + 1).alias("cid"), F.trim("value").try_cast("double").alias("value"))
     return cells.select("cid").join(values, "cid", "left").select("cid", F.coalesce("value", F.lit(0.0)).alias("value"))
 
 
