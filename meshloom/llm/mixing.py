@@ -121,11 +121,11 @@ def mix_rows(docs: DataFrame) -> DataFrame:
     Rows that agree in doc_id, source and text are taken equally often. The text is shuffled once, by a hash of the row.
     """
     key = F.xxhash64(*[F.col(c) for c in ("doc_id", "source", "text")])
-    taken = mix(docs.withColumn("_key", key), ("_key",))
+    taken = mix(docs.withColumn("__meshloom_key", key), ("__meshloom_key",))
     share = F.sum("taken") / F.greatest(F.sum("size"), F.lit(1))
-    times = taken.groupBy("_key").agg(F.round(share).cast("int").alias("_times")).where("_times > 0")
-    joined = docs.withColumn("_key", key).join(times, "_key")
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    times = taken.groupBy("__meshloom_key").agg(F.round(share).cast("int").alias("__meshloom_times")).where("__meshloom_times > 0")
+    joined = docs.withColumn("__meshloom_key", key).join(times, "__meshloom_key")
+    return joined.withColumn("__meshloom_copy", F.explode(F.sequence(F.lit(1), F.col("__meshloom_times")))).select(*docs.columns)
 
 
 ORACLE = """

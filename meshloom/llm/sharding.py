@@ -67,9 +67,9 @@ def write_shards(docs: DataFrame, uri: str, limit: int = LIMIT_BYTES) -> DataFra
     """Writes docs below uri as Parquet, one folder per shard, with all columns; returns the shards (shard, depth, shard_bytes)."""
     found = shard(docs, limit).select("h", "shard", "depth", "shard_bytes").distinct()
     found = materialize(found, "placed")
-    rows = docs.withColumn("_h", bucket_hash(F.col("doc_id"), F.coalesce(F.col("text"), F.lit(""))))
-    joined = rows.join(found.select(F.col("h").alias("_h"), F.col("shard").alias("_shard")), "_h").drop("_h")
-    joined.repartition("_shard").write.partitionBy("_shard").parquet(uri)
+    rows = docs.withColumn("__meshloom_h", bucket_hash(F.col("doc_id"), F.coalesce(F.col("text"), F.lit(""))))
+    joined = rows.join(found.select(F.col("h").alias("__meshloom_h"), F.col("shard").alias("__meshloom_shard")), "__meshloom_h").drop("__meshloom_h")
+    joined.repartition("__meshloom_shard").write.partitionBy("__meshloom_shard").parquet(uri)
     return found.select("shard", "depth", "shard_bytes").distinct()
 
 
