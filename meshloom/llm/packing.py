@@ -204,7 +204,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, order: tuple[str, ...] = (
     counts = {r["length"]: r["n_rows"] for r in sizes.collect()}  # at most `capacity` rows
     entries, _ = plan(counts, capacity)
     places = spark.createDataFrame(entries or [(0, 0, 0, 0, 1, 0)], "length long, _lo long, _hi long, _first long, _each long, _offset long")
-    lengths = spark.createDataFrame(list(counts.items()) or [(0, 0)], "length long, n_rows long")
+    lengths = spark.createDataFrame(list(counts.items()) or [(0, 1)], "length long, n_rows long")
     ties = [c for c in pieces.columns if c not in (*order, "length") and pieces.schema[c].dataType.simpleString() not in ("binary",)]
     ranked = running_total(pieces.withColumn("_at", hash60(*order)).withColumn("_one", F.lit(1)), "length", "_at", [*order, *ties], "_one", lengths, "_rank")
     p, e = ranked.alias("p"), F.broadcast(places).alias("e")  # the plan has a few entries for each length
