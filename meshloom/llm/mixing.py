@@ -29,6 +29,8 @@ REPEATS = 2
 #: Tokens in a block, and the most slots of a schedule; blocks grow beyond that, so that i * g stays within 64 bits.
 BLOCK = 1024
 MOST_SLOTS = 1 << 31
+#: Steps on either side of n / phi among which the most even lattice is chosen.
+STEPS_TRIED = 300
 #: Cells of equal width by which points find their source.
 CELLS = 1024
 #: Slots ranked by one window group.
@@ -49,10 +51,21 @@ def targets(sizes: list[int]) -> list[float]:
     return [min(float(REPEATS * n), level * w) for n, w in zip(sizes, weights, strict=True)]
 
 
+def _worst_quotient(g: int, n: int) -> int:
+    """The largest partial quotient of n / g: the smaller it is, the more evenly i * g mod n fills its range from the start."""
+    worst = 0
+    while g:
+        worst, (n, g) = max(worst, n // g), (g, n % g)
+    return worst
+
+
 def golden_step(n: int) -> int:
-    """The number nearest to n / phi that is prime to n."""
+    """Of the numbers near n / phi that are prime to n, the one whose lattice is most even, the nearest of these."""
     g = round(n * 2 / (1 + math.sqrt(5)))
-    return next(x for d in range(n + 1) for x in (g - d, g + d) if x > 0 and math.gcd(x, n) == 1)
+    near = [x for d in range(STEPS_TRIED) for x in {g - d, g + d} if 0 < x <= n and math.gcd(x, n) == 1]
+    if not near:
+        return 1
+    return min(near, key=lambda x: (_worst_quotient(x, n), abs(x - g), x))
 
 
 def _sources(sized: DataFrame) -> DataFrame:
