@@ -5,14 +5,18 @@ A document's set holds the distinct 2-word (or n-word) shingles of its words, A-
 1. Sketch: register i of a set is the smallest of exponential variates that hash i draws for its members, rounded to a power of
    BASE and truncated to 16 bits. Registers of a union are maxima of registers, and equal ones are the likelier the more alike
    two sets are. Sets that are equal make one class; one representative of each goes on.
-2. Bands of ROWS registers make bucket keys. Each bucket of two or more links its members to its first one, so a bucket of n
-   gives n - 1 candidates, however large it is.
+2. Bands of ROWS registers make bucket keys. Each bucket of two or more links its members to its head, the one that meets most
+   others in its buckets, so a bucket of n gives n - 1 candidates, however large it is.
 3. Candidates pass the size bound (exact: 80 % Jaccard needs 80 % in size) and the joint estimate: the likelihood of how many
    registers are larger, smaller and equal, given both cardinalities, against that of the threshold. What is left is confirmed
    on full sets: exact Jaccard of 64-bit shingle hashes.
-4. Components by least-id propagation. Then every bucket that still holds members of two or more components gives its remaining
-   candidates: each member outside the bucket's largest component with each member of another component. Pairs within a
-   component need no look, as a further link cannot change it. This repeats until no new link joins two components.
+4. Components by least-id propagation. Links that the heads did not show can only matter between components. In buckets of up to
+   SMALL members all such pairs are candidates. In larger ones, let P be the head, x a member that P does not link, y another, and
+   A and R what a set adds to P and leaves out. With d(x, y) the size of the symmetric difference, x and y link if and only if
+   d(x, y) <= f * (|x| + |y|), f = (1 - t) / (1 + t); d(x, y) = d(x, P) + d(y, P) - 2 * shared, shared being what the differences
+   from P have in common; and d(x, P) > f * (|x| + |P|). So shared > (d(y, P) + f * (|P| - |y|)) / 2: x and y share an added shingle,
+   or at least that many left-out ones, and then one of any |R| - that + 1 of those of y. An equi-join on these few shingles gives
+   all candidates, without pairing off the bucket.
 
 With 40 bands of 6, a pair at Jaccard 0.8 shares no bucket with probability (1 - 0.8 ** 6) ** 40 = 6e-6.
 
@@ -42,6 +46,8 @@ REGISTERS = BANDS * ROWS
 BASE = 1.001
 RATE = 20.0
 LARGEST = (1 << 16) - 1
+#: In buckets of up to so many members, all pairs between components are candidates.
+SMALL = 12
 #: Candidates go if the joint estimate makes the threshold unlikely by this many units of log-likelihood: about 6 deviations.
 MOST_LOG_RATIO = 18.0
 SPLIT = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -157,6 +163,22 @@ def sketch(docs: DataFrame, size: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
+def _sets(pairs: DataFrame, reps: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """(rep, members): the full sets of the representatives in pairs (a, b), made anew from their texts."""
+
+    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in (batch.slice(i, 500) for i in range(0, batch.num_rows, 500)):
+                sets = [shingles(x.as_py(), size).tobytes() for x in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(map(xxhash.xxh3_128_digest, sets), pa.binary()), pa.array(sets, pa.binary())], names=["rep", "set_key", "members"])
+
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+    texts = docs.select(F.col("doc_id").alias("rep"), "text").join(wanted, "rep", "left_semi")
+    found = texts.mapInArrow(members, "rep long, set_key binary, members binary")
+    # of rows with equal ids, the one that represents its class
+    return materialize(found.join(reps.select("rep", "set_key"), ["rep", "set_key"], "left_semi").dropDuplicates(["rep"]).drop("set_key"), "sets")
+
+
 def _verify(pairs: DataFrame, reps: DataFrame, docs: DataFrame, size: int, threshold: tuple[int, int]) -> DataFrame:
     """The pairs (a, b) of representatives whose sets pass the joint estimate and the exact test."""
     bound = threshold[0] / threshold[1]
@@ -173,17 +195,7 @@ def _verify(pairs: DataFrame, reps: DataFrame, docs: DataFrame, size: int, thres
 
     left = materialize(p.mapInArrow(likely, "a long, b long"), "likely")
 
-    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in (batch.slice(i, 500) for i in range(0, batch.num_rows, 500)):
-                sets = [shingles(x.as_py(), size).tobytes() for x in part.column(1)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(map(xxhash.xxh3_128_digest, sets), pa.binary()), pa.array(sets, pa.binary())], names=["rep", "set_key", "members"])
-
-    wanted = left.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-    texts = docs.select(F.col("doc_id").alias("rep"), "text").join(wanted, "rep", "left_semi")
-    found = texts.mapInArrow(members, "rep long, set_key binary, members binary")
-    # of rows with equal ids, the one that represents its class
-    sets = materialize(found.join(reps.select("rep", "set_key"), ["rep", "set_key"], "left_semi").dropDuplicates(["rep"]).drop("set_key"), "sets")
+    sets = _sets(left, reps, docs, size)
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -198,6 +210,27 @@ def _verify(pairs: DataFrame, reps: DataFrame, docs: DataFrame, size: int, thres
     return materialize(found.mapInArrow(exact, "a long, b long"), "links")
 
 
+def _differences(pairs: DataFrame, reps: DataFrame, docs: DataFrame, size: int, threshold: tuple[int, int]) -> DataFrame:
+    """(head, rep, n_head, n, linked, added, removed) of the pairs (a, b), a being the head, on full sets."""
+    sets = _sets(pairs, reps, docs, size)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in (batch.slice(i, 500) for i in range(0, batch.num_rows, 500)):
+                n_a, n_b, linked, added, removed = [], [], [], [], []
+                for x, y in zip(part.column("ma"), part.column("mb"), strict=True):
+                    x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+                    plus, minus = np.setdiff1d(y, x, assume_unique=True), np.setdiff1d(x, y, assume_unique=True)
+                    both = len(x) - len(minus)
+                    n_a.append(len(x)), n_b.append(len(y)), added.append(plus.view(np.int64)), removed.append(minus.view(np.int64))
+                    linked.append(threshold[1] * both >= threshold[0] * (len(x) + len(y) - both))
+                lists = [pa.array(v, pa.list_(pa.int64())) for v in (added, removed)]
+                yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(n_a, pa.int64()), pa.array(n_b, pa.int64()), pa.array(linked, pa.bool_()), *lists], names=["head", "rep", "n_head", "n", "linked", "added", "removed"])
+
+    found = pairs.join(sets.toDF("a", "ma"), "a").join(sets.toDF("b", "mb"), "b")
+    return materialize(found.mapInArrow(compare, "head long, rep long, n_head long, n long, linked boolean, added array<long>, removed array<long>"), "differences")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(id, component): the least id that each id of the links (a, b) reaches.
 
@@ -219,17 +252,30 @@ def components(links: DataFrame) -> DataFrame:
         labels = materialize(labels.join(hooks, "id", "left").select("id", F.least("l", F.coalesce("m", "l")).alias("l")), "labels")
 
 
-def _cross(buckets: DataFrame, comp: DataFrame, done: DataFrame, threshold: tuple[int, int]) -> DataFrame:
-    """Pairs within a bucket that lie in two components and have not been looked at."""
-    named = buckets.join(comp.toDF("rep", "c"), "rep", "left").withColumn("c", F.coalesce("c", "rep"))
-    named = materialize(named, "named")
+def _with_components(rows: DataFrame, comp: DataFrame) -> DataFrame:
+    """rows with c, the component of rep."""
+    return rows.join(comp.toDF("rep", "c"), "rep", "left").withColumn("c", F.coalesce("c", "rep"))
+
+
+def _small_cross(buckets: DataFrame, comp: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """(a, b): pairs within a small bucket that lie in two components."""
+    named = materialize(_with_components(buckets, comp), "named")
     mixed = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("key")
-    in_mixed = materialize(named.join(mixed, "key", "left_semi"), "mixed")
-    top = in_mixed.groupBy("key", "c").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max_by("c", F.struct("n", "c")).alias("top"))
-    outside = in_mixed.join(top, "key").where("c != top").select("key", F.col("rep").alias("x"), F.col("c").alias("cx"), F.col("n").alias("nx"))
-    met = outside.join(in_mixed, "key").where(f"c != cx AND {threshold[1]} * least(n, nx) >= {threshold[0]} * greatest(n, nx)")
-    pairs = met.select(F.least("x", "rep").alias("a"), F.greatest("x", "rep").alias("b")).distinct()
-    return pairs.join(done, ["a", "b"], "left_anti")
+    rows = named.join(mixed, "key", "left_semi")
+    met = rows.join(rows.select("key", F.col("rep").alias("o"), F.col("n").alias("m"), F.col("c").alias("d")), "key")
+    return met.where(f"rep < o AND c != d AND {threshold[1]} * least(n, m) >= {threshold[0]} * greatest(n, m)").select(F.col("rep").alias("a"), F.col("o").alias("b")).distinct()
+
+
+def _large_cross(differences: DataFrame, comp: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """(a, b): pairs around a head that lie in two components, one of them not linked to the head, and share what they must."""
+    named = _with_components(differences, comp)
+    probes = named.where("NOT linked").select("head", F.col("rep").alias("x"), F.col("n").alias("nx"), F.col("c").alias("cx"), F.explode(F.concat("added", "removed")).alias("e"))
+    f = (threshold[1] - threshold[0]) / (threshold[1] + threshold[0])
+    least = (F.size("added") + F.size("removed") + f * (F.col("n_head") - F.col("n"))) / 2  # shared must exceed this
+    spare = F.greatest(F.lit(0), F.floor(F.size("removed") - least).cast("int") + 1)
+    index = named.select("head", F.col("rep").alias("y"), F.col("n").alias("ny"), F.col("c").alias("cy"), F.explode(F.concat("added", F.slice("removed", F.lit(1), F.least(spare, F.size("removed"))))).alias("e"))
+    met = probes.join(index, ["head", "e"]).where(f"cx != cy AND {threshold[1]} * least(nx, ny) >= {threshold[0]} * greatest(nx, ny)")
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def group(docs: DataFrame, size: int = 5, threshold: tuple[int, int] = (8, 10)) -> DataFrame:
@@ -244,21 +290,23 @@ def group(docs: DataFrame, size: int = 5, threshold: tuple[int, int] = (8, 10))
     reps = sketched.join(classes.withColumnRenamed("rep", "doc_id"), ["set_key", "doc_id"], "left_semi").dropDuplicates(["doc_id"])
     reps = materialize(reps.select(F.col("doc_id").alias("rep"), "set_key", "n_shingles", "regs", "keys"), "reps")
     spread = reps.select("rep", F.col("n_shingles").alias("n"), F.explode("keys").alias("key"))
-    first = spread.groupBy("key").agg(F.min("rep").alias("head"), F.count(F.lit(1)).alias("m")).where("m > 1")
-    buckets = materialize(spread.join(first, "key").select("key", "rep", "n", "head", "m"), "buckets")
-    pairs = materialize(buckets.where("rep != head").select(F.col("head").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
-    links = _verify(pairs, reps, docs, size, threshold)
-    large = buckets.where("m > 2").select("key", "rep", "n")
+    counts = spread.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    met = materialize(spread.join(counts, "key"), "met")
+    scored = met.join(met.groupBy("rep").agg(F.sum("m").alias("score")), "rep")
+    heads = scored.groupBy("key").agg(F.max_by("rep", F.struct("score", -F.col("rep"))).alias("head"))
+    buckets = materialize(met.join(heads, "key"), "buckets")
+    stars = buckets.where("rep != head").groupBy(F.col("head").alias("a"), F.col("rep").alias("b")).agg(F.max("m").alias("m"))
+    stars = materialize(stars, "stars")
+    differences = _differences(stars.where(f"m > {SMALL}").select("a", "b"), reps, docs, size, threshold)
+    links = _verify(stars.where(f"m <= {SMALL}").select("a", "b"), reps, docs, size, threshold)
+    links = materialize(links.union(differences.where("linked").select("head", "rep")), "links")
     comp = components(links)
-    while True:
-        more = materialize(_cross(large, comp, pairs, threshold), "pairs")
-        if more.isEmpty():
-            break
+    more = _small_cross(buckets.where(f"m > 2 AND m <= {SMALL}").select("key", "rep", "n"), comp, threshold)
+    more = materialize(more.union(_large_cross(differences, comp, threshold)).distinct(), "more")
+    if not more.isEmpty():
         found = _verify(more, reps, docs, size, threshold)
-        if found.isEmpty():
-            break
-        pairs, links = materialize(pairs.union(more), "pairs"), materialize(links.union(found), "links")
-        comp = components(links)
+        if not found.isEmpty():
+            comp = components(materialize(links.union(found), "links"))
     # every document: its class representative's component
     chosen = member.join(comp.withColumnRenamed("id", "rep"), "rep", "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "rep")).alias("component_id"))
     out = sketched.select("doc_id", "n_shingles").join(chosen, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
