@@ -159,22 +159,31 @@ class Disc:
         """The same on the ring-th ring from the core's edge (0)."""
         return 2 + self.periods * self.n_inner * (self.n_inner - 1) + ring * self.around + F.pmod(place, F.lit(self.around))
 
-    def corners(self, cell: Column) -> list[Column]:
-        """The four nodes, from 1, of the cell-th cell of a layer, from 0."""
-        p = self.periods
+    def corners(self, cells: DataFrame) -> DataFrame:
+        """Adds c0..c3, the four nodes, from 1, of the cell-th cell of a layer (_cell, from 0).
+
+        Every step is a column of its own, so that no expression is written out more than once.
+        """
+        p, cell = self.periods, F.col("_cell")
         j = F.floor(F.sqrt(cell / p)).cast("long") + 1
-        j = F.when(cell < p * (j - 1) * (j - 1), j - 1).when(cell >= p * j * j, j + 1).otherwise(j)
-        rank = cell - p * (j - 1) * (j - 1)
-        sector, q = F.floor(rank / (2 * j - 1)), F.pmod(rank, 2 * j - 1)
-        # before the diagonal square, on it, after it
-        first = F.when(q < j, q).otherwise(q + 1)
-        third = F.when(q < j - 1, self.inner_node(j - 1, sector, q + 1)).when(q == j - 1, self.inner_node(j, sector, q + 2)).otherwise(self.inner_node(j - 1, sector, q))
-        fourth = self.inner_node(j - 1, sector, F.when(q < j, q).otherwise(q - 1))
-        core = [self.inner_node(j, sector, first), self.inner_node(j, sector, first + 1), third, fourth]
-        beyond = cell - self.inner_cells
-        ring, i = F.floor(beyond / self.around), F.pmod(beyond, F.lit(self.around))
+        rows = cells.withColumn("_j", j).withColumn("_j", F.when(cell < p * (F.col("_j") - 1) * (F.col("_j") - 1), F.col("_j") - 1).when(cell >= p * F.col("_j") * F.col("_j"), F.col("_j") + 1).otherwise(F.col("_j")))
+        j = F.col("_j")
+        rows = rows.withColumn("_rank", cell - p * (j - 1) * (j - 1)).withColumns({"_s": F.floor(F.col("_rank") / (2 * j - 1)), "_q": F.pmod("_rank", 2 * j - 1)})
+        sector, q = F.col("_s"), F.col("_q")
+        # before the diagonal square, on it, after it: places of the first corner, and ring and place of the third and fourth
+        rows = rows.withColumns({
+            "_a": F.when(q < j, q).otherwise(q + 1),
+            "_r": F.when(q == j - 1, j).otherwise(j - 1),
+            "_b": F.when(q < j - 1, q + 1).when(q == j - 1, q + 2).otherwise(q),
+            "_c": F.when(q < j, q).otherwise(q - 1),
+            "_ring": F.floor((cell - self.inner_cells) / self.around),
+            "_i": F.pmod(cell - self.inner_cells, F.lit(self.around)),
+        })
+        ring, i = F.col("_ring"), F.col("_i")
+        core = [self.inner_node(j, sector, F.col("_a")), self.inner_node(j, sector, F.col("_a") + 1), self.inner_node(F.col("_r"), sector, F.col("_b")), self.inner_node(j - 1, sector, F.col("_c"))]
         shell = [self.outer_node(ring + 1, i), self.outer_node(ring + 1, i + 1), self.outer_node(ring, i + 1), self.outer_node(ring, i)]
-        return [F.when(beyond < 0, a).otherwise(b) for a, b in zip(core, shell, strict=True)]
+        out = rows.withColumns({f"c{k}": F.when(cell < self.inner_cells, x).otherwise(y) for k, (x, y) in enumerate(zip(core, shell, strict=True))})
+        return out.drop("_j", "_rank", "_s", "_q", "_a", "_r", "_b", "_c", "_ring", "_i")
 
 
 def cylinder_nodes(spark: SparkSession, disc: Disc, outer: float, length: float, start_z: float, n_z: int, inner: float | None = None) -> DataFrame:
@@ -192,8 +201,8 @@ def cylinder_nodes(spark: SparkSession, disc: Disc, outer: float, length: float,
 
 def cylinder_cells(spark: SparkSession, disc: Disc, n_z: int) -> DataFrame:
     at, k = _index(F.col("cid"), disc.cells)
-    kvert = _hexes([c + k * disc.nodes for c in disc.corners(at)], disc.nodes)
-    return spark.range(1, disc.cells * n_z + 1).withColumnRenamed("id", "cid").select("cid", kvert.alias("kvert"))
+    rows = disc.corners(spark.range(1, disc.cells * n_z + 1).select(F.col("id").alias("cid"), at.alias("_cell"), k.alias("_layer")))
+    return rows.select("cid", _hexes([F.col(f"c{i}") + F.col("_layer") * disc.nodes for i in range(4)], disc.nodes).alias("kvert"))
 
 
 def parse_sections(raw: DataFrame) -> DataFrame:
