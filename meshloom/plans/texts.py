@@ -43,7 +43,44 @@ def monitored_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.monitor(nodes, cells, S.corners(*box_surface(spark)), sizes, 1.0, 0.5).select("cid", F.round("value", 6).alias("value"))
 
 
+def tube(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+    """The surface of a hollow cylinder of radii 5 and 2 along z, moved by (1, -2), as two triangles for each boundary face."""
+    from meshloom.operators import topology as T
+
+    nodes, cells = G.annulus_nodes(spark, 10.0, 4.0, 20.0, 0.0, (36, 1, 2)), G.annulus_cells(spark, (36, 1, 2))
+    quads = T.boundary_faces(cells).select(((F.col("cid") * 6 + F.col("lf")) * 2).alias("f"), "nodes", "lf")
+    flip = F.col("lf").isin(1)  # the lower faces of cells run the other way
+
+    def half(i: int, a: int, b: int, c: int):
+        v = [F.col("nodes")[k] for k in (a, b, c)]
+        return F.struct((F.col("f") + i).alias("fid"), F.when(flip, F.array(v[2], v[1], v[0])).otherwise(F.array(*v)).alias("v"))
+
+    sf = quads.select(F.inline(F.array(half(0, 0, 1, 2), half(1, 0, 2, 3))))
+    return nodes.select("vid", (F.col("x") + 1).alias("x"), (F.col("y") - 2).alias("y"), "z"), sf
+
+
+def round_tube(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from meshloom.operators.boundary import Inflow
+    from meshloom.operators.round import analyse
+
+    g = analyse(*tube(spark), [Inflow(3, (0, 0, 1), (1, -2, 3.0)), Inflow(3, (0, 0, 1), (1, -2, 3.0))])
+    return spark.createDataFrame([(round(g.center[0], 6) + 0.0, round(g.center[1], 6) + 0.0, g.aligned, round(g.outer_diameter, 6), g.kind, round(g.extrusion, 6), g.consistent, round(g.z_min, 6), round(g.z_max, 6))], "cx double, cy double, aligned boolean, outer double, kind string, extrusion double, consistent boolean, z_min double, z_max double")
+
+
+def size_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Levels of a base mesh for points from embeddings whose target size grows with their id."""
+    from meshloom.operators.sizefield import base_mesh
+    from meshloom.plans.surfaces import points
+
+    rows = points(spark, sf_dir).where("abs(x) < 1 AND abs(y) < 1 AND abs(z) < 1")
+    target = 0.02 + F.col("id") / 1000
+    _, levels = base_mesh(rows.withColumns({f"t{c}": target for c in "xyz"}), (-1.0, -1.0, -1.0), (1.0, 1.0, 1.0))
+    return levels
+
+
 QUERIES = {
+    "round_tube": round_tube,
+    "size_field": size_field,
     "ini_carry_section": lambda s, d: X.settings(numbered(s, SETTINGS)),
     "parse_summary": lambda s, d: X.histogram_percents(numbered(s, SUMMARY)),
     "cube_report": lambda s, d: C.report(*box_surface(s)),
@@ -57,7 +94,19 @@ def _values(rows: list[str]) -> str:
     return "t(n, value) AS (VALUES " + ", ".join(f"({i}::BIGINT, '{x}')" for i, x in enumerate(rows)) + ")"
 
 
+_FIELD = ", ".join(f"embedding[{i + 1}]::DOUBLE * 4 AS {c}" for i, c in enumerate("xyz"))
+
 SQL = {
+    "round_tube": "SELECT 1.0::DOUBLE AS cx, -2.0::DOUBLE AS cy, false AS aligned, 10.0::DOUBLE AS outer, 'HollowCylinder' AS kind, 3.0::DOUBLE AS extrusion, true AS consistent, 3.0::DOUBLE AS z_min, 17.0::DOUBLE AS z_max",
+    "size_field": f"""WITH RECURSIVE p AS (SELECT vec_id AS id, {_FIELD}, 0.02 + vec_id / 1000.0::DOUBLE AS t FROM embeddings), q AS (SELECT * FROM p WHERE abs(x) < 1 AND abs(y) < 1 AND abs(z) < 1),
+      c AS (SELECT q.*, d, floor((x + 1) / (2.0 / 2**d)) AS i, floor((y + 1) / (2.0 / 2**d)) AS j, floor((z + 1) / (2.0 / 2**d)) AS k FROM q, range(12) r(d)),
+      s AS (SELECT d, i, j, k, bool_or(t < 0.9::DOUBLE * (2.0::DOUBLE / 2**d)) AS s FROM c GROUP BY ALL),
+      u AS (SELECT c.id, c.d, s.s FROM c JOIN s USING (d, i, j, k)),
+      leaf AS (SELECT id, min(d) AS depth FROM u WHERE NOT s GROUP BY id),
+      full_ AS (SELECT min(d) AS g FROM (SELECT r.d, (SELECT count(*) FROM s WHERE s.d = r.d AND s.s) < 8**r.d AS short FROM range(12) r(d)) WHERE short),
+      b AS (SELECT greatest(g, 2) AS g, (2**greatest(g, 2))::BIGINT AS n FROM full_)
+      SELECT (ceil((x + 1) / (2.0 / n) - 0.5) + (n + 1) * (ceil((y + 1) / (2.0 / n) - 0.5) + (n + 1) * ceil((z + 1) / (2.0 / n) - 0.5)))::BIGINT AS vid,
+        max(greatest(0, ceil((greatest(depth, 2) - g) * ln(2) / ln(3))))::INTEGER AS level FROM q JOIN leaf USING (id), b GROUP BY 1""",
     "ini_carry_section": f"""WITH {_values(SETTINGS)}, c AS (SELECT n, trim(regexp_replace(value, '[#;].*$', '')) AS line FROM t),
       s AS (SELECT *, last_value(CASE WHEN line LIKE '[%' THEN lower(line[2:-2]) END IGNORE NULLS) OVER (ORDER BY n) AS section FROM c WHERE line <> '')
       SELECT n, section, lower(trim(split_part(line, '=', 1))) AS key, trim(substr(line, strpos(line, '=') + 1)) AS value FROM s WHERE line NOT LIKE '[%' AND line LIKE '%=%'""",
