@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,14 +65,14 @@ def rotations() -> list[tuple[int, ...]]:
 
 
 def canonical_patterns(masks: DataFrame) -> DataFrame:
-    """masks (pattern: string of 8 bits) with canonical, the rotation whose marked corners come first.
+    """masks (pattern: string of 8 bits) with canonical, the rotation whose marked corners come first, and turn, its number.
 
     Corners count by the sum of the squares of their places; the first corner must be marked if any is.
     """
-    turned = F.array(*[F.concat(*[F.substring("pattern", p[i] + 1, 1) for i in range(8)]) for p in rotations()])
-    first = F.filter(turned, lambda s: s.startswith("1") | (s == "00000000"))
-    scored = F.transform(first, lambda s: F.struct((-pattern_score(s)).alias("s"), s.alias("p")))
-    return masks.withColumn("canonical", F.array_max(scored)["p"])
+    turned = F.array(*[F.struct(F.concat(*[F.substring("pattern", p[i] + 1, 1) for i in range(8)]).alias("p"), F.lit(k).alias("k")) for k, p in enumerate(rotations())])
+    first = F.filter(turned, lambda s: s["p"].startswith("1") | (s["p"] == "00000000"))
+    scored = F.transform(first, lambda s: F.struct((-pattern_score(s["p"])).alias("s"), s["p"].alias("p"), (-s["k"]).alias("k")))
+    return masks.withColumn("_best", F.array_max(scored)).withColumns({"canonical": F.col("_best.p"), "turn": -F.col("_best.k")}).drop("_best")
 
 
 def pattern_score(pattern: Column) -> Column:
@@ -126,3 +129,74 @@ def refine_uniformly(nodes: DataFrame, cells: DataFrame) -> tuple[DataFrame, Dat
     cut = by_cell.select("cid", "ids", F.posexplode(parts).alias("sub", "kloc"))
     out = cut.select(((F.col("cid") - 1) * 27 + F.col("sub") + 1).alias("cid"), F.transform("kloc", lambda v: F.element_at("ids", v.cast("int") + 1)).alias("kvert"))
     return numbered.select("vid", "x", "y", "z"), out
+
+
+@dataclass(frozen=True)
+class Template:
+    """How a cell with a pattern of marked corners is cut: points in the reference cube [-1, 1]^3, and cells of eight of them."""
+
+    pattern: str
+    points: tuple[tuple[float, float, float], ...]
+    cells: tuple[tuple[int, ...], ...]
+    final: bool = True
+
+    def weights(self) -> list[list[float]]:
+        """Shares of the eight corners in each point."""
+        return [[math.prod((1 + x if on else 1 - x) / 2 for x, on in zip(p, c, strict=True)) for c in CORNERS] for p in self.points]
+
+
+def whole(pattern: str = "00000000") -> Template:
+    """The template that leaves a cell as it is."""
+    return Template(pattern, tuple(tuple(2.0 * x - 1 for x in c) for c in CORNERS), (tuple(range(8)),))
+
+
+def thirds(pattern: str = "11111111") -> Template:
+    """The template of 27 equal parts."""
+    points = tuple(tuple(2 * x / 3 - 1 for x in (i, j, k)) for k in range(4) for j in range(4) for i in range(4))
+    cells = tuple(tuple((i + a) + 4 * ((j + b) + 4 * (k + c)) for a, b, c in CORNERS) for k in range(3) for j in range(3) for i in range(3))
+    return Template(pattern, points, cells)
+
+
+def load_templates(spark: SparkSession, files: dict[str, str]) -> list[Template]:
+    """Templates from .tri files by their pattern; one in a folder INT is not final, and its parts are to be cut once more."""
+    from meshloom.sources.meshes import read_tri
+
+    out = []
+    for pattern, path in files.items():
+        _, nodes, cells = read_tri(spark, path)
+        points = tuple((r["x"], r["y"], r["z"]) for r in nodes.orderBy("vid").collect())  # 64 points at most
+        out.append(Template(pattern, points, tuple(tuple(v - 1 for v in r["kvert"]) for r in cells.orderBy("cid").collect()), "/INT/" not in path))
+    return out
+
+
+def refine_by_templates(nodes: DataFrame, cells: DataFrame, marked: DataFrame, templates: list[Template]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """New nodes and cells of a mesh whose marked nodes (vid) say how each cell is cut, and how often each pattern was unknown.
+
+    A cell's pattern is turned to its canonical form, the template's points are taken through the turned corners, and points that
+    rest on the same old nodes with the same shares are one: neighbours meet by an equi-join. Cells of unknown patterns stay whole.
+    """
+    spark = nodes.sparkSession
+    known = [whole(), *(t for t in templates if t.pattern != "00000000")]
+    turned = T.written(canonical_patterns(cell_patterns(cells, marked)), "patterns")
+    name = F.when(F.col("canonical").isin([t.pattern for t in known]), F.col("canonical")).otherwise("00000000")
+    turns = F.array(*[F.array(*[F.lit(i) for i in p]) for p in rotations()])
+    placed = cells.select("cid", "kvert").join(turned.select("cid", name.alias("template"), turns[F.col("turn")].alias("perm")), "cid").join(T.corners_of(cells, nodes), "cid")
+    ready = placed.select("cid", "template", F.transform("perm", lambda i: F.struct(F.element_at("kvert", i + 1).alias("vid"), F.element_at("p", i + 1).alias("at"))).alias("q"))
+    points = spark.createDataFrame([(t.pattern, k, w) for t in known for k, w in enumerate(t.weights())], "template string, loc int, w array<double>")
+    parts = spark.createDataFrame([(t.pattern, k, list(c)) for t in known for k, c in enumerate(t.cells)], "template string, sub int, kloc array<int>")
+    rows = ready.join(F.broadcast(points), "template")  # a catalogue of a few dozen templates
+    shares = F.zip_with("q", "w", lambda q, w: F.struct(q["vid"].alias("vid"), F.round(w * 1e6).cast("int").alias("w")))
+    key = F.array_sort(F.filter(shares, lambda x: x["w"] > 0))
+
+    def place(c: str) -> Column:
+        return F.aggregate(F.zip_with("q", "w", lambda q, w: q["at"][c] * w), F.lit(0.0), lambda x, y: x + y).alias(c)
+
+    found = T.written(rows.select("cid", "template", "loc", key.alias("key"), *[place(c) for c in "xyz"]), "refined")
+    first = found.groupBy("key").agg(F.min(F.struct("cid", "loc", "x", "y", "z")).alias("f"))
+    numbered = T.written(T.dense_ids(first.select("key", "f.*"), ["cid", "loc"], "vid"), "numbered")
+    ids = found.select("cid", "template", "loc", "key").join(numbered.select("key", "vid"), "key").groupBy("cid", "template")
+    by_cell = ids.agg(F.transform(F.array_sort(F.collect_list(F.struct("loc", "vid"))), lambda x: x["vid"]).alias("ids"))  # a template's points
+    cut = by_cell.join(F.broadcast(parts), "template").select("cid", "sub", F.transform("kloc", lambda v: F.element_at("ids", v + 1)).alias("kvert"))
+    new_cells = T.dense_ids(cut.withColumnsRenamed({"cid": "parent"}), ["parent", "sub"], "cid")
+    unknown = turned.where(~F.col("canonical").isin([t.pattern for t in known])).groupBy("canonical").agg(F.count(F.lit(1)).alias("n"))
+    return numbered.select("vid", "x", "y", "z"), new_cells.select("cid", "kvert", "parent"), unknown

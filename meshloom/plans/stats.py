@@ -62,7 +62,7 @@ QUERIES = {
     "argmin_threshold_hit": argmin(0.05),
     "fill_missing_with_max": fill,
     "median_upper": lambda s, d: H.upper_median(table(s, d, "events"), "value"),
-    "pattern_canonical": lambda s, d: R.canonical_patterns(patterns(s)),
+    "pattern_canonical": lambda s, d: R.canonical_patterns(patterns(s)).select("pattern", "canonical"),
     "template_usage": lambda s, d: R.template_usage(part_patterns(s, d), KNOWN),
 }
 

@@ -172,3 +172,36 @@ def test_stage_stream(spark, tmp_path):
     q = counts.writeStream.outputMode("complete").format("memory").queryName("stages").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert sorted(tuple(r) for r in spark.table("stages").collect()) == [("clean", "done", 1), ("clean", "start", 1), ("refine", "start", 1)]
+
+
+def test_refinement_by_templates(spark, tmp_path):
+    from meshloom.operators import refine as R
+
+    n = (3, 2, 2)
+    nodes, cells = G.box_nodes(spark, (0, 0, 0), (3, 2, 2), n), G.box_cells(spark, n)
+    full = R.thirds()
+    new_nodes, new_cells, unknown = R.refine_by_templates(nodes, cells, nodes.select("vid"), [full])
+    assert new_cells.count() == 12 * 27 and new_nodes.count() == 10 * 7 * 7 and unknown.isEmpty()
+    assert T.owners(new_cells).agg(F.max("n")).first()[0] == 2
+    from meshloom.operators.monitor import cell_volumes
+
+    volume = cell_volumes(new_nodes, new_cells).agg(F.sum("volume"), F.min("volume"), F.max("volume")).first()
+    assert math.isclose(volume[0], 12.0, rel_tol=1e-9) and math.isclose(volume[1], volume[2], rel_tol=1e-9)
+    one = nodes.where("vid = 1").select("vid")
+    same_nodes, same_cells, unknown = R.refine_by_templates(nodes, cells, one, [full])
+    assert same_cells.count() == 12 and same_nodes.count() == 36 and [tuple(r) for r in unknown.collect()] == [("10000000", 1)]
+    # a template that cuts a cell in two across the edges of its marked face, whichever face that is
+    half = R.Template("11110000", (*R.whole().points[:4], (-1, -1, 0), (1, -1, 0), (1, 1, 0), (-1, 1, 0), *R.whole().points[4:]), ((0, 1, 2, 3, 4, 5, 6, 7), (4, 5, 6, 7, 8, 9, 10, 11)))
+    end = nodes.where("x = 3").select("vid")
+    cut_nodes, cut_cells, unknown = R.refine_by_templates(nodes, cells, end, [half])
+    assert cut_cells.count() == 16 and cut_nodes.count() == 36 + 9 and unknown.isEmpty()
+    assert T.owners(cut_cells).agg(F.max("n")).first()[0] == 2
+    assert math.isclose(cell_volumes(cut_nodes, cut_cells).agg(F.sum("volume")).first()[0], 12.0, rel_tol=1e-9)
+
+
+def test_settings_are_rewritten():
+    from meshloom.operators.round import rewrite_settings
+
+    lines = ["[A]", "x = 1", "", "[B]", "y = 2"]
+    assert rewrite_settings(lines, "a", {"X": "5", "z": "6"}) == ["[A]", "X = 5", "z = 6", "", "[B]", "y = 2"]
+    assert rewrite_settings(lines, "C", {"q": "1"})[-2:] == ["[C]", "q = 1"]
