@@ -87,7 +87,7 @@ def write_parts(folder: str, tagged: DataFrame, keywords: dict[str, str], mesh:
     return names
 
 
-def write_feat_xml(path: str, nodes: DataFrame, n: tuple[int, int, int], edges: DataFrame, faces: DataFrame, cells: DataFrame) -> None:
+def write_xml_mesh(path: str, nodes: DataFrame, n: tuple[int, int, int], edges: DataFrame, faces: DataFrame, cells: DataFrame) -> None:
     """A mesh file with vertices and the vertex ids (v0, v1, ...) of edges, faces and cells, all counted from 0."""
     sizes = [nodes.count(), edges.count(), faces.count(), cells.count()]
     with Path(path).open("w") as f:
