@@ -210,6 +210,19 @@ def clip_cells(nodes_of: DataFrame, faces: DataFrame, candidates: DataFrame) ->
     return flat.mapInPandas(run, "cid long, fid long, tet int, itype int, area double")
 
 
+def minimal_spheres(points_of: DataFrame) -> DataFrame:
+    """(id, p, x, y, z, r) of cells (cid, p): the smallest sphere around their corners."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            found = [K.minimal_sphere(np.array(p).reshape(-1, 3)) for p in part["f"]]
+            yield pd.DataFrame({"id": part["cid"], **{c: [s[0][i] for s in found] for i, c in enumerate("xyz")}, "r": [s[1] for s in found]})
+
+    flat = points_of.select("cid", F.flatten(F.transform("p", lambda q: F.array(q["x"], q["y"], q["z"]))).alias("f"))
+    spheres = flat.mapInPandas(run, "id long, x double, y double, z double, r double")
+    return spheres.join(points_of.select(F.col("cid").alias("id"), "p"), "id")
+
+
 def keep_cells(points_of: DataFrame, faces: DataFrame) -> DataFrame:
     """(cid, outcome) of cells (cid, p): inside, intersected, edge, diagonal, center or discarded.
 
@@ -222,10 +235,7 @@ def keep_cells(points_of: DataFrame, faces: DataFrame) -> DataFrame:
     told = corners.join(inside(corners, faces), "id").groupBy("cid").agg(F.sum(F.col("inside").cast("int")).alias("n"))
     done = written(told.select("cid", F.when(F.col("n") == 8, "inside").when(F.col("n") > 0, "intersected").alias("outcome")), "corners")
     open_ = written(points_of.join(done.where("outcome IS NULL"), "cid", "left_semi"), "open")
-    center = [sum((F.col("p")[i][c] for i in range(1, 8)), F.col("p")[0][c]) / 8 for c in "xyz"]
-    balls = open_.select(F.col("cid").alias("id"), "p", *[x.alias(c) for x, c in zip(center, "xyz", strict=True)])
-    reach = F.greatest(*[V.distance((F.col("x"), F.col("y"), F.col("z")), V.field(F.col("p")[i])) for i in range(8)])
-    balls = balls.withColumn("r", reach)
+    balls = written(minimal_spheres(open_), "spheres")
     near = written(balls.join(sphere_hits(balls.select("id", "x", "y", "z", "r"), faces), "id"), "balls")
     middle = inside(near.where("NOT hit").select("id", "x", "y", "z"), faces).select(F.col("id").alias("cid"), F.when(F.col("inside"), "center").otherwise("discarded").alias("outcome"))
 

@@ -113,3 +113,22 @@ def write_area(path: str, values: DataFrame) -> None:
     """One number a line, in the order of cells (cid, value)."""
     with Path(path).open("w") as f:
         f.writelines(f"{r['value']:.16g}\n" for r in _rows(values.select("cid", "value"), "cid"))
+
+
+def write_vtp(path: str, points: DataFrame, closed: bool = False) -> None:
+    """Polylines, or polygons if closed: points (line, pos, x, y, z), in the order of their lines and places."""
+    rows = points.select("line", "pos", "x", "y", "z").orderBy("line", "pos")
+    sizes = [r["n"] for r in points.groupBy("line").agg(F.count(F.lit(1)).alias("n")).orderBy("line").collect()]  # a row for each line
+    total, tag = sum(sizes), "Polys" if closed else "Lines"
+    with Path(path).open("w") as f:
+        f.write(f'<?xml version="1.0"?>\n<VTKFile type="PolyData" version="0.1" byte_order="LittleEndian">\n<PolyData>\n<Piece NumberOfPoints="{total}" NumberOf{tag}="{len(sizes)}">\n')
+        f.write('<Points>\n<DataArray type="Float64" Name="Points" NumberOfComponents="3" format="ascii">\n')
+        f.writelines(f"{r['x']:.16g} {r['y']:.16g} {r['z']:.16g}\n" for r in rows.toLocalIterator())
+        f.write(f'</DataArray>\n</Points>\n<{tag}>\n<DataArray type="Int64" Name="connectivity" format="ascii">\n')
+        f.writelines(f"{i}\n" for i in range(total))
+        f.write('</DataArray>\n<DataArray type="Int64" Name="offsets" format="ascii">\n')
+        at = 0
+        for n in sizes:
+            at += n
+            f.write(f"{at}\n")
+        f.write(f"</DataArray>\n</{tag}>\n</Piece>\n</PolyData>\n</VTKFile>\n")
