@@ -14,9 +14,10 @@ A document's set holds the distinct 2-word (or n-word) shingles of its words, A-
    SMALL members all such pairs are candidates. In larger ones, let P be the head, x a member that P does not link, y another, and
    A and R what a set adds to P and leaves out. With d(x, y) the size of the symmetric difference, x and y link if and only if
    d(x, y) <= f * (|x| + |y|), f = (1 - t) / (1 + t); d(x, y) = d(x, P) + d(y, P) - 2 * shared, shared being what the differences
-   from P have in common; and d(x, P) > f * (|x| + |P|). So shared > (d(y, P) + f * (|P| - |y|)) / 2: x and y share an added shingle,
-   or at least that many left-out ones, and then one of any |R| - that + 1 of those of y. An equi-join on these few shingles gives
-   all candidates, without pairing off the bucket.
+   from P have in common. So they must share c = (d(x, P) + d(y, P) - f * (|x| + |y|)) / 2 of their differences, and c > 0, as
+   d(x, P) > f * (|x| + |P|). In any one order of shingles, the first that they share then lies among the first d(x, P) - c + 1 of
+   x and d(y, P) - c + 1 of y: an equi-join on these gives all candidates, without pairing off the bucket. The order puts what is
+   added first, as what is left out is drawn from few.
 
 With 40 bands of 6, a pair at Jaccard 0.8 shares no bucket with probability (1 - 0.8 ** 6) ** 40 = 6e-6.
 
@@ -34,7 +35,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meshloom.llm.common import materialize
@@ -48,6 +49,8 @@ RATE = 20.0
 LARGEST = (1 << 16) - 1
 #: In buckets of up to so many members, all pairs between components are candidates.
 SMALL = 12
+#: Bits of the map of documents whose texts are needed again.
+BITMAP = 1 << 26
 #: Candidates go if the joint estimate makes the threshold unlikely by this many units of log-likelihood: about 6 deviations.
 MOST_LOG_RATIO = 18.0
 SPLIT = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -172,13 +175,27 @@ def _sets(pairs: DataFrame, reps: DataFrame, docs: DataFrame, size: int) -> Data
                 sets = [shingles(x.as_py(), size).tobytes() for x in part.column(1)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(map(xxhash.xxh3_128_digest, sets), pa.binary()), pa.array(sets, pa.binary())], names=["rep", "set_key", "members"])
 
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-    texts = docs.select(F.col("doc_id").alias("rep"), "text").join(wanted, "rep", "left_semi")
+    wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), "wanted")
+    texts = _maybe_in(docs.select(F.col("doc_id").alias("rep"), "text"), wanted).join(wanted, "rep", "left_semi")
     found = texts.mapInArrow(members, "rep long, set_key binary, members binary")
     # of rows with equal ids, the one that represents its class
     return materialize(found.join(reps.select("rep", "set_key"), ["rep", "set_key"], "left_semi").dropDuplicates(["rep"]).drop("set_key"), "sets")
 
 
+def _maybe_in(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """rows without most of those whose rep isn't in wanted, so that few texts are shuffled.
+
+    wanted is sent as a bitmap of BITMAP bits of a hash, 4 KB a row: 8 MB at most, whatever the number of ids. The fuller it is the
+    more rows pass; the join that follows decides.
+    """
+    at = F.pmod(F.xxhash64("rep"), F.lit(BITMAP)) + 1
+    bits = wanted.select(at.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("_bits"))
+    marked = rows.withColumn("_at", at).withColumn("_bucket", F.bitmap_bucket_number("_at")).withColumn("_place", F.bitmap_bit_position("_at"))
+    found = marked.join(F.broadcast(bits), "_bucket")
+    byte = F.conv(F.hex(F.expr("substring(_bits, CAST(_place div 8 AS INT) + 1, 1)")), 16, 10).cast("int")
+    return found.where(F.expr("1") == F.pmod(F.floor(byte / F.pow(F.lit(2), F.pmod("_place", F.lit(8)))), F.lit(2))).select(*rows.columns)
+
+
 def _verify(pairs: DataFrame, reps: DataFrame, docs: DataFrame, size: int, threshold: tuple[int, int]) -> DataFrame:
     """The pairs (a, b) of representatives whose sets pass the joint estimate and the exact test."""
     bound = threshold[0] / threshold[1]
@@ -268,14 +285,25 @@ def _small_cross(buckets: DataFrame, comp: DataFrame, threshold: tuple[int, int]
 
 def _large_cross(differences: DataFrame, comp: DataFrame, threshold: tuple[int, int]) -> DataFrame:
     """(a, b): pairs around a head that lie in two components, one of them not linked to the head, and share what they must."""
-    named = _with_components(differences, comp)
-    probes = named.where("NOT linked").select("head", F.col("rep").alias("x"), F.col("n").alias("nx"), F.col("c").alias("cx"), F.explode(F.concat("added", "removed")).alias("e"))
     f = (threshold[1] - threshold[0]) / (threshold[1] + threshold[0])
-    least = (F.size("added") + F.size("removed") + f * (F.col("n_head") - F.col("n"))) / 2  # shared must exceed this
-    spare = F.greatest(F.lit(0), F.floor(F.size("removed") - least).cast("int") + 1)
-    index = named.select("head", F.col("rep").alias("y"), F.col("n").alias("ny"), F.col("c").alias("cy"), F.explode(F.concat("added", F.slice("removed", F.lit(1), F.least(spare, F.size("removed"))))).alias("e"))
-    met = probes.join(index, ["head", "e"]).where(f"cx != cy AND {threshold[1]} * least(nx, ny) >= {threshold[0]} * greatest(nx, ny)")
-    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    both = F.concat("added", "removed")
+    named = _with_components(differences, comp).select("head", "rep", "n", "c", "linked", F.size(both).alias("d"), both.alias("e"), "n_head")
+    # no partner leaves more than this many places to look at: sizes differ by the threshold at most, and d(y, P) >= d(x, P) - f (|x| + |y|)
+    reach = F.floor(f * F.col("n") * (1 + threshold[1] / threshold[0]) + 1e-9)
+    near = F.floor((F.col("d") - f * (F.col("n_head") - F.col("n"))) / 2 + 1e-9)  # of y: c > (d(y, P) + f (|P| - |y|)) / 2
+
+    def places(rows: DataFrame, most: Column, names: tuple[str, ...]) -> DataFrame:
+        cut = F.slice("e", F.lit(1), F.greatest(F.lit(0), F.least(most.cast("int") + 1, F.size("e"))))
+        return rows.select("head", "rep", "n", "c", "d", F.posexplode(cut).alias("p", "e")).toDF("head", *names, "e")
+
+    probes = places(named.where("NOT linked"), reach, ("vx", "nx", "cx", "dx", "px"))
+    index = places(named, F.least(reach, near), ("vy", "ny", "cy", "dy", "py"))
+    share = (F.col("dx") + F.col("dy") - f * (F.col("nx") + F.col("ny"))) / 2 - 1e-9
+    sized = F.expr(f"{threshold[1]} * least(nx, ny) >= {threshold[0]} * greatest(nx, ny)")
+    fits = (F.col("px") <= F.col("dx") - share) & (F.col("py") <= F.col("dy") - share)
+    x, y = probes.alias("x"), index.alias("y")
+    met = x.join(y, (F.col("x.head") == F.col("y.head")) & (F.col("x.e") == F.col("y.e")) & (F.col("cx") != F.col("cy")) & sized & fits)
+    return met.select(F.least("vx", "vy").alias("a"), F.greatest("vx", "vy").alias("b")).distinct()
 
 
 def group(docs: DataFrame, size: int = 5, threshold: tuple[int, int] = (8, 10)) -> DataFrame:
