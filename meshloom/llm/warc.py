@@ -141,7 +141,10 @@ def write(pages: DataFrame, uri: str, least: int = LEAST_PAYLOAD) -> DataFrame:
 
 
 def write_index(captures: DataFrame, uri: str) -> list[tuple[str, str]]:
-    """Writes the two-level index; returns (first key, file) of each range, in order: one entry for RANGE captures."""
+    """Writes the two-level index; returns (first key, file) of each range, in order: one entry for RANGE captures.
+
+    A key with many captures fills several ranges that all start with it, so that ranges are put in order by the whole first capture.
+    """
     spark = captures.sparkSession
     n = max(2 * spark.sparkContext.defaultParallelism, math.ceil(captures.count() / RANGE))
     ordered = captures.withColumn("shard", F.lit(0)).select("shard", "surt", "page_id", "file", "offset", "length").repartitionByRange(n, "surt", "page_id", "file", "offset").sortWithinPartitions("surt", F.col("page_id").asc_nulls_first(), "file", "offset")
@@ -166,7 +169,7 @@ def write_index(captures: DataFrame, uri: str) -> list[tuple[str, str]]:
         with replaced(system, f"{folder}/{name}") as out:
             while batch is not None:
                 for row in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True):
-                    first = row[0] if first is None else first
+                    first = row if first is None else first
                     block.append(SEP.join("" if x is None else str(x) for x in row))
                     if len(block) == BLOCK:
                         flush()
@@ -176,10 +179,14 @@ def write_index(captures: DataFrame, uri: str) -> list[tuple[str, str]]:
             directory = zlib.compress("\n".join(f"{k}{SEP}{a}{SEP}{n}" for k, (a, n) in zip(keys, places, strict=True)).encode("utf-8", "surrogatepass"), LEVEL)
             out.write(directory)
             out.write(at.to_bytes(8, "little") + len(directory).to_bytes(8, "little"))
-        yield pa.RecordBatch.from_arrays([pa.array([first]), pa.array([name])], names=["first", "file"])
-
-    found = ordered.mapInArrow(run, "first string, file string").collect()  # a row for each range
-    return sorted((r["first"], r["file"]) for r in found)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([x], t) for x, t in zip((*first[:4], name), (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string()), strict=True)],
+            names=["first", "page_id", "archive", "offset", "file"],
+        )
+
+    found = ordered.mapInArrow(run, "first string, page_id long, archive string, offset long, file string").collect()  # a row for each range
+    found.sort(key=lambda r: (r["first"], r["page_id"] is not None, r["page_id"] or 0, r["archive"], r["offset"]))
+    return [(r["first"], r["file"]) for r in found]
 
 
 class Range:

@@ -138,6 +138,19 @@ def test_index_finds_single_urls(spark, monkeypatch):
     assert sorted(r.page_id for r in found.collect()) == [i for i in range(100) if i % 7 == 3 and i // 14 == 2]
 
 
+def test_archives_with_keys_that_fill_several_ranges(spark, monkeypatch):
+    monkeypatch.setattr(warc, "RANGE", 10)
+    hot = ["http://hot.org/", None]
+    rows = [(i, hot[i % 3] if i % 3 < 2 else f"http://{'abhoxz'[i % 6]}{i}.org/", f"p{i}") for i in range(600)]
+    pages = spark.createDataFrame([*rows, (None, "http://hot.org/", "q"), (None, None, "q2")], "page_id long, url string, html string")
+    archive, index = fresh_dir(spark, "warc"), fresh_dir(spark, "cdx")
+    ranges = warc.write_index(warc.write(pages, archive), index)
+    firsts = [r[0] for r in ranges]
+    assert firsts == sorted(firsts) and firsts.count("org,hot)/") > 5 and firsts.count("") > 5
+    found = [r.page_id for r in warc.lookup(pages.select("url"), archive, index, ranges).collect()]
+    assert sorted(found, key=lambda x: -1 if x is None else x) == [None, None, *range(600)]
+
+
 @pytest.mark.skipif(importlib.util.find_spec("corpus_pipeline") is None, reason="no pipeline")
 def test_pipeline(spark):
     import corpus_pipeline
