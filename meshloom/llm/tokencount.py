@@ -5,8 +5,9 @@ automaton is a trie of the pieces with, for each node, a failure link and the nu
 (they are popped), so each byte is read once and no piece is built. Here the links are unrolled: a table gives, for each node and
 byte, the next node and how many pieces were popped on the way, and all words of a batch take their steps together.
 
-Pieces are byte strings; those for word starts and for continuations may differ. A word that cannot be cut counts as one unknown
-piece. Words are runs of other characters than ASCII white space, of the lower-cased text.
+Pieces are byte strings; those for word starts and for continuations may differ. Where a vocabulary marks word ends, a marked piece
+matches only up to the end of a word and any other only before it, with at least a byte after it. A word that cannot be cut counts
+as one unknown piece. Words are runs of other characters than ASCII white space, of the lower-cased text.
 
 Defined results: null, empty and blank texts have no words and no pieces; repeated rows are counted one by one; an empty table
 gives no rows; other columns are ignored.
@@ -38,25 +39,38 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-def load_pieces(path: str | None = None) -> list[bytes]:
-    """The pieces of a byte-level vocabulary file, with marks of word ends taken off."""
+def load_marked(path: str | None = None) -> tuple[list[bytes], list[bytes] | None]:
+    """The pieces of a byte-level vocabulary file: those without the mark of word ends, and those with it (None if none has it)."""
     with open(path or default_path(), encoding="utf-8") as f:
         vocabulary = json.load(f)["model"]["vocab"]
     letters = byte_letters()
-    words = {x.removesuffix(END_OF_WORD) for x in vocabulary}
-    return sorted({bytes(letters[c] for c in x) for x in words if x and all(c in letters for c in x)})
+    inner, ends = set(), set()
+    for x in vocabulary:
+        word = x.removesuffix(END_OF_WORD)
+        if word and all(c in letters for c in word):
+            (inner if word == x else ends).add(bytes(letters[c] for c in word))
+    return sorted(inner), sorted(ends) or None
+
+
+def load_pieces(path: str | None = None) -> list[bytes]:
+    """The pieces of a byte-level vocabulary file, with marks of word ends taken off."""
+    inner, ends = load_marked(path)
+    return sorted({*inner, *(ends or [])})
 
 
 class Automaton:
-    """Counts the pieces of words; `starts` are pieces for word starts, `continuations` for the rest (the same if not given)."""
+    """Counts the pieces of words; `starts` are pieces for word starts, `continuations` for the rest (the same if not given).
+
+    If `ends` are given, those alone match up to the end of a word, and the others only before it.
+    """
 
     _made: dict[str, Automaton] = {}
 
-    def __init__(self, starts: Iterable[bytes], continuations: Iterable[bytes] | None = None) -> None:
+    def __init__(self, starts: Iterable[bytes], continuations: Iterable[bytes] | None = None, ends: Iterable[bytes] | None = None) -> None:
         child: list[dict[int, int]] = [{}]
-        final = [False]
+        final, marked = [False], set()
 
-        def grow(root: int, pieces: Iterable[bytes]) -> None:
+        def grow(root: int, pieces: Iterable[bytes], end: bool = False) -> None:
             for piece in pieces:
                 node = root
                 for b in piece:
@@ -65,7 +79,10 @@ class Automaton:
                         child.append({})
                         final.append(False)
                     node = child[node][b]
-                final[node] = True
+                if end:
+                    marked.add(node)
+                else:
+                    final[node] = True
 
         grow(0, starts)
         rest = 0
@@ -74,6 +91,10 @@ class Automaton:
             child.append({})
             final.append(False)
             grow(rest, continuations)
+        if ends is not None:
+            ends = list(ends)
+            for root in {0, rest}:
+                grow(root, ends, end=True)
         n = len(child)
         self.dead, self.root = n, 0
         # bytes in no piece share a column
@@ -91,22 +112,26 @@ class Automaton:
         while level:
             for v in level:
                 if v in parent:
+                    # where v leads if it is no piece itself: the longest piece before its last byte popped, the rest read anew
+                    u, b = parent[v]
+                    z, count = fail[u], pops[u]
+                    while z >= 0 and b not in child[z]:
+                        count += pops[z]
+                        z = fail[z]
+                    fail[v], pops[v] = (child[z][b], count) if z >= 0 else (-1, 0)
+                    if v in marked:
+                        last[v] = 1
+                    elif ends is not None and fail[v] >= 0 and last[fail[v]] >= 0:
+                        last[v] = last[fail[v]] + pops[v]
                     if final[v]:
                         fail[v], pops[v] = rest, 1
-                    else:
-                        u, b = parent[v]
-                        z, count = fail[u], pops[u]
-                        while z >= 0 and b not in child[z]:
-                            count += pops[z]
-                            z = fail[z]
-                        fail[v], pops[v] = (child[z][b], count) if z >= 0 else (-1, 0)
                 if fail[v] >= 0:
                     step = table[fail[v]]
                     alive = (step >> POP_BITS) != n
                     if pops[v] + int((step & ((1 << POP_BITS) - 1)).max()) >= 1 << POP_BITS:
                         raise ValueError("a step pops too many pieces")
                     table[v] = np.where(alive, step + pops[v], step)
-                    if last[fail[v]] >= 0:
+                    if ends is None and last[fail[v]] >= 0:
                         last[v] = last[fail[v]] + pops[v]
                 for b, c in child[v].items():
                     table[v, self.column[b]] = c << POP_BITS
@@ -121,7 +146,8 @@ class Automaton:
         """One for each vocabulary file and worker process."""
         key = path or ""
         if key not in cls._made:
-            cls._made[key] = cls(load_pieces(path))
+            inner, ends = load_marked(path)
+            cls._made[key] = cls(inner, ends=ends)
         return cls._made[key]
 
     def count(self, data: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:

@@ -1,5 +1,7 @@
 """Language ID, token counts, token files, quality rules and shards."""
 
+import functools
+import json
 import random
 import re
 import zlib
@@ -94,6 +96,37 @@ def test_token_counts(spark):
     assert Counter(map(tuple, rows)) == Counter(want)
 
 
+def greedy_to_end(word, inner, ends):
+    i = n = 0
+    while i < len(word):
+        j = next((j for j in range(len(word), i, -1) if word[i:j] in (ends if j == len(word) else inner)), None)
+        if j is None:
+            return -1
+        i, n = j, n + 1
+    return n
+
+
+def test_token_counts_with_marked_word_ends(spark):
+    rng = random.Random(1)
+    for _ in range(200):
+        inner, ends = ({bytes(rng.choices(b"abc", k=rng.randint(1, 5))) for _ in range(rng.randint(1, 12))} for _ in range(2))
+        words = [bytes(rng.choices(b"abcd", k=rng.randint(1, 12), weights=[4, 4, 4, 0.2])) for _ in range(100)]
+        length = np.array([len(w) for w in words])
+        got = tokencount.Automaton(inner, ends=ends).count(np.frombuffer(b"".join(words), np.uint8), np.cumsum(length) - length, length)
+        assert got.tolist() == [greedy_to_end(w, inner, ends) for w in words]
+    with open(default_path(), encoding="utf-8") as f:
+        vocabulary = json.load(f)["model"]["vocab"]
+    letters = tokencount.byte_letters()
+    pieces = {bytes(letters[c] for c in x.removesuffix("</w>")) + b"\n" * x.endswith("</w>") for x in vocabulary if all(c in letters for c in x.removesuffix("</w>"))}
+    inner, ends = {x for x in pieces if x[-1:] != b"\n"}, {x[:-1] for x in pieces if x[-1:] == b"\n"}
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    found = {r.doc_id: (r.n_words, r.n_tokens, r.n_unknown) for r in tokencount.op3(docs).collect()}
+    cut = functools.cache(lambda w: greedy_to_end(w, inner, ends))
+    for r in docs.collect():
+        counts = [cut(w) for w in re.findall(rb"[^\x20\x09-\x0D]+", (r.text or "").lower().encode())]
+        assert found[r.doc_id] == (len(counts), sum(counts), 0)
+
+
 def test_token_files(spark):
     docs = edge_docs(spark)
     uri = fresh_dir(spark, "tokens")
