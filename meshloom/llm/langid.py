@@ -10,6 +10,9 @@ Training takes at most about SAMPLE_DOCS labelled documents of each language, ch
 tables hold at most MOST_SYMBOLS different bytes (rarer ones share one) and MOST_CONTEXTS contexts of three bytes, the most
 frequent ones. Texts are lower-cased.
 
+The score compares the learned languages alone. Whether a text is in any of them shows in its bits per byte: `keep_rows` holds them
+against a bound for each language, learned from training documents that are scored by a model of the others.
+
 Defined results: `und` with score 0 for null texts and texts without a letter, and for all texts if nothing could be learned; ties
 go to the language first in order; a null doc_id counts as the empty text for its remainder; repeated rows agree; an empty table
 gives no rows; other columns are ignored by `predict` and carried along by `keep_rows`.
@@ -25,6 +28,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from meshloom.llm.common import materialize
+
 SAMPLE_DOCS = 500
 MOST_SYMBOLS = 128
 MOST_CONTEXTS = 20_000
@@ -35,6 +40,9 @@ WINDOW = 1 << 20
 UNKNOWN = "und"
 #: Documents below this score are rejected by `keep_rows`.
 LEAST_SCORE = 0.5
+#: So are those that take more bits a byte than this many times the median of their language's training documents, by this many bits.
+MOST_TIMES = 2.5
+SLACK = 64.0
 LETTER = regex.compile(r"\p{L}")
 
 
@@ -150,21 +158,68 @@ class Model:
         return best, 1.0 / odds.sum(axis=1)
 
 
-def train(docs: DataFrame) -> Model | None:
-    """A model of the labelled documents whose remainder isn't 1; None if there are none."""
+def _sample(docs: DataFrame) -> DataFrame | None:
+    """(lang, text) of the documents to train on: labelled ones whose remainder isn't 1; None if there are none."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (remainder(F.col("doc_id")) != 1)).select("lang", "text", "doc_id")
     share = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()  # a row for each language
     if not share:
         return None
     limits = F.create_map(*[x for r in share for x in (F.lit(r["lang"]), F.lit(min(1.0, SAMPLE_DOCS / r["n"])))])
     spread = F.shiftrightunsigned(F.xxhash64("doc_id"), 1) / float(1 << 63)
-    sample = known.where(spread < F.element_at(limits, F.col("lang")))
+    return known.where(spread < F.element_at(limits, F.col("lang"))).select("lang", "text")
+
+
+def _learn(sample: DataFrame) -> Model | None:
     table = count_grams(sample).toArrow()  # at most the grams of the sample
     langs, gram, n = (table.column(i).to_numpy() for i in range(3))
     counts = {lang: (gram[langs == lang], n[langs == lang]) for lang in sorted(set(langs))}
     return Model(counts) if counts else None
 
 
+def train(docs: DataFrame) -> Model | None:
+    """A model of the labelled documents whose remainder isn't 1; None if there are none."""
+    sample = _sample(docs)
+    return None if sample is None else _learn(sample)
+
+
+def train_bounded(docs: DataFrame) -> tuple[Model | None, np.ndarray]:
+    """The model of `train`, and the most bits a byte of each of its languages.
+
+    Each half of the training documents is scored by a model of the other half, as their own model knows them too well. A language
+    that only one half has is scored by the others, which makes its bound a wide one; without any score there is no bound.
+    """
+    sample = _sample(docs)
+    if sample is None:
+        return None, np.zeros(0)
+    sample = materialize(sample.withColumn("half", F.pmod(F.xxhash64("text"), F.lit(2))), "training")
+    model = _learn(sample)
+    if model is None:
+        return None, np.zeros(0)
+    rates = None
+    for half in (0, 1):
+        own = _learn(sample.where(F.col("half") != half))
+        if own:
+            found = _rates(sample.where(F.col("half") == half), own)
+            rates = found if rates is None else rates.union(found)
+    middle = {} if rates is None else {r["lang"]: r["rate"] for r in rates.groupBy("lang").agg(F.median("rate").alias("rate")).collect()}  # a row for each language
+    return model, np.array([MOST_TIMES * middle.get(lang, np.inf) for lang in model.langs])
+
+
+def _rates(docs: DataFrame, model: Model) -> DataFrame:
+    """(lang, rate): bits a byte of each text with a letter, in the language that takes the fewest."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in _slices(batch):
+                rows = [(lang, as_bytes(x)) for lang, x in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True) if LETTER.search(x)]
+                if rows:
+                    rate = sent.value.bits([x for _, x in rows]).min(axis=1) / [len(x) for _, x in rows]
+                    yield pa.RecordBatch.from_arrays([pa.array([lang for lang, _ in rows], pa.string()), pa.array(rate, pa.float64())], names=["lang", "rate"])
+
+    return docs.select("lang", "text").mapInArrow(run, "lang string, rate double")
+
+
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     """(doc_id, lang_pred, score): one row per document."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
@@ -190,22 +245,25 @@ def _slices(batch: pa.RecordBatch, rows: int = 1000) -> Iterator[pa.RecordBatch]
 
 
 def keep_rows(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose language is known with LEAST_SCORE or more, with their columns as they were."""
-    sent = docs.sparkSession.sparkContext.broadcast(train(docs))
+    """The rows of docs whose language is known with LEAST_SCORE or more and by its bits a byte, with their columns as they were."""
+    sent = docs.sparkSession.sparkContext.broadcast(train_bounded(docs))
 
     @F.pandas_udf("boolean")
     def known(texts):
         import pandas as pd
 
-        own, out = sent.value, []
+        (own, bound), out = sent.value, []
         for start in range(0, len(texts), 1000):
             part = texts.iloc[start : start + 1000].tolist()
             kept = [False] * len(part)
             there = [i for i, x in enumerate(part) if own and x and LETTER.search(x)]
             if there:
-                _, score = own.judge(own.bits([as_bytes(part[i]) for i in there]))
-                for i, p in zip(there, score, strict=True):
-                    kept[i] = bool(p >= LEAST_SCORE)
+                data = [as_bytes(part[i]) for i in there]
+                bits = own.bits(data)
+                best, score = own.judge(bits)
+                near = bits.min(axis=1) <= bound[best] * [len(x) for x in data] + SLACK
+                for i, p, fits in zip(there, score, near, strict=True):
+                    kept[i] = bool(fits and p >= LEAST_SCORE)
             out += kept
         return pd.Series(out, dtype=bool)
 

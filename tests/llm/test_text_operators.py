@@ -69,6 +69,21 @@ def test_language_edges(spark):
     assert {r.lang_pred for r in langid.op1(docs.drop("lang").withColumn("lang", docs.text.cast("string").substr(1, 0))).where("doc_id = 2").collect()} == {"und"}
 
 
+def test_language_stage_rejects_what_was_not_learned(spark):
+    rng = random.Random(5)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang").collect()
+    clean = [r for r in docs if r.text and re.search("[^\\W\\d_]", r.text)]
+    lost = "de"
+    noise = [(10**6 + i, "".join(rng.choices("abcdefghijklmnopqrstuvwxyz" + " " * (i % 2 * 5), k=rng.randint(20, 2000))), None) for i in range(100)]
+    foreign = [r for r in clean if r.lang == lost and len(r.text) >= 100]
+    schema = "doc_id long, text string, lang string"
+    kept = {r.doc_id for r in langid.keep_rows(spark.createDataFrame([*map(tuple, clean), *noise], schema)).collect()}
+    assert not any(i in kept for i, _, _ in noise) and all(r.doc_id in kept for r in clean)
+    other = [tuple(r) for r in clean if r.lang != lost]
+    kept = {r.doc_id for r in langid.keep_rows(spark.createDataFrame([*other, *((r.doc_id, r.text, None) for r in foreign)], schema)).collect()}
+    assert foreign and sum(r.doc_id in kept for r in foreign) <= 0.05 * len(foreign) and all(i in kept for i, _, _ in other)
+
+
 def greedy(word, pieces):
     i = n = 0
     while i < len(word):
