@@ -23,7 +23,8 @@ With 40 bands of 6, a pair at Jaccard 0.8 shares no bucket with probability (1 -
 
 Defined results: null, empty and blank texts have an empty set, n_shingles 0, and are linked with nothing; with fewer words than
 a shingle the whole sequence is the one member; rows with equal doc_id are one document per row, and share a component if their
-sets are linked; a null doc_id is never smallest unless all are null; an empty table gives no rows; other columns are ignored.
+sets are linked; rows with a null doc_id are linked as any other; a null doc_id is never smallest unless all are null; an empty
+table gives no rows; other columns are ignored. Rows are told apart by a 64-bit hash of doc_id and text.
 """
 
 from __future__ import annotations
@@ -38,7 +39,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meshloom.llm.common import materialize
+from meshloom.llm.common import WORD, materialize
 
 BANDS = 40
 ROWS = 6
@@ -160,10 +161,10 @@ def sketch(docs: DataFrame, size: int) -> DataFrame:
                         keys.append(band_keys(r).view(np.int64))
                     else:
                         set_key.append(None), regs.append(None), keys.append(None)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(set_key, pa.binary()), pa.array(regs, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "set_key", "regs", "keys"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(n, pa.int64()), pa.array(set_key, pa.binary()), pa.array(regs, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["row_key", "doc_id", "n_shingles", "set_key", "regs", "keys"])
 
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles long, set_key binary, regs binary, keys array<long>"
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    schema = f"row_key long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles long, set_key binary, regs binary, keys array<long>"
+    return docs.select("row_key", "text", "doc_id").mapInArrow(run, schema)
 
 
 def _sets(pairs: DataFrame, reps: DataFrame, docs: DataFrame, size: int) -> DataFrame:
@@ -176,9 +177,9 @@ def _sets(pairs: DataFrame, reps: DataFrame, docs: DataFrame, size: int) -> Data
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(map(xxhash.xxh3_128_digest, sets), pa.binary()), pa.array(sets, pa.binary())], names=["rep", "set_key", "members"])
 
     wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), "wanted")
-    texts = _maybe_in(docs.select(F.col("doc_id").alias("rep"), "text"), wanted).join(wanted, "rep", "left_semi")
+    texts = _maybe_in(docs.select(F.col("row_key").alias("rep"), "text"), wanted).join(wanted, "rep", "left_semi")
     found = texts.mapInArrow(members, "rep long, set_key binary, members binary")
-    # of rows with equal ids, the one that represents its class
+    # of equal rows, one
     return materialize(found.join(reps.select("rep", "set_key"), ["rep", "set_key"], "left_semi").dropDuplicates(["rep"]).drop("set_key"), "sets")
 
 
@@ -306,22 +307,25 @@ def _large_cross(differences: DataFrame, comp: DataFrame, threshold: tuple[int,
     return met.select(F.least("vx", "vy").alias("a"), F.greatest("vx", "vy").alias("b")).distinct()
 
 
-def group(docs: DataFrame, size: int = 5, threshold: tuple[int, int] = (8, 10)) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept): one row per document; (8, 10) links at a Jaccard index of 8/10 or more."""
-    docs = docs.select("doc_id", "text")
+def _row_key() -> Column:
+    return F.xxhash64("doc_id", "text")
+
+
+def _grouped(docs: DataFrame, size: int, threshold: tuple[int, int]) -> DataFrame:
+    """(row_key, doc_id, n_shingles, component_id, kept_row): one row per document; kept_row is the row_key that stands for the component."""
+    docs = docs.select(_row_key().alias("row_key"), "doc_id", "text")
     sketched = materialize(sketch(docs, size), "sketches")
-    classes = sketched.where("set_key IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("rep"))
+    # of each class the row that represents it, and the one with the smallest doc_id
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")
+    classes = sketched.where("set_key IS NOT NULL").groupBy("set_key").agg(F.min("row_key").alias("rep"), F.min(first).alias("first"))
     classes = materialize(classes, "classes")
-    slim = sketched.where("set_key IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "set_key")
-    member = materialize(slim.join(classes, "set_key").select("doc_id", "rep").distinct(), "members")
-    # a doc_id that repeats with other texts may represent one class only: its rows are then linked through the id itself
-    reps = sketched.join(classes.withColumnRenamed("rep", "doc_id"), ["set_key", "doc_id"], "left_semi").dropDuplicates(["doc_id"])
-    reps = materialize(reps.select(F.col("doc_id").alias("rep"), "set_key", "n_shingles", "regs", "keys"), "reps")
+    reps = sketched.join(classes.select("set_key", F.col("rep").alias("row_key")), ["set_key", "row_key"], "left_semi").dropDuplicates(["row_key"])
+    reps = materialize(reps.select(F.col("row_key").alias("rep"), "set_key", "n_shingles", "regs", "keys"), "reps")
     spread = reps.select("rep", F.col("n_shingles").alias("n"), F.explode("keys").alias("key"))
     counts = spread.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     met = materialize(spread.join(counts, "key"), "met")
     scored = met.join(met.groupBy("rep").agg(F.sum("m").alias("score")), "rep")
-    heads = scored.groupBy("key").agg(F.max_by("rep", F.struct("score", -F.col("rep"))).alias("head"))
+    heads = scored.groupBy("key").agg(F.max_by("rep", F.struct("score", F.bitwise_not("rep"))).alias("head"))
     buckets = materialize(met.join(heads, "key"), "buckets")
     stars = buckets.where("rep != head").groupBy(F.col("head").alias("a"), F.col("rep").alias("b")).agg(F.max("m").alias("m"))
     stars = materialize(stars, "stars")
@@ -335,17 +339,36 @@ def group(docs: DataFrame, size: int = 5, threshold: tuple[int, int] = (8, 10))
         found = _verify(more, reps, docs, size, threshold)
         if not found.isEmpty():
             comp = components(materialize(links.union(found), "links"))
-    # every document: its class representative's component
-    chosen = member.join(comp.withColumnRenamed("id", "rep"), "rep", "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "rep")).alias("component_id"))
-    out = sketched.select("doc_id", "n_shingles").join(chosen, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    # every document: the first row of its class representative's component
+    named = materialize(_with_components(classes, comp).select("set_key", "c", "first"), "named-classes")
+    firsts = named.groupBy("c").agg(F.min("first").alias("first"))
+    chosen = materialize(named.select("set_key", "c").join(firsts, "c").select("set_key", "first"), "chosen")
+    out = sketched.select("row_key", "doc_id", "n_shingles", "set_key").join(chosen, "set_key", "left")
+    alone = F.col("set_key").isNull()
+    return out.select(
+        "row_key",
+        "doc_id",
+        "n_shingles",
+        F.when(alone, F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("component_id"),
+        F.when(alone, F.col("row_key")).otherwise(F.col("first.row_key")).alias("kept_row"),
+    )
+
+
+def group(docs: DataFrame, size: int = 5, threshold: tuple[int, int] = (8, 10)) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept): one row per document; (8, 10) links at a Jaccard index of 8/10 or more."""
+    kept = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    return _grouped(docs, size, threshold).select("doc_id", "n_shingles", "component_id", kept.alias("kept"))
 
 
 def keep_rows(docs: DataFrame, size: int = 5) -> DataFrame:
-    """The rows of docs that stand for their group, with their columns as they were; of repeated rows one stays."""
-    kept = group(docs, size).where("kept").select("doc_id").distinct()
-    one = docs.dropDuplicates(["doc_id"]).join(kept, "doc_id", "left_semi")
-    return one.unionByName(docs.where("doc_id IS NULL")).select(*docs.columns)
+    """The rows of docs that stand for their group, with their columns as they were; of repeated rows one stays.
+
+    Rows without a word are copies of nothing; those that have no doc_id either all stay.
+    """
+    kept = _grouped(docs, size, (8, 10)).where("row_key = kept_row").select(F.col("row_key").alias("_row")).distinct()
+    nothing = F.col("doc_id").isNull() & ~F.coalesce("text", F.lit("")).rlike(WORD)
+    one = docs.where(~nothing).withColumn("_row", _row_key()).dropDuplicates(["_row"]).join(kept, "_row", "left_semi").drop("_row")
+    return one.unionByName(docs.where(nothing)).select(*docs.columns)
 
 
 ORACLE = """

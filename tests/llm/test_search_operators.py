@@ -76,6 +76,18 @@ def test_near_duplicate_edges(spark):
     assert neardup.op9(docs.where("false")).count() == 0
 
 
+def test_near_duplicates_without_ids_and_with_shared_ids(spark):
+    rng = random.Random(3)
+    a, b, c, d, e = ([f"w{rng.randint(0, 10**9)}" for _ in range(100)] for _ in range(5))
+    text = lambda words, end="": " ".join([*words, *end.split()])
+    rows = [(None, text(a)), (None, text(a)), (None, text(a, "more")), (7, text(b)), (7, text(c)), (8, text(c, "more")), (9, text(b, "more")), (None, text(d)), (4, text(d, "more")), (7, text(e)), (None, ""), (None, "")]
+    docs = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, n int")
+    got = {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in neardup.op9(docs).collect()}
+    assert got == {(None, 99, None, True), (None, 100, None, True), (7, 99, 7, True), (8, 100, 7, False), (9, 100, 7, False), (None, 99, 4, False), (4, 100, 4, True), (None, 0, None, True)}
+    kept = sorted(r.n for r in neardup.keep_rows(docs).collect())
+    assert len([n for n in kept if n < 3]) == 1 and kept[1:] == [3, 4, 8, 9, 10, 11]
+
+
 def test_sketches_estimate_similarity():
     rng = np.random.default_rng(1)
     for j in (0.9, 0.5, 0.2):
