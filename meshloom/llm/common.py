@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -70,3 +73,29 @@ def running_total(rows: DataFrame, by: str, at: str, ties: list[str], value: str
     inner = Window.partitionBy(by, "_bucket").orderBy(at, *ties).rowsBetween(Window.unboundedPreceding, -1)
     within = cut.withColumn("_within", F.coalesce(F.sum(value).over(inner), F.lit(0)))
     return within.join(base, [by, "_bucket"]).withColumn(out, F.col("_base") + F.col("_within")).drop("_base", "_within", "_bucket")
+
+
+def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Iterator[pa.RecordBatch]]]:
+    """Sorted batches by their first column: (value, iterator of batches)."""
+    state: dict = {"rest": None, "batches": iter(batches)}
+
+    def next_batch() -> pa.RecordBatch | None:
+        b = state["rest"] if state["rest"] is not None else next(state["batches"], None)
+        state["rest"] = None
+        return b if b is None or b.num_rows else next_batch()
+
+    def rows(value: int):
+        while (b := next_batch()) is not None:
+            own = b.column(0).to_numpy()
+            n = int(np.searchsorted(own, value, "right"))
+            if n < len(own):
+                state["rest"] = b.slice(n)
+            if n:
+                yield b.slice(0, n)
+            if n < len(own):
+                return
+
+    while (b := next_batch()) is not None:
+        state["rest"] = b
+        value = b.column(0)[0].as_py()
+        yield value, rows(value)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshloom.llm.common import fresh_dir
+from meshloom.llm.common import fresh_dir, runs
 from meshloom.llm.files import open_dir, replaced
 from meshloom.llm.tokens import WordEncoder, default_path
 
@@ -196,7 +196,7 @@ def write(docs: DataFrame, uri: str, path: str | None = None, end_id: int = END_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, folder = open_dir(uri)
         width = 4 if wide else 2
-        for shard, parts in _runs(batches):
+        for shard, parts in runs(batches):
             for number, (name, ids, null, sizes) in enumerate(_write_parts(system, folder, shard, parts, width)):
                 yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([number], pa.int32()), pa.array([name]), pa.array([len(ids)], pa.int64()), pa.array([int(sizes.sum())], pa.int64())], names=["shard", "part", "name", "docs", "tokens"])
 
@@ -208,32 +208,6 @@ def write(docs: DataFrame, uri: str, path: str | None = None, end_id: int = END_
     return {"uri": uri, "bounds": bounds, "files": files, "tokens": at}
 
 
-def _runs(batches: Iterator[pa.RecordBatch]):
-    """Consecutive rows of one shard: (shard, iterator of (doc_id, ids) batches)."""
-    state: dict = {"rest": None, "batches": iter(batches)}
-
-    def next_batch() -> pa.RecordBatch | None:
-        b = state["rest"] if state["rest"] is not None else next(state["batches"], None)
-        state["rest"] = None
-        return b if b is None or b.num_rows else next_batch()
-
-    def rows(shard: int):
-        while (b := next_batch()) is not None:
-            own = b.column(0).to_numpy()
-            n = int(np.searchsorted(own, shard, "right"))
-            if n < len(own):
-                state["rest"] = b.slice(n)
-            if n:
-                yield b.slice(0, n)
-            if n < len(own):
-                return
-
-    while (b := next_batch()) is not None:
-        state["rest"] = b
-        shard = b.column(0)[0].as_py()
-        yield shard, rows(shard)
-
-
 def _write_parts(system, folder: str, shard: int, batches: Iterator[pa.RecordBatch], width: int):
     """Writes a shard's parts; yields (name, doc_ids, nulls, sizes) of each."""
     number, pending = 0, None
@@ -273,7 +247,7 @@ def lookup(keys: DataFrame, manifest: dict) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, folder = open_dir(uri)
-        for shard, parts in _runs(batches):
+        for shard, parts in runs(batches):
             opened = [(Shard(system, f"{folder}/{name}"), start) for name, start in files.get(shard, [])]
             last = None
             for batch in parts:

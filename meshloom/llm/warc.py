@@ -30,9 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshloom.llm.common import fresh_dir, materialize
+from meshloom.llm.common import fresh_dir, materialize, runs
 from meshloom.llm.files import open_dir, replaced
-from meshloom.llm.tokenbin import _runs
 
 LEAST_PAYLOAD = 0
 FILE_BYTES = 256 << 20
@@ -248,7 +247,7 @@ def lookup(urls: DataFrame, archive: str, index: str, ranges: list[tuple[str, st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (system, folder), (_, cdx) = open_dir(archive), open_dir(index)
         opened: OrderedDict = OrderedDict()
-        for shard, parts in _runs(batches):
+        for shard, parts in runs(batches):
             found = Range(system, f"{cdx}/{names[shard]}")
             for batch in parts:
                 out = []

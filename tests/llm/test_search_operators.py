@@ -99,19 +99,78 @@ def test_sketches_estimate_similarity():
         assert neardup.unlikely(a[None], b[None], np.array([500]), np.array([500]), 0.8)[0] == (j < 0.6)
 
 
-def test_top_k_against_brute_force(spark):
+def brute_top(rows, k=20, every=20):
+    """Of (id, vector) rows with whole numbers as components, by arithmetic of any length."""
+    out = []
+    for i, (qid, q) in enumerate(rows):
+        if qid % every == 0:
+            scored = [(-max(-(2**63) + 1, min(2**63 - 1, sum(int(a) * int(b) for a, b in zip(q, v, strict=True)))), x) for j, (x, v) in enumerate(rows) if j != i and len(v) == len(q)]
+            out += [(qid, r + 1, x, -s) for r, (s, x) in enumerate(sorted(scored)[:k])]
+    return sorted(out)
+
+
+def clustered(n=3000, dim=8):
     rng = np.random.default_rng(0)
-    centers = rng.normal(size=(12, 8))
-    v = (centers[rng.integers(0, 12, 3000)] + 0.02 * rng.normal(size=(3000, 8))) * 10
-    v[1000:1600] = v[1000]
-    ids = np.arange(3000)
-    q = np.floor(64 * v)
-    best = topk.search(q[::20], q, ids, ids[::20], ids, 20)
-    scores = q[::20] @ q.T
-    scores[np.arange(150), ids[::20]] = -np.inf
-    for i in range(150):
-        order = np.lexsort((ids, -scores[i]))[:20]
-        assert best.id[i].tolist() == order.tolist() and best.score[i].tolist() == scores[i][order].tolist()
+    centers = rng.normal(size=(12, dim))
+    v = (centers[rng.integers(0, 12, n)] + 0.02 * rng.normal(size=(n, dim))) * 10
+    v[n // 3 : n // 2] = v[n // 3]
+    return v
+
+
+def tree_of(points, every=1):
+    ids = np.arange(len(points))[::every]
+    return topk.Tree.load(topk.Tree.build(points[::every], ids, ids).dump())
+
+
+@pytest.mark.parametrize("kind", ["clustered", "embeddings", "scales", "equal"])
+def test_top_k_search_against_brute_force(spark, kind):
+    rng = np.random.default_rng(1)
+    if kind == "embeddings":
+        v = np.array([r.embedding for r in spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").collect()])
+    else:
+        v = {"clustered": clustered(), "scales": rng.normal(size=(1500, 3)) * np.exp(3 * rng.normal(size=(1500, 1))), "equal": np.zeros((100, 4))}[kind]
+    points = np.floor(64 * v)
+    q, c = tree_of(points, 20), tree_of(points)
+    best = topk.Best(len(q.points), 20)
+    topk.search(q, c, best)
+    got = sorted((int(q.ids[i]), r + 1, int(best.id[i, r]), int(best.score[i, r])) for i in range(len(q.ids)) for r in range(20))
+    assert got == brute_top(list(enumerate(points.tolist())))
+    pairs = len(q.points) * len(points)
+    if kind == "embeddings":
+        # a search over the tree, whose points are about equally far apart: its bounds are those of single points
+        assert (c.kids > 0).any() and best.scored < 0.05 * pairs
+    if kind == "clustered":
+        assert best.scored + best.bounded < 0.25 * pairs and (c.kids > 0).sum() > 10
+
+
+def test_cover_trees_cover_and_separate():
+    points = np.floor(64 * clustered())
+    t = tree_of(points)
+    for node in range(len(t.kids)):
+        mine = t.points[t.lo[node] : t.hi[node]]
+        assert np.sqrt(((mine - t.points[t.center[node]]) ** 2).sum(axis=1)).max() <= t.radius[node] + 1e-6
+        kids = t.children(np.array([node]))
+        if len(kids):
+            assert sorted(t.rows(kids).tolist()) == list(range(t.lo[node], t.hi[node])) and (t.radius[kids] <= t.radius[node] / 2).all()
+            gap = np.sqrt(((t.centers(kids)[:, None] - t.centers(kids)[None]) ** 2).sum(axis=2))
+            assert gap[~np.eye(len(kids), dtype=bool)].min() > t.radius[node] / 2
+
+
+def test_top_k_over_cells_and_blocks(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK_BYTES", 1)
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 40)
+    v = clustered(2000)
+    table = spark.createDataFrame([(i, x) for i, x in enumerate(v.tolist())], "vec_id long, embedding array<double>")
+    got = sorted(tuple(r) for r in topk.op10(table).collect())
+    assert got == brute_top([(i, x) for i, x in enumerate(np.floor(64 * v).tolist())])
+
+
+def test_top_k_with_large_components(spark):
+    rng = random.Random(4)
+    rows = [(i, [float(rng.randint(-100, 100)) * 10.0 ** rng.choice([0, 0, 0, 3, 7, 9, 12, 200]) for _ in range(3)]) for i in range(60)]
+    table = spark.createDataFrame([*rows, (40, [1e308, -1e308, 1e308])], "vec_id long, embedding array<double>")
+    whole = [(i, [int(64 * x) for x in v]) for i, v in rows] + [(40, [int(1.7e308), -int(1.7e308), int(1.7e308)])]
+    assert sorted(tuple(r) for r in topk.op10(table).collect()) == brute_top(whole)
 
 
 def test_top_k_edges(spark):
