@@ -65,14 +65,33 @@ def running_total(rows: DataFrame, by: str, at: str, ties: list[str], value: str
     buckets of about ROWS_PER_BUCKET rows; buckets are summed first, and windows run within a bucket and over the buckets' sums
     only, so that a group with a third of all rows is spread over many tasks. by must not be null.
     """
-    width = sizes.select(by, F.ceil(F.lit(float(1 << 60)) / F.ceil(F.col("n_rows") / ROWS_PER_BUCKET)).cast("long").alias("_width"))
-    cut = rows.join(F.broadcast(width), by).withColumn("_bucket", F.expr(f"{at} div _width")).drop("_width")
-    sums = cut.groupBy(by, "_bucket").agg(F.sum(value).alias("_sum"))
-    before = Window.partitionBy(by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    base = sums.select(by, "_bucket", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_base"))
-    inner = Window.partitionBy(by, "_bucket").orderBy(at, *ties).rowsBetween(Window.unboundedPreceding, -1)
-    within = cut.withColumn("_within", F.coalesce(F.sum(value).over(inner), F.lit(0)))
-    return within.join(base, [by, "_bucket"]).withColumn(out, F.col("_base") + F.col("_within")).drop("_base", "_within", "_bucket")
+    width = sizes.select(by, F.ceil(F.lit(float(1 << 60)) / F.ceil(F.col("n_rows") / ROWS_PER_BUCKET)).cast("long").alias("__width"))
+    cut = rows.join(width, by).withColumn("__bucket", F.floor(F.col(at) / F.col("__width"))).drop("__width")
+    sums = cut.groupBy(by, "__bucket").agg(F.sum(value).alias("__sum"))
+    before = Window.partitionBy(by).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    base = sums.select(by, "__bucket", F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__base"))
+    inner = Window.partitionBy(by, "__bucket").orderBy(at, *ties).rowsBetween(Window.unboundedPreceding, -1)
+    within = cut.withColumn("__within", F.coalesce(F.sum(value).over(inner), F.lit(0)))
+    return within.join(base, [by, "__bucket"]).withColumn(out, F.col("__base") + F.col("__within")).drop("__base", "__within", "__bucket")
+
+
+def ordered_totals(rows: DataFrame, order: list[str], totals: dict[str, str]) -> DataFrame:
+    """Adds each out of totals (out: value): the sum of value over the rows that come earlier in the order.
+
+    Rows are written, cut into ranges, ranges are summed, and windows run within a range. Rows must differ in the order's columns.
+    """
+    spark = rows.sparkSession
+    cut = materialize(rows.repartitionByRange(spark.sparkContext.defaultParallelism, *order).withColumn("__range", F.spark_partition_id()), "ranges")
+    sums = {r["__range"]: r for r in cut.groupBy("__range").agg(*[F.sum(value).alias(out) for out, value in totals.items()]).collect()}  # a row for each range
+    base, at = [], {out: 0.0 if cut.schema[value].dataType.typeName() == "double" else 0 for out, value in totals.items()}
+    for k in sorted(sums):
+        base.append((k, *at.values()))
+        at = {out: n + sums[k][out] for out, n in at.items()}
+    kinds = ", ".join(f"`__{out}` {cut.schema[value].dataType.simpleString()}" for out, value in totals.items())
+    bases = spark.createDataFrame(base, f"__range int, {kinds}")
+    inner = Window.partitionBy("__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    out = cut.withColumns({out: F.coalesce(F.sum(value).over(inner), F.lit(0)) for out, value in totals.items()}).join(F.broadcast(bases), "__range")
+    return out.withColumns({out: F.col(out) + F.col(f"__{out}") for out in totals}).drop("__range", *[f"__{out}" for out in totals])
 
 
 def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Iterator[pa.RecordBatch]]]:
