@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -118,3 +119,14 @@ def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Iterator[pa.R
         state["rest"] = b
         value = b.column(0)[0].as_py()
         yield value, rows(value)
+
+
+def slices(batch: pa.RecordBatch, column: int = 1, rows: int = 1000, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of at most so many rows, and of at most so many bytes in a text column unless a single text has more."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy().astype(np.int64))
+    start = 0
+    while start < batch.num_rows:
+        stop = int(np.searchsorted(ends, (ends[start - 1] if start else 0) + size, "right"))
+        stop = max(start + 1, min(stop, start + rows))
+        yield batch.slice(start, stop - start)
+        start = stop

@@ -4,14 +4,16 @@ Each language has a context tree of up to three preceding bytes. A byte that fol
 bits, d being the number of different bytes seen there; any other costs the escape, -log2(d / (N + d)), and what it costs in the
 context one byte shorter; a context never seen escapes free of charge; without context all bytes cost alike. The language with
 the fewest bits for the whole text wins. Since statistics are frozen after training, the cost of a byte depends on itself and the
-three before it alone, so the trees are unrolled into tables and a batch of texts is scored by table look-ups.
+three before it alone. So the trees are unrolled: for each order there is a hash table of the contexts and bytes that any language
+has seen, with their cost in each language, and one of the contexts with their escapes; a batch of texts is scored by look-ups.
+The tables hold all that was seen and nothing else; languages share them in groups of GROUP.
 
-Training takes at most about SAMPLE_DOCS labelled documents of each language, chosen by a hash of text and label, each whole; the
-tables hold at most MOST_SYMBOLS different bytes (rarer ones share one) and MOST_CONTEXTS contexts of three bytes, the most
-frequent ones. Texts are lower-cased.
+Training takes at most about SAMPLE_DOCS different labelled texts of each language and SAMPLE_ALL in all, chosen by a hash of the
+text, each whole; of more than MOST_LANGS labels those with the most documents are learned. Texts are lower-cased.
 
-The score compares the learned languages alone. Whether a text is in any of them shows in its bits per byte: `keep_rows` holds them
-against a bound for each language, learned from training documents that are scored by a model of the others.
+The score is the probability of the language among those learned, times the share that its code saves of eight bits a byte: junk
+costs nearly as much as no model at all. `keep_rows` wants a probability of LEAST_SCORE, and bits a byte within a bound for each
+language, learned from training documents that are scored by a model of the others.
 
 Defined results: `und` with score 0 for null texts and texts without a letter, and for all texts if nothing could be learned; ties
 go to the language first in order; a null doc_id counts as the empty text for its remainder; repeated rows agree; an empty table
@@ -28,20 +30,24 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meshloom.llm.common import materialize
+from meshloom.llm.common import materialize, slices
 
 SAMPLE_DOCS = 500
-MOST_SYMBOLS = 128
-MOST_CONTEXTS = 20_000
+SAMPLE_ALL = 50_000
+MOST_LANGS = 1000
+#: Languages whose costs stand side by side in a table.
+GROUP = 16
 ORDER = 3
 PAD = b" " * ORDER
 #: Positions that are scored at once.
-WINDOW = 1 << 20
+WINDOW = 1 << 19
 UNKNOWN = "und"
-#: Documents below this score are rejected by `keep_rows`.
+#: Documents whose language is less probable are rejected by `keep_rows`.
 LEAST_SCORE = 0.5
-#: So are those that take more bits a byte than this many times the median of their language's training documents, by this many bits.
-MOST_TIMES = 2.5
+#: So are those whose bits a byte lie further than this from their language's towards a foreign one's, and above this many times
+#: their language's own, by this many bits.
+TOWARDS_FOREIGN = 2 / 3
+LEAST_TIMES = 2.0
 SLACK = 64.0
 LETTER = regex.compile(r"\p{L}")
 
@@ -64,7 +70,7 @@ def count_grams(docs: DataFrame) -> DataFrame:
     """(lang, gram, n) of the texts of docs (lang, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (x for b in batches for x in slices(b)):
             by: dict[str, list[bytes]] = {}
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 by.setdefault(lang, []).append(as_bytes(text))
@@ -77,78 +83,114 @@ def count_grams(docs: DataFrame) -> DataFrame:
     return docs.select("lang", "text").mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
+class Table:
+    """Rows of values for 32-bit keys, found by hashing; keys that aren't there have the last row, which is zero."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
+        self.shift = np.uint32(32 - max(4, (2 * len(keys)).bit_length()))
+        self.keys = np.append(keys.astype(np.uint32), np.uint32(0))
+        self.values = np.vstack([values, np.zeros((1, values.shape[1]))]).astype(np.float32)
+        self.slots = np.full(1 << (32 - int(self.shift)), len(keys), np.int32)
+        left = np.arange(len(keys))
+        at = self._home(self.keys[left])
+        while len(left):
+            free = self.slots[at] == len(keys)
+            self.slots[at[free]] = left[free]  # of several, the last stays
+            out = self.slots[at] != left
+            left, at = left[out], (at[out] + 1) & (len(self.slots) - 1)
+
+    def _home(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * np.uint32(2654435769)) >> self.shift).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Row of each key; that after the last for foreign ones."""
+        none = len(self.keys) - 1
+        at = self._home(keys)
+        row = self.slots[at]
+        left = np.flatnonzero((self.keys[row] != keys) & (row != none))
+        while len(left):
+            at[left] = (at[left] + 1) & (len(self.slots) - 1)
+            row[left] = self.slots[at[left]]
+            left = left[(self.keys[row[left]] != keys[left]) & (row[left] != none)]
+        return row
+
+
+class Trees:
+    """The context trees of some languages, unrolled."""
+
+    def __init__(self, counts: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        size = len(counts)
+        costs = np.full((256, size), 8.0)  # without context: all bytes alike
+        shorter, seen_shorter = costs, np.arange(256)
+        self.costs, self.escapes = [], []
+        for order in range(ORDER + 1):
+            mask = (1 << (8 * (order + 1))) - 1
+            own = []
+            for gram, n in counts:
+                keys, at = np.unique(gram & mask, return_inverse=True)
+                own.append((keys, np.bincount(at, n, len(keys))))
+            seen = np.unique(np.concatenate([k for k, _ in own]))
+            contexts = np.unique(seen >> 8)
+            escape, cost = np.zeros((len(contexts), size)), np.empty((len(seen), size))
+            suffix = np.searchsorted(seen_shorter, seen & (mask >> 8)) if order else seen
+            for k, (keys, n) in enumerate(own):
+                at = np.searchsorted(contexts, keys >> 8)
+                total, kinds = np.bincount(at, n, len(contexts)), np.bincount(at, minlength=len(contexts))
+                there = kinds > 0
+                escape[there, k] = np.log2((total + kinds)[there] / kinds[there])
+                cost[:, k] = escape[np.searchsorted(contexts, seen >> 8), k] + shorter[suffix, k]
+                cost[np.searchsorted(seen, keys), k] = np.log2((total + kinds)[at] / n)
+            self.costs.append(Table(seen, cost))
+            self.escapes.append(Table(contexts, escape))
+            shorter, seen_shorter = cost, seen
+        self.uniform = 8.0
+
+    def bits(self, grams: np.ndarray) -> np.ndarray:
+        """Of each byte with the three before it, in each language."""
+        row = self.costs[ORDER].find(grams)
+        out = self.costs[ORDER].values[row]
+        left = np.flatnonzero(row == len(self.costs[ORDER].keys) - 1)
+        for order in range(ORDER, -1, -1):
+            if not len(left):
+                return out
+            codes = grams[left] & np.uint32((1 << (8 * (order + 1))) - 1)
+            if order < ORDER:
+                row = self.costs[order].find(codes)
+                known = row < len(self.costs[order].keys) - 1
+                out[left[known]] += self.costs[order].values[row[known]]
+                left, codes = left[~known], codes[~known]
+            out[left] += self.escapes[order].values[self.escapes[order].find(codes >> np.uint32(8))]
+        out[left] += self.uniform
+        return out
+
+
 class Model:
-    """Bits of a byte after its context, by language, unrolled into tables."""
+    """Code lengths of texts in the languages learned."""
 
     def __init__(self, counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> None:
         self.langs = sorted(counts)
-        seen = np.zeros(256)
-        for gram, n in counts.values():
-            seen += np.bincount(gram & 255, n, 256) / max(n.sum(), 1)
-        seen[32] = max(seen[32], 1e-9)
-        common = np.argsort(-seen, kind="stable")[: MOST_SYMBOLS - 1]
-        common = np.sort(common[seen[common] > 0])
-        self.symbol = np.zeros(256, np.uint8)
-        self.symbol[common] = np.arange(1, len(common) + 1)
-        a = self.a = len(common) + 1
-        coded = {lang: self._recode(*counts[lang]) for lang in self.langs}
-        # the contexts of three symbols that are kept: the most frequent ones of all languages
-        weight = np.zeros(a**3)
-        for code, n in coded.values():
-            weight += np.bincount(code // a, n, a**3) / max(n.sum(), 1)
-        top = np.argsort(-weight, kind="stable")[:MOST_CONTEXTS]
-        top = np.sort(top[weight[top] > 0])
-        self.row = np.zeros(a**3, np.int32)
-        self.row[top] = np.arange(1, len(top) + 1)
-        self.two = np.empty((a**3, len(self.langs)), np.float32)
-        self.three = np.zeros(((len(top) + 1) * a, len(self.langs)), np.float32)
-        for k, lang in enumerate(self.langs):
-            code, n = coded[lang]
-            p = np.full(a, 1.0 / 256)
-            p = self._escape(np.bincount(code % a, n, a)[None, :], p[None, :])[0]
-            p = self._escape(np.bincount(code % a**2, n, a**2).reshape(a, a), np.broadcast_to(p, (a, a)))
-            p = self._escape(np.bincount(code % a**3, n, a**3).reshape(a * a, a), np.tile(p, (a, 1)))
-            self.two[:, k] = -np.log2(p.reshape(-1))
-            kept = self.row[code // a] > 0
-            n3 = np.bincount((self.row[code[kept] // a] - 1) * a + code[kept] % a, n[kept], len(top) * a).reshape(len(top), a)
-            p3 = self._escape(n3, p[top % a**2])
-            self.three[a:, k] = -np.log2(p3.reshape(-1))
-
-    def _recode(self, gram: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        s = [self.symbol[(gram >> shift) & 255].astype(np.int64) for shift in (24, 16, 8, 0)]
-        return ((s[0] * self.a + s[1]) * self.a + s[2]) * self.a + s[3], n.astype(np.float64)
-
-    @staticmethod
-    def _escape(n: np.ndarray, shorter: np.ndarray) -> np.ndarray:
-        """Probabilities in contexts (rows) from counts and those in the contexts one symbol shorter."""
-        total, kinds = n.sum(axis=1, keepdims=True), (n > 0).sum(axis=1, keepdims=True)
-        all_ = np.maximum(total + kinds, 1)
-        return np.where(n > 0, n / all_, np.where(total > 0, kinds / all_, 1.0) * shorter)
+        own = [counts[x] for x in self.langs]
+        self.trees = [Trees(own[i : i + GROUP]) for i in range(0, len(own), GROUP)]
 
     def bits(self, texts: list[bytes]) -> np.ndarray:
         """Code length of each text in each language."""
-        data = self.symbol[np.frombuffer(b"".join(PAD + x for x in texts), np.uint8)].astype(np.int32)
-        length = np.array([len(x) for x in texts])
-        ends = np.cumsum(length + ORDER)
+        length = np.array([len(x) for x in texts], np.int64)
         out = np.zeros((len(texts), len(self.langs)))
-        a = self.a
-        for at in range(0, len(data), WINDOW):
-            x = data[at : at + WINDOW + ORDER]
-            if len(x) <= ORDER:
-                break
-            context = (x[:-3] * a + x[1:-2]) * a + x[2:-1]
-            row, last = self.row[context], x[3:]
-            cost = self.three[row * a + last]
-            new = np.flatnonzero(row == 0)
-            cost[new] = self.two[((x[1:-2][new] * a + x[2:-1][new]) * a) + last[new]]
-            # position p of the window is byte at + p + ORDER of the data
-            place = np.arange(at + ORDER, at + ORDER + len(last))
-            first, final = np.searchsorted(ends, place[0], "right"), np.searchsorted(ends, place[-1], "right")
-            for k in range(first, final + 1):
-                begin = ends[k] - length[k]
-                lo, hi = max(begin, place[0]) - place[0], min(ends[k], place[-1] + 1) - place[0]
-                if lo < hi:
-                    out[k] += cost[lo:hi].sum(axis=0, dtype=np.float64)
+        # one text after the other, each after its padding, in windows that share the bytes of a context
+        data = np.frombuffer(b"".join([y for x in texts for y in (PAD, x)]), np.uint8)
+        ends = np.cumsum(length + ORDER)
+        for at in range(0, len(data) - ORDER, WINDOW):
+            grams = _grams(data[at : at + WINDOW + ORDER])
+            place = np.arange(at + ORDER, at + ORDER + len(grams))
+            first, last = np.searchsorted(ends, [place[0], place[-1]], "right")
+            begin = ends[first : last + 1] - length[first : last + 1]
+            lo, hi = np.maximum(begin, place[0]) - place[0], np.minimum(ends[first : last + 1], place[-1] + 1) - place[0]
+            there = np.flatnonzero(hi > lo)
+            cuts = np.stack([lo[there], hi[there]], axis=1).reshape(-1)
+            for k, tree in enumerate(self.trees):
+                cost = np.vstack([tree.bits(grams), np.zeros((1, len(tree.costs[0].values[0])), np.float32)])
+                sums = np.add.reduceat(cost, cuts, axis=0, dtype=np.float64)[::2] if len(cuts) else 0.0
+                out[first + there, k * GROUP : k * GROUP + cost.shape[1]] += sums
         return out
 
     def judge(self, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -160,13 +202,16 @@ class Model:
 
 def _sample(docs: DataFrame) -> DataFrame | None:
     """(lang, text) of the documents to train on: labelled ones whose remainder isn't 1; None if there are none."""
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (remainder(F.col("doc_id")) != 1)).select("lang", "text", "doc_id")
-    share = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()  # a row for each language
-    if not share:
+    spread = F.shiftrightunsigned(F.xxhash64("text"), 1) / float(1 << 63)
+    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (remainder(F.col("doc_id")) != 1)).select("lang", "text", spread.alias("spread"))
+    counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("m"), F.approx_count_distinct("spread", 0.01).alias("n"))
+    counts = counts.orderBy(F.desc("m"), "lang").limit(MOST_LANGS).collect()  # a row for each language
+    if not counts:
         return None
-    limits = F.create_map(*[x for r in share for x in (F.lit(r["lang"]), F.lit(min(1.0, SAMPLE_DOCS / r["n"])))])
-    spread = F.shiftrightunsigned(F.xxhash64("doc_id"), 1) / float(1 << 63)
-    return known.where(spread < F.element_at(limits, F.col("lang"))).select("lang", "text")
+    each = min(SAMPLE_DOCS, max(1, SAMPLE_ALL // len(counts)))
+    limits = docs.sparkSession.createDataFrame([(r["lang"], each / max(r["n"], 1)) for r in counts], "lang string, share double")
+    # copies of a text are one text
+    return known.join(F.broadcast(limits), "lang").where("spread < share").dropDuplicates(["lang", "spread"]).select("lang", "text")
 
 
 def _learn(sample: DataFrame) -> Model | None:
@@ -185,8 +230,10 @@ def train(docs: DataFrame) -> Model | None:
 def train_bounded(docs: DataFrame) -> tuple[Model | None, np.ndarray]:
     """The model of `train`, and the most bits a byte of each of its languages.
 
-    Each half of the training documents is scored by a model of the other half, as their own model knows them too well. A language
-    that only one half has is scored by the others, which makes its bound a wide one; without any score there is no bound.
+    Each half of the training documents is scored by a model of the other half, as their own model knows them too well. A language's
+    own rate is the median of what its documents take; a foreign one's is what the documents of the language that is least like the
+    others take in those. A language that only one half has is scored by the others, which makes its bound a wide one; without any
+    score there is no bound.
     """
     sample = _sample(docs)
     if sample is None:
@@ -201,23 +248,37 @@ def train_bounded(docs: DataFrame) -> tuple[Model | None, np.ndarray]:
         if own:
             found = _rates(sample.where(F.col("half") == half), own)
             rates = found if rates is None else rates.union(found)
-    middle = {} if rates is None else {r["lang"]: r["rate"] for r in rates.groupBy("lang").agg(F.median("rate").alias("rate")).collect()}  # a row for each language
-    return model, np.array([MOST_TIMES * middle.get(lang, np.inf) for lang in model.langs])
+    medians = [] if rates is None else rates.groupBy("lang").agg(F.median("rate").alias("rate"), F.median("other").alias("other")).collect()  # a row for each language
+    own, foreign = {r["lang"]: r["rate"] for r in medians}, max((r["other"] for r in medians), default=8.0)
+    return model, np.array([max(LEAST_TIMES * x, x + TOWARDS_FOREIGN * (foreign - x)) for x in (own.get(lang, np.inf) for lang in model.langs)])
 
 
 def _rates(docs: DataFrame, model: Model) -> DataFrame:
-    """(lang, rate): bits a byte of each text with a letter, in the language that takes the fewest."""
+    """(lang, rate, other): bits a byte of each text with a letter, in the best language, and in the best but its own (8 if there is none)."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in _slices(batch):
-                rows = [(lang, as_bytes(x)) for lang, x in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True) if LETTER.search(x)]
-                if rows:
-                    rate = sent.value.bits([x for _, x in rows]).min(axis=1) / [len(x) for _, x in rows]
-                    yield pa.RecordBatch.from_arrays([pa.array([lang for lang, _ in rows], pa.string()), pa.array(rate, pa.float64())], names=["lang", "rate"])
+        for part in (x for b in batches for x in slices(b)):
+            rows = [(lang, as_bytes(x)) for lang, x in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True) if LETTER.search(x)]
+            if rows:
+                rate = sent.value.bits([x for _, x in rows]) / np.array([[len(x)] for _, x in rows])
+                mine = np.array([[lang == x for x in sent.value.langs] for lang, _ in rows])
+                other = np.where(mine, np.inf, rate).min(axis=1)
+                columns = [pa.array([lang for lang, _ in rows], pa.string()), pa.array(rate.min(axis=1)), pa.array(np.where(np.isinf(other), 8.0, other))]
+                yield pa.RecordBatch.from_arrays(columns, names=["lang", "rate", "other"])
+
+    return docs.select("lang", "text").mapInArrow(run, "lang string, rate double, other double")
 
-    return docs.select("lang", "text").mapInArrow(run, "lang string, rate double")
+
+def _judged(model: Model | None, texts: pa.Array) -> Iterator[tuple[int, int, float, float, int]]:
+    """Of texts with a letter: row, language, its probability, its bits, and bytes."""
+    texts = texts.to_pylist()
+    known = [i for i, x in enumerate(texts) if model and x and LETTER.search(x)]
+    if known:
+        data = [as_bytes(texts[i]) for i in known]
+        bits = model.bits(data)
+        best, probability = model.judge(bits)
+        yield from zip(known, best.tolist(), probability.tolist(), bits.min(axis=1).tolist(), map(len, data), strict=True)
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
@@ -226,48 +287,27 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
-        for batch in batches:
-            for part in _slices(batch):
-                texts = part.column(1).to_pylist()
-                langs, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
-                known = [i for i, x in enumerate(texts) if own and x and LETTER.search(x)]
-                if known:
-                    best, score = own.judge(own.bits([as_bytes(texts[i]) for i in known]))
-                    for i, b, p in zip(known, best, score, strict=True):
-                        langs[i], scores[i] = own.langs[b], float(p)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
+        for part in (x for b in batches for x in slices(b)):
+            langs, scores = [UNKNOWN] * part.num_rows, [0.0] * part.num_rows
+            for i, best, probability, bits, size in _judged(own, part.column(1)):
+                langs[i], scores[i] = own.langs[best], probability * max(0.0, 1.0 - bits / (8 * size))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
 
 
-def _slices(batch: pa.RecordBatch, rows: int = 1000) -> Iterator[pa.RecordBatch]:
-    return (batch.slice(i, rows) for i in range(0, batch.num_rows, rows))
-
-
 def keep_rows(docs: DataFrame) -> DataFrame:
     """The rows of docs whose language is known with LEAST_SCORE or more and by its bits a byte, with their columns as they were."""
     sent = docs.sparkSession.sparkContext.broadcast(train_bounded(docs))
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, bound = sent.value
+        for part in (x for b in batches for x in slices(b, at)):
+            keep = [i for i, best, probability, bits, size in _judged(model, part.column(at)) if probability >= LEAST_SCORE and bits <= bound[best] * size + SLACK]
+            yield part.take(pa.array(keep, pa.int64()))
 
-    @F.pandas_udf("boolean")
-    def known(texts):
-        import pandas as pd
-
-        (own, bound), out = sent.value, []
-        for start in range(0, len(texts), 1000):
-            part = texts.iloc[start : start + 1000].tolist()
-            kept = [False] * len(part)
-            there = [i for i, x in enumerate(part) if own and x and LETTER.search(x)]
-            if there:
-                data = [as_bytes(part[i]) for i in there]
-                bits = own.bits(data)
-                best, score = own.judge(bits)
-                near = bits.min(axis=1) <= bound[best] * [len(x) for x in data] + SLACK
-                for i, p, fits in zip(there, score, near, strict=True):
-                    kept[i] = bool(fits and p >= LEAST_SCORE)
-            out += kept
-        return pd.Series(out, dtype=bool)
-
-    return docs.where(known(F.col("text"))).select(*docs.columns)
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op1(docs: DataFrame) -> DataFrame:

@@ -32,32 +32,64 @@ def test_language_on_held_out_documents(spark):
     assert sum(r.lang_pred == r.lang for r in held) >= 0.98 * len(held) and all(0 <= r.score <= 1 for r in rows)
 
 
-def test_language_bits_are_those_of_the_context_trees():
-    texts = {"x": b"abracadabra abra", "y": b"hocus pocus locus"}
-    counts = {k: tuple(a.astype(np.int64) for a in np.unique(langid._grams(np.frombuffer(langid.PAD + v, np.uint8)), return_counts=True)) for k, v in texts.items()}
-    model = langid.Model(counts)
-
-    def bits(lang, text):
-        data, trained, total = langid.PAD + text, langid.PAD + texts[lang], 0.0
-        known = {b for t in texts.values() for b in t} | {32}
+def tree_bits(trained, text):
+    """Code length by definition; trained: for each order the counts of bytes after a context."""
+    data, total = langid.PAD + text, 0.0
+    for i in range(3, len(data)):
+        cost = 8.0
+        for k in (0, 1, 2, 3):
+            seen = trained[k].get(data[i - k : i], {})
+            n, d = sum(seen.values()), len(seen)
+            if data[i] in seen:
+                cost = -np.log2(seen[data[i]] / (n + d))
+            elif n:
+                cost -= np.log2(d / (n + d))
+        total += cost
+    return total
+
+
+def counted(texts):
+    out = [{} for _ in range(4)]
+    for text in texts:
+        data = langid.PAD + text
         for i in range(3, len(data)):
-            p, weight = None, 1.0
-            for k in (3, 2, 1, 0):
-                ctx = data[i - k : i]
-                seen = Counter(trained[j] for j in range(3, len(trained)) if trained[j - k : j] == ctx)
-                n, d = sum(seen.values()), len(seen)
-                if n and data[i] in seen:
-                    p = weight * seen[data[i]] / (n + d)
-                    break
-                if n:
-                    weight *= d / (n + d)
-            total -= np.log2(p if p is not None else weight / 256)
-        assert all(b in known for b in text)
-        return total
-
-    got = model.bits([b"abra", b"pocus abra"])
-    want = [[bits(k, t) for k in model.langs] for t in (b"abra", b"pocus abra")]
-    assert np.allclose(got, want, rtol=1e-4)
+            for k in range(4):
+                c = out[k].setdefault(data[i - k : i], Counter())
+                c[data[i]] += 1
+    return out
+
+
+def grams_of(texts):
+    return tuple(x.astype(np.int64) for x in np.unique(np.concatenate([langid._grams(np.frombuffer(langid.PAD + t, np.uint8)) for t in texts]), return_counts=True))
+
+
+def test_language_bits_are_those_of_the_context_trees(monkeypatch):
+    rng = random.Random(1)
+    # languages of several scripts: more than 128 byte values, more than 20,000 contexts of three bytes, more than one group
+    letters = [[chr(x) for x in range(a, a + 200)] for a in (0xC0, 0x400, 0x4E00, 0xAC00, 0x1F300)]
+    letters[0] += [chr(x) for x in range(0x21, 0x7F)]
+    texts = {f"l{k}": ["".join(rng.choices(letters[k % 5] + [" "], k=3000)).encode() for _ in range(3)] for k in range(6)}
+    texts["few"] = [b"abracadabra abra"]
+    monkeypatch.setattr(langid, "GROUP", 3)
+    model = langid.Model({k: grams_of(v) for k, v in texts.items()})
+    grams = np.unique(np.concatenate([grams_of(v)[0] for v in texts.values()]))
+    assert len(np.unique(grams & 255)) > 128 and len(np.unique(grams >> 8)) > 20_000
+    trained = {k: counted(v) for k, v in texts.items()}
+    probes = [b"", b"abra", b"abracadabra \xff\xfe", *(texts["l2"][0][:100], texts["l5"][1][50:300]), "".join(rng.choices(sum(letters, []), k=200)).encode(), bytes(rng.randrange(256) for _ in range(300))]
+    want = [[tree_bits(trained[k], t) for k in model.langs] for t in probes]
+    assert np.allclose(model.bits(probes), want, rtol=1e-5)
+    monkeypatch.setattr(langid, "WINDOW", 37)
+    assert np.allclose(model.bits(probes), want, rtol=1e-5)
+
+
+def test_language_sample_is_bounded_and_by_text(spark):
+    rows = [(None, f"text number {i % 7 if i % 2 else i} of many", "en") for i in range(5000)] + [(None, f"t {i}", f"odd{i}") for i in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = langid._sample(docs).collect()
+    by = Counter(r.lang for r in found)
+    assert len({(r.lang, r.text) for r in found}) == len(found) and by["en"] <= 1.2 * langid.SAMPLE_DOCS and len(by) <= langid.MOST_LANGS
+    again = spark.createDataFrame([(i, t, x) for i, (_, t, x) in enumerate(rows) if zlib.crc32(str(i).encode()) % 3 != 1], "doc_id long, text string, lang string")
+    assert {r.text for r in langid._sample(again).where("lang = 'en'").collect()} & {r.text for r in found}
 
 
 def test_language_edges(spark):
@@ -69,6 +101,20 @@ def test_language_edges(spark):
     assert {r.lang_pred for r in langid.op1(docs.drop("lang").withColumn("lang", docs.text.cast("string").substr(1, 0))).where("doc_id = 2").collect()} == {"und"}
 
 
+def test_scores_tell_prose_from_junk(spark):
+    rng = random.Random(5)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    junk = [(10**6 + i, "".join(rng.choices("qwertzuiopasdfghjklyxcvbnm ", k=400)), None) for i in range(50)]
+    rows = langid.op1(docs.union(spark.createDataFrame(junk, docs.schema))).collect()
+    assert max(r.score for r in rows if r.doc_id >= 10**6) < np.quantile([r.score for r in rows if r.doc_id < 10**6], 0.001)
+
+
+def test_language_of_a_very_long_text(spark):
+    text = spark.read.parquet(f"{DATA}/documents.parquet").where("lang = 'de' AND n_chars > 200").first().text
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text", "lang").union(spark.createDataFrame([(10**6, (text + " ") * (20_000_000 // len(text)), None)], "doc_id long, text string, lang string"))
+    assert [r.lang_pred for r in langid.op1(docs).where("doc_id = 1000000").collect()] == ["de"]
+
+
 def test_language_stage_rejects_what_was_not_learned(spark):
     rng = random.Random(5)
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang").collect()
