@@ -231,8 +231,8 @@ def train_bounded(docs: DataFrame) -> tuple[Model | None, np.ndarray]:
     """The model of `train`, and the most bits a byte of each of its languages.
 
     Each half of the training documents is scored by a model of the other half, as their own model knows them too well. A language's
-    own rate is the median of what its documents take; a foreign one's is what the documents of the language that is least like the
-    others take in those. A language that only one half has is scored by the others, which makes its bound a wide one; without any
+    own rate is the median of what its documents take; a foreign one's is what the documents of the language that is most like
+    another take in the others. A language that only one half has is scored by the others, which makes its bound a wide one; without any
     score there is no bound.
     """
     sample = _sample(docs)
@@ -249,7 +249,7 @@ def train_bounded(docs: DataFrame) -> tuple[Model | None, np.ndarray]:
             found = _rates(sample.where(F.col("half") == half), own)
             rates = found if rates is None else rates.union(found)
     medians = [] if rates is None else rates.groupBy("lang").agg(F.median("rate").alias("rate"), F.median("other").alias("other")).collect()  # a row for each language
-    own, foreign = {r["lang"]: r["rate"] for r in medians}, max((r["other"] for r in medians), default=8.0)
+    own, foreign = {r["lang"]: r["rate"] for r in medians}, min((r["other"] for r in medians), default=8.0)
     return model, np.array([max(LEAST_TIMES * x, x + TOWARDS_FOREIGN * (foreign - x)) for x in (own.get(lang, np.inf) for lang in model.langs)])
 
 
