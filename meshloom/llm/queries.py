@@ -26,6 +26,7 @@ def oracle_sql() -> dict[str, str]:
         "op2_mix_sources": mixing.ORACLE,
         "op6_warc_index": warc.ORACLE,
         "op7_extendible_shards": sharding.ORACLE,
+        "op8_quality_rules": quality.ORACLE,
         "op9_near_duplicates": neardup.ORACLE,
         "op10_exact_top_k": topk.ORACLE,
     }
