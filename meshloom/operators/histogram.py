@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Intervals that the search for a place cuts values into at once.
+CUTS = 64
+
 
 def geometric_bins(low: float, high: float, base: float = 3.0, eps: float = 1e-12) -> list[tuple[int, float, float]]:
     """(bin, lower, upper) from low by factors of base until high lies inside; none if high <= low."""
@@ -88,7 +91,7 @@ def argmin_with_fallback(rows: DataFrame, score: str, value: str, keys: list[str
     """The row of least value, ties to the least key, among those with score above the threshold.
 
     If there is none, the cutoff is the score at place min(ceil(percentile * n), n - 1) of the scores in descending order, found
-    by counting scores rather than sorting rows; if none is above that either, the row with the least key.
+    by `nth_value`; if none is above that either, the row with the least key.
     """
     pick = F.min(F.struct(value, *keys, score))
 
@@ -98,13 +101,11 @@ def argmin_with_fallback(rows: DataFrame, score: str, value: str, keys: list[str
     out = best(rows.where(F.col(score) > threshold))
     if not out.isEmpty():
         return out
+    scored = rows.where(F.col(score).isNotNull())
     n = rows.count()
     if not n:
         return out
-    place = min(-int(-(percentile * n) // 1), n - 1)
-    counts = rows.groupBy(score).agg(F.count(F.lit(1)).alias("n"))  # a row for each distinct score
-    at = counts.withColumn("upto", F.sum("n").over(Window.orderBy(F.desc(score)))).where(F.col("upto") > place)
-    cutoff = at.agg(F.max(score)).first()[0]
+    cutoff = nth_value(scored, score, min(-int(-(percentile * n) // 1), n - 1), descending=True)
     out = best(rows.where(F.col(score) > F.lit(cutoff)))
     return out if not out.isEmpty() else rows.agg(F.min(F.struct(*keys, value, score)).alias("r")).select(f"r.{value}", *[f"r.{k}" for k in keys], f"r.{score}")
 
@@ -115,12 +116,50 @@ def fill_with_maximum(rows: DataFrame, value: str) -> DataFrame:
     return rows.withColumn(value, F.coalesce(value, F.lit(0.0 if most is None else most)))
 
 
+def nth_value(rows: DataFrame, value: str, place: int, descending: bool = False) -> float | None:
+    """The value at a place (from 0) of the sorted values; None if there are fewer.
+
+    Values are counted between bounds that approximate quantiles give, and the interval that holds the place is cut again, until it
+    holds one value: sums of a few counts each time, whatever the number of different values.
+    """
+    rows = rows.select(F.col(value).cast("double").alias("v")).where("v IS NOT NULL")
+    if descending:
+        rows = rows.select((-F.col("v")).alias("v"))
+    low, high = rows.agg(F.min("v"), F.max("v")).first()
+    if low is None:
+        return None
+    before = 0
+    while low < high:
+        inside = rows.where(F.col("v").between(low, high))
+        bounds = sorted({*inside.select(F.percentile_approx("v", [i / CUTS for i in range(1, CUTS)], 100 * CUTS)).first()[0], low, high})
+        # how many lie below each bound, and at it
+        counts = inside.agg(*[x for b in bounds for x in (F.count_if(F.col("v") < b), F.count_if(F.col("v") == b))]).first()
+        low_, high_ = None, high
+        for i, b in enumerate(bounds):
+            below, at = before + counts[2 * i], counts[2 * i + 1]
+            if below <= place < below + at:
+                return -b if descending else b
+            if below + at <= place:
+                low_, passed = b, below + at
+            else:
+                high_ = b
+                break
+        if low_ is None or place >= before + inside.count():
+            return None
+        # strictly between two neighbouring bounds
+        edge = rows.where((F.col("v") > low_) & (F.col("v") < high_)).agg(F.min("v"), F.max("v")).first()
+        if edge[0] is None:
+            return None
+        (low, high), before = edge, passed
+    return (-low if descending else low) if place >= before else None
+
+
 def upper_median(rows: DataFrame, value: str) -> DataFrame:
-    """(median): the value at place n / 2, rounded down, of the sorted values; by counting distinct values."""
-    counts = rows.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("n"))
-    n = F.sum("n").over(Window.partitionBy(F.lit(1)))
-    upto = F.sum("n").over(Window.orderBy(value))
-    return counts.select(value, n.alias("all"), upto.alias("upto")).where(F.col("upto") > F.floor(F.col("all") / 2)).agg(F.min(value).alias("median"))
+    """(median): the value at place n / 2, rounded down, of the sorted values."""
+    n = rows.where(F.col(value).isNotNull()).count()
+    kind = rows.schema[value].dataType.simpleString()
+    median = nth_value(rows, value, n // 2) if n else None
+    return rows.sparkSession.createDataFrame([(median,)], "median double").select(F.col("median").cast(kind))
 
 
 def histogram_table(bins: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meshloom.operators.generate import axis_mesh
-from meshloom.operators.topology import written
+from meshloom.sources.shared import written
 
 FILL = 0.9
 LEAST_DEPTH, MOST_DEPTH = 2, 20

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from meshloom.functions import kernels as K
 from meshloom.functions import vectors as V
+from meshloom.sources.shared import written
 
 MOST_TRIANGLES = 100_000
 BLOCK = 1 << 22
@@ -229,8 +230,6 @@ def keep_cells(points_of: DataFrame, faces: DataFrame) -> DataFrame:
     Tests run from cheap to dear, each on the cells that the last left open: all or some corners inside; the cell's sphere away
     from the surface, then by its centre; an edge meets the surface; a diagonal does.
     """
-    from meshloom.operators.topology import written
-
     corners = points_of.select("cid", F.posexplode("p").alias("k", "q")).select((F.col("cid") * 8 + F.col("k")).alias("id"), "cid", "q.x", "q.y", "q.z")
     told = corners.join(inside(corners, faces), "id").groupBy("cid").agg(F.sum(F.col("inside").cast("int")).alias("n"))
     done = written(told.select("cid", F.when(F.col("n") == 8, "inside").when(F.col("n") > 0, "intersected").alias("outcome")), "corners")

@@ -6,13 +6,13 @@ key gives adjacency, the boundary and conflicts alike.
 
 from __future__ import annotations
 
-import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meshloom.functions.vectors import HEX_EDGES, HEX_FACES
+from meshloom.sources.shared import written
 
 
 def corner(i: int) -> Column:
@@ -100,15 +100,6 @@ def dense_ids(rows: DataFrame, order: list[str], name: str, first: int = 1) -> D
     return numbered.withColumn(name, F.col("_base") + place + first).drop("_id", "_part", "_base")
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """df written to and read from the shared folder: lineage ends there, and a lost executor takes nothing with it."""
-    spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    path = f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def span(cells: DataFrame) -> DataFrame:
     """(cid, nbr): cells that share a node, each pair in both directions once."""
     at = cells.select("cid", F.explode("kvert").alias("vid"))

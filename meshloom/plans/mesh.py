@@ -18,8 +18,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def box_size(spark: SparkSession, sf_dir: str) -> tuple[int, int, int]:
-    """Cells a side: suppliers and parts up to a limit, regions."""
-    return min(24, table(spark, sf_dir, "supplier").count()), table(spark, sf_dir, "region").count(), min(24, table(spark, sf_dir, "part").count() // 20)
+    """Cells a side, which grow with the tables: from the numbers of suppliers, regions and parts."""
+    return table(spark, sf_dir, "supplier").count() // 4 + 2, table(spark, sf_dir, "region").count(), table(spark, sf_dir, "part").count() // 80 + 2
 
 
 def box(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -43,9 +43,10 @@ def marked_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def monitored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(cid, value): box cells with the total price of the order of the same number."""
-    cells = G.box_cells(spark, box_size(spark, sf_dir))
-    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("cid"), F.col("o_totalprice").alias("value"))
+    """(cid, value): box cells with the largest total price of the orders that fall to them: their keys by the number of cells."""
+    n = box_size(spark, sf_dir)
+    cells = G.box_cells(spark, n)
+    orders = table(spark, sf_dir, "orders").select((F.pmod("o_orderkey", F.lit(n[0] * n[1] * n[2])) + 1).alias("cid"), F.col("o_totalprice").alias("value"))
     return cells.select("cid").join(orders.groupBy("cid").agg(F.max("value").alias("value")), "cid", "left")
 
 
@@ -177,7 +178,7 @@ QUERIES = {
 }
 
 _BOX = f"""
-d AS (SELECT least(24, (SELECT count(*) FROM supplier)) AS nx, (SELECT count(*) FROM region) AS ny, least(24, (SELECT count(*) // 20 FROM part)) AS nz),
+d AS (SELECT (SELECT count(*) // 4 + 2 FROM supplier) AS nx, (SELECT count(*) FROM region) AS ny, (SELECT count(*) // 80 + 2 FROM part) AS nz),
 g AS (SELECT r.v, r.v % (nx + 1) AS i, (r.v // (nx + 1)) % (ny + 1) AS j, r.v // ((nx + 1) * (ny + 1)) AS k, d.* FROM d, range((SELECT (nx + 1) * (ny + 1) * (nz + 1) FROM d)) r(v)),
 nodes AS (SELECT v + 1 AS vid, {START[0]} + {LENGTHS[0]} * i::DOUBLE / nx AS x, {START[1]} + {LENGTHS[1]} * j::DOUBLE / ny AS y, {START[2]} + {LENGTHS[2]} * k::DOUBLE / nz AS z,
   (i = 0 OR i = nx OR j = 0 OR j = ny OR k = 0 OR k = nz)::INTEGER AS knpr, i, j, k, nx, ny, nz FROM g),
@@ -192,7 +193,7 @@ edges AS (SELECT cid, le, least(kv[p], kv[r]) AS a, greatest(kv[p], kv[r]) AS b
 cv AS (SELECT cid, unnest(kv) AS vid FROM cells),
 span AS (SELECT DISTINCT a.cid, b.cid AS nbr FROM cv a JOIN cv b USING (vid) WHERE a.cid <> b.cid),
 marked AS (SELECT cid, kv FROM cells WHERE (i % 4 <> 3 AND k % 3 <> 2) OR (j = 0 AND i < 4)),
-mon AS (SELECT cid, max(o_totalprice) AS value FROM cells LEFT JOIN orders ON o_orderkey = cid GROUP BY cid),
+mon AS (SELECT cid, max(o_totalprice) AS value FROM cells LEFT JOIN orders ON o_orderkey % (nx * ny * nz) + 1 = cid GROUP BY cid),
 lev0 AS (SELECT cid, CASE WHEN coalesce(value, 0) > 400000 THEN 2 ELSE 0 END AS level FROM mon),
 lev AS (SELECT l.cid, greatest(l.level, coalesce((SELECT max(m.level) - 1 FROM span s JOIN lev0 m ON m.cid = s.nbr WHERE s.cid = l.cid AND m.level = 2), 0)) AS level FROM lev0 l),
 tol AS (SELECT 0.25 * least({LENGTHS[0]} / max(nx), {LENGTHS[1]} / max(ny), {LENGTHS[2]} / max(nz)) AS t FROM d),

@@ -68,11 +68,11 @@ def round_tube(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def size_field(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Levels of a base mesh for points from embeddings whose target size grows with their id."""
+    """Levels of a base mesh for points from embeddings whose target size grows with their id; points beyond the box count at its side."""
     from meshloom.operators.sizefield import base_mesh
     from meshloom.plans.surfaces import points
 
-    rows = points(spark, sf_dir).where("abs(x) < 1 AND abs(y) < 1 AND abs(z) < 1")
+    rows = points(spark, sf_dir)
     target = 0.02 + F.col("id") / 1000
     _, levels = base_mesh(rows.withColumns({f"t{c}": target for c in "xyz"}), (-1.0, -1.0, -1.0), (1.0, 1.0, 1.0))
     return levels
@@ -95,17 +95,18 @@ def _values(rows: list[str]) -> str:
 
 
 _FIELD = ", ".join(f"embedding[{i + 1}]::DOUBLE * 4 AS {c}" for i, c in enumerate("xyz"))
+_CELL = ", ".join(f"least(2**d - 1, greatest(0, floor(({x} + 1) / (2.0 / 2**d)))) AS {i}" for x, i in zip("xyz", "ijk", strict=True))
 
 SQL = {
     "round_tube": "SELECT 1.0::DOUBLE AS cx, -2.0::DOUBLE AS cy, false AS aligned, 10.0::DOUBLE AS outer, 'HollowCylinder' AS kind, 3.0::DOUBLE AS extrusion, true AS consistent, 3.0::DOUBLE AS z_min, 17.0::DOUBLE AS z_max",
-    "size_field": f"""WITH RECURSIVE p AS (SELECT vec_id AS id, {_FIELD}, 0.02 + vec_id / 1000.0::DOUBLE AS t FROM embeddings), q AS (SELECT * FROM p WHERE abs(x) < 1 AND abs(y) < 1 AND abs(z) < 1),
-      c AS (SELECT q.*, d, floor((x + 1) / (2.0 / 2**d)) AS i, floor((y + 1) / (2.0 / 2**d)) AS j, floor((z + 1) / (2.0 / 2**d)) AS k FROM q, range(12) r(d)),
+    "size_field": f"""WITH RECURSIVE p AS (SELECT vec_id AS id, {_FIELD}, 0.02 + vec_id / 1000.0::DOUBLE AS t FROM embeddings), q AS (SELECT * FROM p),
+      c AS (SELECT q.*, d, {_CELL} FROM q, range(12) r(d)),
       s AS (SELECT d, i, j, k, bool_or(t < 0.9::DOUBLE * (2.0::DOUBLE / 2**d)) AS s FROM c GROUP BY ALL),
       u AS (SELECT c.id, c.d, s.s FROM c JOIN s USING (d, i, j, k)),
       leaf AS (SELECT id, min(d) AS depth FROM u WHERE NOT s GROUP BY id),
       full_ AS (SELECT min(d) AS g FROM (SELECT r.d, (SELECT count(*) FROM s WHERE s.d = r.d AND s.s) < 8**r.d AS short FROM range(12) r(d)) WHERE short),
       b AS (SELECT greatest(g, 2) AS g, (2**greatest(g, 2))::BIGINT AS n FROM full_)
-      SELECT (ceil((x + 1) / (2.0 / n) - 0.5) + (n + 1) * (ceil((y + 1) / (2.0 / n) - 0.5) + (n + 1) * ceil((z + 1) / (2.0 / n) - 0.5)))::BIGINT AS vid,
+      SELECT (least(n, greatest(0, ceil((x + 1) / (2.0 / n) - 0.5))) + (n + 1) * (least(n, greatest(0, ceil((y + 1) / (2.0 / n) - 0.5))) + (n + 1) * least(n, greatest(0, ceil((z + 1) / (2.0 / n) - 0.5)))))::BIGINT AS vid,
         max(greatest(0, ceil((greatest(depth, 2) - g) * ln(2) / ln(3))))::INTEGER AS level FROM q JOIN leaf USING (id), b GROUP BY 1""",
     "ini_carry_section": f"""WITH {_values(SETTINGS)}, c AS (SELECT n, trim(regexp_replace(value, '[#;].*$', '')) AS line FROM t),
       s AS (SELECT *, last_value(CASE WHEN line LIKE '[%' THEN lower(line[2:-2]) END IGNORE NULLS) OVER (ORDER BY n) AS section FROM c WHERE line <> '')
