@@ -50,6 +50,8 @@ RATE = 20.0
 LARGEST = (1 << 16) - 1
 #: In buckets of up to so many members, all pairs between components are candidates.
 SMALL = 12
+#: Members that meet one copy of their head's set.
+SALTED = 1000
 #: Bits of the map of documents whose texts are needed again.
 BITMAP = 1 << 26
 #: Candidates go if the joint estimate makes the threshold unlikely by this many units of log-likelihood: about 6 deviations.
@@ -229,8 +231,15 @@ def _verify(pairs: DataFrame, reps: DataFrame, docs: DataFrame, size: int, thres
 
 
 def _differences(pairs: DataFrame, reps: DataFrame, docs: DataFrame, size: int, threshold: tuple[int, int]) -> DataFrame:
-    """(head, rep, n_head, n, linked, added, removed) of the pairs (a, b), a being the head, on full sets."""
+    """(head, rep, n_head, n, linked, added, removed) of the pairs (a, b, m), a being the head of m at most, on full sets.
+
+    A head's set is laid out once for each SALTED of its members, who meet one of these.
+    """
     sets = _sets(pairs, reps, docs, size)
+    salts = F.ceil(F.col("m") / SALTED).cast("int")
+    pairs = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), salts).cast("int"))
+    heads = pairs.groupBy("a").agg(F.max("m").alias("m"))
+    head_sets = sets.toDF("a", "ma").join(heads, "a").select("a", "ma", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -245,7 +254,7 @@ def _differences(pairs: DataFrame, reps: DataFrame, docs: DataFrame, size: int,
                 lists = [pa.array(v, pa.list_(pa.int64())) for v in (added, removed)]
                 yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(n_a, pa.int64()), pa.array(n_b, pa.int64()), pa.array(linked, pa.bool_()), *lists], names=["head", "rep", "n_head", "n", "linked", "added", "removed"])
 
-    found = pairs.join(sets.toDF("a", "ma"), "a").join(sets.toDF("b", "mb"), "b")
+    found = pairs.join(sets.toDF("b", "mb"), "b").join(head_sets, ["a", "salt"])
     return materialize(found.mapInArrow(compare, "head long, rep long, n_head long, n long, linked boolean, added array<long>, removed array<long>"), "differences")
 
 
@@ -329,7 +338,7 @@ def _grouped(docs: DataFrame, size: int, threshold: tuple[int, int]) -> DataFram
     buckets = materialize(met.join(heads, "key"), "buckets")
     stars = buckets.where("rep != head").groupBy(F.col("head").alias("a"), F.col("rep").alias("b")).agg(F.max("m").alias("m"))
     stars = materialize(stars, "stars")
-    differences = _differences(stars.where(f"m > {SMALL}").select("a", "b"), reps, docs, size, threshold)
+    differences = _differences(stars.where(f"m > {SMALL}").select("a", "b", "m"), reps, docs, size, threshold)
     links = _verify(stars.where(f"m <= {SMALL}").select("a", "b"), reps, docs, size, threshold)
     links = materialize(links.union(differences.where("linked").select("head", "rep")), "links")
     comp = components(links)

@@ -10,7 +10,8 @@ most `capacity` rows, and pieces find their places by their rank among the piece
 2. Best-fit decreasing over what remains, on groups of equal bins.
 
 Defined results: null and empty texts are one piece that holds the end id alone; an empty table gives no rows; repeated rows are
-packed as often as they occur; columns of other names are ignored by `encode_pieces` and carried along by `pack`.
+packed as often as they occur; columns of other names are ignored by `encode_pieces` and carried along by `pack`, whatever they
+are called.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meshloom.llm.common import hash60, materialize, running_total
+from meshloom.llm.common import hash60, materialize, running_total, slices
 from meshloom.llm.tokens import WordEncoder, default_path
 
 CAPACITY = 2048
@@ -172,48 +173,46 @@ def encode_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPA
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, end, step = WordEncoder.of(path), end_id.to_bytes(4, "little"), 4 * capacity
-        for batch in batches:
-            texts = [x or "" for x in batch.column(1).to_pylist()]
-            rows, of, size = [], [], 0
-            keys = batch.column(0)
-            for k, ids in enumerate(encoder.encode(texts)):
+        for part in (x for b in batches for x in slices(b)):
+            rows, of = [], []
+            for k, ids in enumerate(encoder.encode([x or "" for x in part.column(1).to_pylist()])):
                 ids += end
-                for i in range(0, len(ids), step):
-                    rows.append((i // step, i // 4, ids[i : i + step]))
-                    of.append(k)
-                size += len(ids)
-                if size > 16_000_000 or k == len(texts) - 1:
-                    piece, start, part = zip(*rows, strict=True)
-                    yield pa.RecordBatch.from_arrays(
-                        [keys.take(pa.array(of)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array([len(x) // 4 for x in part], pa.int64()), pa.array(part, pa.binary())],
-                        names=["doc_id", "piece", "start", "length", "ids"],
-                    )
-                    rows, of, size = [], [], 0
+                rows += [(i // step, i // 4, ids[i : i + step]) for i in range(0, len(ids), step)]
+                of += [k] * (len(rows) - len(of))
+            piece, start, some = zip(*rows, strict=True)
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0).take(pa.array(of)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array([len(x) // 4 for x in some], pa.int64()), pa.array(some, pa.binary())],
+                names=["doc_id", "piece", "start", "length", "ids"],
+            )
 
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids binary"
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, order: tuple[str, ...] = ("doc_id", "piece")) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Adds sequence_id and offset to pieces, which has a column length in 1..capacity; other columns are carried along.
 
-    pieces should be a written table: it is read three times.
+    pieces should be a written table: it is read three times. Pieces of a length are ranked in an order of their rows' places in it,
+    so that no id or text, however often it occurs, gathers them. Columns named sequence_id and offset are replaced.
     """
     spark = pieces.sparkSession
+    pieces = pieces.drop("sequence_id", "offset")
+    names = {c: f"c{i}" for i, c in enumerate(pieces.columns)}
     sizes = pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n_rows"))
     counts = {r["length"]: r["n_rows"] for r in sizes.collect()}  # at most `capacity` rows
     entries, _ = plan(counts, capacity)
-    places = spark.createDataFrame(entries or [(0, 0, 0, 0, 1, 0)], "length long, _lo long, _hi long, _first long, _each long, _offset long")
-    lengths = spark.createDataFrame(list(counts.items()) or [(0, 1)], "length long, n_rows long")
-    ties = [c for c in pieces.columns if c not in (*order, "length") and pieces.schema[c].dataType.simpleString() not in ("binary",)]
-    ranked = running_total(pieces.withColumn("_at", hash60(*order)).withColumn("_one", F.lit(1)), "length", "_at", [*order, *ties], "_one", lengths, "_rank")
+    places = spark.createDataFrame(entries or [(0, 0, 0, 0, 1, 0)], "_length long, _lo long, _hi long, _first long, _each long, _offset long")
+    lengths = spark.createDataFrame(list(counts.items()) or [(0, 1)], "_length long, n_rows long")
+    rows = pieces.toDF(*names.values()).withColumn("_length", F.col(names["length"]).cast("long"))
+    rows = rows.withColumn("_at", hash60(F.monotonically_increasing_id())).withColumn("_one", F.lit(1).cast("long"))
+    ranked = running_total(rows, "_length", "_at", [], "_one", lengths, "_rank")
     p, e = ranked.alias("p"), F.broadcast(places).alias("e")  # the plan has a few entries for each length
-    found = p.join(e, (F.col("p.length") == F.col("e.length")) & (F.col("p._rank") >= F.col("e._lo")) & (F.col("p._rank") < F.col("e._hi")))
+    found = p.join(e, (F.col("p._length") == F.col("e._length")) & (F.col("p._rank") >= F.col("e._lo")) & (F.col("p._rank") < F.col("e._hi")))
     k = F.col("p._rank") - F.col("e._lo")
     return found.select(
-        *[F.col(f"p.`{c}`") for c in pieces.columns],
+        *[F.col(f"p.{n}").alias(c) for c, n in names.items()],
         (F.col("e._first") + F.floor(k / F.col("e._each"))).alias("sequence_id"),
-        (F.col("e._offset") + F.pmod(k, F.col("e._each")) * F.col("p.length")).alias("offset"),
+        (F.col("e._offset") + F.pmod(k, F.col("e._each")) * F.col("p._length")).alias("offset"),
     )
 
 

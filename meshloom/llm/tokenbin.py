@@ -9,18 +9,20 @@ The index is a cascade of bit arrays: a key that falls alone on a bit of a level
 level; the number of bits set before a key's bit is its slot, so slots are 0..n-1 without gaps. A slot stores 32 bits of another
 hash of its key, by which foreign keys are told apart, and where the key's documents lie. A look-up is a handful of bit probes.
 
-Documents are encoded where they are read, dealt to shards by ranges of doc_id (quantiles found on doc_id alone) and sorted
-within a shard; a shard is cut into parts of at most PART_BYTES of payload between documents. Files appear whole or not at all.
+Documents are encoded where they are read, dealt to shards by ranges of (doc_id, a hash of the text, a hash of the row's place) and
+sorted within a shard, so that a doc_id with any number of rows fills several shards. Bounds of the ranges come from a sample of
+SAMPLED rows a shard and MOST_SAMPLED in all. A shard is cut into parts of at most PART_BYTES of payload between documents. Files
+appear whole or not at all.
 
 Defined results: null and empty texts hold the end id alone; null doc_ids come first and are one key; rows with equal doc_id are
-kept one by one, in the order of their ids' digests; an empty table writes no files and gives no rows; other columns are ignored.
+kept one by one, in the order of hashes of their texts; an empty table writes no files and gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import bisect
 import math
 import struct
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,12 +30,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshloom.llm.common import fresh_dir, runs
+from meshloom.llm.common import fresh_dir, runs, slices
 from meshloom.llm.files import open_dir, replaced
 from meshloom.llm.tokens import WordEncoder, default_path
 
 END_ID = 2
 SHARD_BYTES = 64 << 20
+#: Rows that bounds come from: for each shard, and at most. There are no more shards than MOST_SAMPLED / 4.
+SAMPLED = 32
+MOST_SAMPLED = 1 << 20
 PART_BYTES = 256 << 20
 GAMMA = 2.0
 MOST_LEVELS = 32
@@ -151,47 +156,48 @@ class Shard:
         return raw if self.width == 4 else np.frombuffer(raw, "<u2").astype("<u4").tobytes()
 
 
-def encode(docs: DataFrame, path: str, end_id: int, wide: bool) -> DataFrame:
-    """(doc_id, digest, ids): ids in the payload's width, with the end id."""
+#: What documents are sorted by: null doc_ids first, then doc_id, text, and the row's place.
+ORDER = ("known", "doc_id", "text_hash", "place_hash")
+
+
+def _ordered(docs: DataFrame) -> DataFrame:
+    key = F.col("doc_id").cast("long")
+    return docs.select(F.when(key.isNull(), 0).otherwise(1).alias("known"), F.coalesce(key, F.lit(0).cast("long")).alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.xxhash64(F.monotonically_increasing_id()).alias("place_hash"), "text")
+
+
+def encode(docs: DataFrame, path: str, end_id: int, wide: bool, bounds: list[tuple]) -> DataFrame:
+    """(shard, *ORDER, ids): ids in the payload's width, with the end id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, end = WordEncoder.of(path), end_id.to_bytes(4, "little")
-        for batch in batches:
-            for part in (batch.slice(i, 1000) for i in range(0, batch.num_rows, 1000)):
-                ids = [x + end for x in encoder.encode([x or "" for x in part.column(1).to_pylist()])]
-                crc = [zlib.crc32(x) for x in ids]
-                if not wide:
-                    ids = [np.frombuffer(x, "<u4").astype("<u2").tobytes() for x in ids]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(crc, pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "digest", "ids"])
+        for part in (x for b in batches for x in slices(b, 4)):
+            ids = [x + end for x in encoder.encode([x or "" for x in part.column(4).to_pylist()])]
+            if not wide:
+                ids = [np.frombuffer(x, "<u4").astype("<u2").tobytes() for x in ids]
+            shard = [bisect.bisect_left(bounds, k) for k in zip(*(part.column(i).to_pylist() for i in range(4)), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), *part.columns[:4], pa.array(ids, pa.binary())], names=["shard", *ORDER, "ids"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, digest long, ids binary")
+    return _ordered(docs).mapInArrow(run, "shard int, known int, doc_id long, text_hash long, place_hash long, ids binary")
 
 
-def _shard_of(bounds: list[int]):
-    """The shard of a doc_id: how many bounds lie below it; null doc_ids come first."""
-    found = F.expr("0")
-    if bounds:
-        # a binary search, unrolled: log2(shards) comparisons
-        def search(lo: int, hi: int):
-            if lo == hi:
-                return F.lit(lo)
-            mid = (lo + hi) // 2
-            return F.when(F.col("doc_id") <= F.lit(bounds[mid]), search(lo, mid)).otherwise(search(mid + 1, hi))
-
-        found = F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(search(0, len(bounds)))
-    return found.cast("int").alias("shard")
+def _bounds(docs: DataFrame) -> list[tuple]:
+    """Where each shard but the last ends, in ORDER."""
+    n_bytes, n_rows = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count(F.lit(1))).first()
+    n = min(MOST_SAMPLED // 4, max(4 * docs.sparkSession.sparkContext.defaultParallelism, math.ceil(n_bytes / SHARD_BYTES)))
+    share = min(SAMPLED * n, MOST_SAMPLED) / max(n_rows, 1)
+    chosen = F.shiftrightunsigned(F.xxhash64("place_hash"), 1) < F.lit(min((1 << 63) - 1, int(min(share, 1.0) * (1 << 63))))
+    sample = _ordered(docs).where(chosen).select(*ORDER).toArrow()  # about MOST_SAMPLED rows at most
+    keys = sorted(zip(*(sample.column(i).to_pylist() for i in range(4)), strict=True))
+    return sorted({keys[len(keys) * i // n] for i in range(1, n)}) if keys else []
 
 
 def write(docs: DataFrame, uri: str, path: str | None = None, end_id: int = END_ID) -> dict:
     """Writes the shards below uri; returns the manifest: bounds of the shards, and their parts in order with what they hold."""
-    path, spark = path or default_path(), docs.sparkSession
+    path = path or default_path()
     wide = WordEncoder.of(path).tokenizer.get_vocab_size() > 1 << 16
-    n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(4 * spark.sparkContext.defaultParallelism, math.ceil(n_bytes / SHARD_BYTES))
-    cuts = docs.select(F.percentile_approx(F.col("doc_id").cast("long"), [i / n for i in range(1, n)], 100 * n)).first()[0]
-    bounds = sorted(set(cuts or []))
-    rows = encode(docs, path, end_id, wide).select("*", _shard_of(bounds))
-    dealt = rows.repartition(len(bounds) + 1, "shard").sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "digest")
+    bounds = _bounds(docs)
+    rows = encode(docs, path, end_id, wide, bounds)
+    dealt = rows.repartitionById(len(bounds) + 1, F.col("shard")).sortWithinPartitions("shard", *ORDER)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, folder = open_dir(uri)
@@ -200,7 +206,8 @@ def write(docs: DataFrame, uri: str, path: str | None = None, end_id: int = END_
             for number, (name, ids, null, sizes) in enumerate(_write_parts(system, folder, shard, parts, width)):
                 yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([number], pa.int32()), pa.array([name]), pa.array([len(ids)], pa.int64()), pa.array([int(sizes.sum())], pa.int64())], names=["shard", "part", "name", "docs", "tokens"])
 
-    parts = dealt.select("shard", "doc_id", "ids").mapInArrow(run, "shard int, part int, name string, docs long, tokens long").collect()  # a row for each file
+    known = F.when(F.col("known") == 1, F.col("doc_id")).alias("doc_id")
+    parts = dealt.select("shard", known, "ids").mapInArrow(run, "shard int, part int, name string, docs long, tokens long").collect()  # a row for each file
     at, files = 0, {}
     for p in sorted(parts):
         files.setdefault(p["shard"], []).append((p["name"], at))
@@ -239,23 +246,30 @@ def _write_parts(system, folder: str, shard: int, batches: Iterator[pa.RecordBat
 def lookup(keys: DataFrame, manifest: dict) -> DataFrame:
     """(doc_id, start, n_tokens, ids) of every document whose doc_id is among keys (doc_id), by the index; ids in 32 bits.
 
-    Keys go to their shard by range; each shard is opened once and its keys are probed in order.
+    Keys go to the shards whose ranges may hold them; each shard is opened once and its keys are probed in order.
     """
-    uri, files = manifest["uri"], manifest["files"]
-    dealt = keys.select(F.col("doc_id").cast("long").alias("doc_id")).select("doc_id", _shard_of(manifest["bounds"]))
-    dealt = dealt.repartition(len(manifest["bounds"]) + 1, "shard").sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first())
+    uri, files, bounds = manifest["uri"], manifest["files"], manifest["bounds"]
+    ends = [x[:2] for x in bounds]
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for key in batch.column(0).to_pylist():
+                k = (0, 0) if key is None else (1, key)
+                found += [(shard, key) for shard in range(bisect.bisect_left(ends, k), bisect.bisect_right(ends, k) + 1)]
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int32()), pa.array([x for _, x in found], pa.int64())], names=["shard", "doc_id"])
+
+    dealt = keys.select(F.col("doc_id").cast("long").alias("doc_id")).distinct().mapInArrow(deal, "shard int, doc_id long")
+    dealt = dealt.repartitionById(len(bounds) + 1, F.col("shard")).sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, folder = open_dir(uri)
         for shard, parts in runs(batches):
             opened = [(Shard(system, f"{folder}/{name}"), start) for name, start in files.get(shard, [])]
-            last = None
             for batch in parts:
                 column = batch.column(1)
                 null, ids = column.is_null().to_numpy(zero_copy_only=False), column.fill_null(0).to_numpy()
                 key = key_of(ids, null)
-                new = np.concatenate([[last is None or key[0] != last], key[1:] != key[:-1]])  # sorted: a key counts once
-                last, key, ids, null = key[-1], key[new], ids[new], null[new]
                 for file, base in opened:
                     first, count = file.find(key)
                     rows = np.repeat(first, count) + _steps(count)
@@ -268,7 +282,7 @@ def lookup(keys: DataFrame, manifest: dict) -> DataFrame:
                             names=["doc_id", "start", "n_tokens", "ids"],
                         )
 
-    return dealt.select("shard", "doc_id").mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
+    return dealt.mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
 
 
 def _steps(count: np.ndarray) -> np.ndarray:

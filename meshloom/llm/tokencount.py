@@ -23,13 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from meshloom.llm.common import slices
 from meshloom.llm.tokens import default_path
 
 END_OF_WORD = "</w>"
 #: Bytes of text whose words take their steps together.
 CHUNK = 8 << 20
-#: Pieces popped by one step fit in this many bits of a table entry.
-POP_BITS = 6
+#: So many words at most go on one by one when the others of a chunk have ended.
+LAST_WORDS = 8
 
 
 def byte_letters() -> dict[str, int]:
@@ -103,7 +104,7 @@ class Automaton:
         self.column = np.zeros(256, np.int64)
         self.column[used] = np.arange(1, len(used) + 1)
         fail, pops = [-1] * n, [0] * n
-        table = np.full((n + 1, self.columns), n << POP_BITS, np.int32)
+        table, popped = np.full((n + 1, self.columns), n, np.int32), np.zeros((n + 1, self.columns), np.int32)
         last = np.full(n + 1, -1, np.int32)  # pieces popped at the end of the word; -1: it cannot be cut
         last[rest] = 0
         level = [0] if rest == 0 else [0, rest]
@@ -126,20 +127,20 @@ class Automaton:
                     if final[v]:
                         fail[v], pops[v] = rest, 1
                 if fail[v] >= 0:
-                    step = table[fail[v]]
-                    alive = (step >> POP_BITS) != n
-                    if pops[v] + int((step & ((1 << POP_BITS) - 1)).max()) >= 1 << POP_BITS:
-                        raise ValueError("a step pops too many pieces")
-                    table[v] = np.where(alive, step + pops[v], step)
+                    table[v] = table[fail[v]]
+                    popped[v] = np.where(table[v] != n, popped[fail[v]] + pops[v], 0)
                     if ends is None and last[fail[v]] >= 0:
                         last[v] = last[fail[v]] + pops[v]
                 for b, c in child[v].items():
-                    table[v, self.column[b]] = c << POP_BITS
+                    table[v, self.column[b]], popped[v, self.column[b]] = c, 0
             level = [c for v in level for c in child[v].values() if c not in done]
             done.update(level)
         if rest == 0:
             last[0] = 0
-        self.table, self.last = table.reshape(-1), last
+        # a step's next node and popped pieces in one entry
+        self.bits = int(popped.max()).bit_length()
+        kind = np.int32 if (n << self.bits) < 1 << 31 else np.int64
+        self.table, self.last = ((table.astype(kind) << self.bits) | popped.astype(kind)).reshape(-1), last
 
     @classmethod
     def of(cls, path: str | None) -> Automaton:
@@ -154,13 +155,21 @@ class Automaton:
         """Pieces of each word, data[start : start + length]; -1 for words that cannot be cut."""
         order = np.argsort(-length, kind="stable")
         start, length = start[order], length[order]
-        state, popped = np.full(len(start), self.root, np.int64), np.zeros(len(start), np.int32)
-        column = self.column[data]
-        active = np.searchsorted(-length, -np.arange(1, (length[0] if len(length) else 0) + 1), "right")  # words longer than t
+        state, popped = np.full(len(start), self.root, np.int64), np.zeros(len(start), np.int64)
+        column, mask = self.column[data], (1 << self.bits) - 1
+        together = int(length[LAST_WORDS]) if len(length) > LAST_WORDS else 0
+        active = np.searchsorted(-length, -np.arange(1, together + 1), "right")  # words longer than t
         for t, n in enumerate(active):
             step = self.table[state[:n] * self.columns + column[start[:n] + t]]
-            popped[:n] += step & ((1 << POP_BITS) - 1)
-            state[:n] = step >> POP_BITS
+            popped[:n] += step & mask
+            state[:n] = step >> self.bits
+        table = memoryview(self.table)
+        for i in range(min(LAST_WORDS, len(length))):
+            node, count = int(state[i]), int(popped[i])
+            for c in column[start[i] + together : start[i] + length[i]].tolist():
+                entry = table[node * self.columns + c]
+                node, count = entry >> self.bits, count + (entry & mask)
+            state[i], popped[i] = node, count
         end = self.last[state]
         out = np.empty(len(start), np.int64)
         out[order] = np.where(end < 0, -1, popped + end)
@@ -201,10 +210,9 @@ def count_pieces(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = Automaton.of(path)
-        for batch in batches:
-            if batch.num_rows:
-                counts = count_texts(automaton, [x or "" for x in batch.column(1).to_pylist()])
-                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in counts)], names=["doc_id", "n_words", "n_tokens", "n_unknown"])
+        for part in (x for b in batches for x in slices(b, rows=10_000)):
+            counts = count_texts(automaton, [x or "" for x in part.column(1).to_pylist()])
+            yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(x, pa.int64()) for x in counts)], names=["doc_id", "n_words", "n_tokens", "n_unknown"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_words long, n_tokens long, n_unknown long")
 

@@ -19,6 +19,7 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import itertools
 import math
 import zlib
 from bisect import bisect_left, bisect_right
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshloom.llm.common import fresh_dir, materialize, runs
+from meshloom.llm.common import fresh_dir, materialize, runs, slices
 from meshloom.llm.files import open_dir, replaced
 
 LEAST_PAYLOAD = 0
@@ -40,22 +41,28 @@ BLOCK = 128
 RANGE = 200_000
 LEVEL = 4
 CACHED_BLOCKS = 64
+#: Records that a look-up returns together.
+LOOKED_UP = 1000
 DATE = "2024-01-01T00:00:00Z"
 SEP = "\x1f"
 
 
 def surt(url: str | None) -> str:
-    """A URL's key: host labels reversed, then path and query; without scheme, user, port, fragment and a leading www."""
+    """A URL's key: host labels reversed, then path and query; without scheme, user, port, fragment and a leading www.
+
+    What has no host is its own key. Line feeds and SEP, which part the index's lines and fields, are left out.
+    """
+    url = (url or "").replace(SEP, "").replace("\n", "")
     try:
-        parts = urlsplit(url or "")
+        parts = urlsplit(url)
         host = (parts.hostname or "").lower()
     except ValueError:
-        return (url or "").replace(SEP, "")
+        return url
     if not host:
-        return (url or "").replace(SEP, "")
+        return url
     labels = host.removeprefix("www.").split(".")
     tail = (parts.path or "/") + (f"?{parts.query}" if parts.query else "")
-    return f"{','.join(reversed(labels))}){tail}".replace(SEP, "").replace("\n", "")
+    return f"{','.join(reversed(labels))}){tail}"
 
 
 def digest(payload: bytes) -> str:
@@ -115,7 +122,7 @@ def write(pages: DataFrame, uri: str, least: int = LEAST_PAYLOAD) -> DataFrame:
         import uuid
 
         system, folder = open_dir(uri)
-        batches, pending = iter(batches), None
+        batches, pending = (x for b in batches for x in slices(b, 2)), None
         while True:
             name, at, rows = f"{uuid.uuid4().hex}.warc.gz", 0, []
             pending = next(batches, None) if pending is None else pending
@@ -247,12 +254,14 @@ def lookup(urls: DataFrame, archive: str, index: str, ranges: list[tuple[str, st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (system, folder), (_, cdx) = open_dir(archive), open_dir(index)
         opened: OrderedDict = OrderedDict()
+        waiting: list[tuple] = []
         for shard, parts in runs(batches):
             found = Range(system, f"{cdx}/{names[shard]}")
-            for batch in parts:
-                out = []
-                for key in batch.column(1).to_pylist():
-                    for _, page_id, name, at, n in found.captures(key):
+            for key in (k for batch in parts for k in batch.column(1).to_pylist()):
+                places = found.captures(key)
+                while some := list(itertools.islice(places, LOOKED_UP)):
+                    out = []
+                    for _, page_id, name, at, n in some:
                         if name not in opened:
                             opened[name] = system.open_input_file(f"{folder}/{name}")
                             if len(opened) > CACHED_BLOCKS:
@@ -267,10 +276,16 @@ def lookup(urls: DataFrame, archive: str, index: str, ranges: list[tuple[str, st
                         else:
                             refers = int(headers["WARC-Refers-To"][len("<urn:page:") : -1])
                         out.append((key, int(page_id) if page_id else None, size, sha, kind, refers))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([r[i] for r in out], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()))],
-                    names=["surt", "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"],
-                )
+                    waiting += out
+                    if len(waiting) >= LOOKED_UP:
+                        yield rows_of(waiting)
+                        waiting = []
+        if waiting:
+            yield rows_of(waiting)
+
+    def rows_of(found: list[tuple]) -> pa.RecordBatch:
+        kinds = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], t) for i, t in enumerate(kinds)], names=["surt", "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
     return dealt.select("shard", "surt").mapInArrow(run, "surt string, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 

@@ -10,6 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from meshloom.llm import mixing, packing
+from meshloom.llm.common import slices
 from meshloom.llm.tokens import WordEncoder, default_path
 
 EDGES = [(1, "a b c", "s1"), (2, None, None), (3, "", "s1"), (4, " \n\t", "s2"), (5, "x " * 5000, "s2"), (6, "x", "s3"), (6, "x", "s3"), (None, "null id", "s1")]
@@ -82,6 +83,29 @@ def test_packing_of_documents(spark):
     assert packing.op5(docs.where("false")).count() == 0
 
 
+def test_packing_carries_columns_of_any_name(spark):
+    names = ["_bucket", "_at", "sequence_id", "_rank", "n_rows", "__bucket", "a.b", "c0", "_length"]
+    rows = [(i % 3, 0, 1 + i % 50, *(f"{i}{n}" for n in names)) for i in range(500)]
+    pieces = spark.createDataFrame(rows, ", ".join(["doc_id long, piece int, length long", *(f"`{n}` string" for n in names)]))
+    packed = packing.pack(pieces, 100).collect()
+    kept = [n for n in names if n != "sequence_id"]
+    assert sorted(tuple(r[n] for n in kept) for r in packed) == sorted(tuple(r[3 + names.index(n)] for n in kept) for r in rows)
+    used = {}
+    for r in packed:
+        used.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    assert all([o for o, _ in sorted(x)] == [0, *np.cumsum([n for _, n in sorted(x)])[:-1]] and sum(n for _, n in x) <= 100 for x in used.values())
+
+
+def test_slices_are_bounded_by_bytes():
+    import pyarrow as pa
+
+    texts = ["x" * n for n in (10, 0, 900, 50, 50, 2000, 1)] + [None, "y"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(9)), pa.array(texts)], names=["i", "text"])
+    parts = list(slices(batch, rows=3, size=1000))
+    assert [x for p in parts for x in p.column(1).to_pylist()] == texts
+    assert all(p.num_rows <= 3 and (p.num_rows == 1 or sum(len(x or "") for x in p.column(1).to_pylist()) <= 1000) for p in parts)
+
+
 def brute_targets(sizes):
     """Water filling by definition: shares by weight, stops at the caps, excess reshared until none is above."""
     weights, goal, open_ = [(3.0, 1.0, 2.0)[i % 3] for i in range(len(sizes))], [0.0] * len(sizes), set(range(len(sizes)))

@@ -173,6 +173,21 @@ def test_top_k_with_large_components(spark):
     assert sorted(tuple(r) for r in topk.op10(table).collect()) == brute_top(whole)
 
 
+def test_sketches_find_nearly_all_pairs_at_the_threshold():
+    """Of pairs at a Jaccard index of 0.8, those that no band shows or the joint estimate turns down."""
+    rng = np.random.default_rng(7)
+    n, missed, a_regs, b_regs, sizes = 1500, 0, [], [], []
+    for _ in range(n):
+        half = int(rng.integers(2, 40))
+        pool = rng.integers(0, 2**63, 10 * half, dtype=np.int64).astype(np.uint64)  # 8 of 10 shared, one apart on either side
+        a, b = np.unique(pool[: 9 * half]), np.unique(np.concatenate([pool[: 8 * half], pool[9 * half :]]))
+        a_regs.append(neardup.registers(a)), b_regs.append(neardup.registers(b)), sizes.append(len(a))
+        missed += not np.isin(neardup.band_keys(a_regs[-1]), neardup.band_keys(b_regs[-1])).any()
+    sizes = np.array(sizes)
+    missed += neardup.unlikely(np.array(a_regs), np.array(b_regs), sizes, sizes, 0.8).sum()
+    assert missed <= 1
+
+
 def test_top_k_edges(spark):
     rows = [(0, [1.0, 2.0]), (20, [0.5, 0.5]), (1, None), (2, [1.0, None]), (3, [float("nan"), 1.0]), (4, [float("inf"), 1.0]), (5, []), (6, [2.0, 2.0]), (6, [2.0, 2.0]), (None, [9.0, 9.0]), (40, [1.0, 1.0, 1.0])]
     table = spark.createDataFrame([(*r, 1, "s") for r in rows], "vec_id long, embedding array<double>, rank int, score string")
@@ -198,6 +213,9 @@ def test_archives(spark):
     assert warc.op6(spark, pages).count() == len(rows)
     assert warc.op6(spark, pages.where("false")).count() == 0
     assert warc.surt("http://www.Example.com/a?b=1#c") == "com,example)/a?b=1"
+    odd = ["no host\nbut a line feed", "http://[bad\nhost/", "\n", "a\x1fb\nc", "http://x.org/a\nb", "\r\n", None]
+    pages = spark.createDataFrame([(i, u, f"p{i}") for i, u in enumerate(odd)], "page_id long, url string, html string")
+    assert sorted(r.page_id for r in warc.op6(spark, pages).collect()) == list(range(len(odd)))
 
 
 def test_index_finds_single_urls(spark, monkeypatch):

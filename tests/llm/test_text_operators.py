@@ -201,6 +201,28 @@ def test_token_files(spark):
     assert tokenbin.op4(spark, docs.where("false")).count() == 0
 
 
+def test_token_files_with_a_hot_id(spark, monkeypatch):
+    monkeypatch.setattr(tokenbin, "SHARD_BYTES", 500)
+    rows = [(None, f"text {i % 40}") for i in range(400)] + [(7, f"other {i}") for i in range(300)] + [(i, "same") for i in range(100)]
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, shard string")
+    manifest = tokenbin.write(docs, fresh_dir(spark, "tokens"))
+    found = tokenbin.lookup(docs.select("doc_id"), manifest).orderBy("start").collect()
+    assert Counter((r.doc_id, bytes(r.ids)) for r in found) == Counter((i, array("I", ids_of(t, 2)).tobytes()) for i, t in rows)
+    assert [r.start for r in found] == [0, *np.cumsum([r.n_tokens for r in found])[:-1]]
+    order = [(r.doc_id is not None, r.doc_id or 0) for r in found]
+    assert order == sorted(order)
+    held = np.diff([start for files in manifest["files"].values() for _, start in files] + [manifest["tokens"]])
+    assert held.max() < 0.2 * manifest["tokens"]  # neither null nor 7 gathers in one shard
+
+
+def test_token_counts_of_very_long_words_and_many_pops(spark):
+    piece = [b"a", b"a" * 200, b"b"]
+    words = [b"a" * 3_000_000, b"a" * 199 + b"b", b"ab" * 50]
+    length = np.array([len(w) for w in words])
+    got = tokencount.Automaton(piece).count(np.frombuffer(b"".join(words), np.uint8), np.cumsum(length) - length, length)
+    assert got.tolist() == [15000, 200, 100]
+
+
 def test_perfect_hash():
     keys = np.unique(np.random.default_rng(0).integers(0, 2**62, 20000)).astype(np.uint64)
     built = tokenbin.PerfectHash.build(keys)
