@@ -136,9 +136,9 @@ def _expanded(placed: DataFrame) -> DataFrame:
 
 
 def mix_rows(docs: DataFrame) -> DataFrame:
-    """docs as mixed, in the order of the schedule: each row as often as the mix takes it, to the nearest whole time.
+    """docs as mixed: each row as often as the mix takes it, to the nearest whole time; every partition in the order of the schedule.
 
-    A source then holds its target to within its slots' evenness and a document or two. Of rows that agree in doc_id, source and
+    Rows are dealt to partitions by a hash, so that each partition is a sample of the mix, and a mix itself. A source then holds its target to within its slots' evenness and a document or two. Of rows that agree in doc_id, source and
     text, some are taken once more than others where their share asks for it.
     """
     key = F.xxhash64(*[F.col(c) for c in ("doc_id", "source", "text")])
@@ -149,7 +149,7 @@ def mix_rows(docs: DataFrame) -> DataFrame:
     odd = joined.where("__more > 0").withColumn("__at", hash60(F.monotonically_increasing_id())).withColumn("__one", F.lit(1).cast("long"))
     odd = running_total(odd, KEY, "__at", [], "__one", times.where("__more > 0").select(KEY, "n_rows"), "__rank").withColumn("__copies", F.col("__each") + (F.col("__rank") < F.col("__more")).cast("long")).drop("__at", "__one", "__rank")
     copies = even.unionByName(odd).where("__copies > 0").withColumn("__copy", F.explode(F.expr("sequence(1L, __copies)")))
-    return copies.orderBy(F.when(F.col("__copy") % 2 == 1, F.col("__first")).otherwise(F.col("__second"))).select(*docs.columns)
+    return copies.sortWithinPartitions(F.when(F.col("__copy") % 2 == 1, F.col("__first")).otherwise(F.col("__second"))).select(*docs.columns)
 
 
 ORACLE = f"""
