@@ -192,8 +192,9 @@ def encode_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPA
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Adds sequence_id and offset to pieces, which has a column length in 1..capacity; other columns are carried along.
 
-    pieces should be a written table: it is read three times. Pieces of a length are ranked in an order of their rows' places in it,
-    so that no id or text, however often it occurs, gathers them. Columns named sequence_id and offset are replaced.
+    pieces should be a written table: it is read three times. Pieces of a length are ranked by a hash of their partition in it and of
+    doc_id and piece, if there: copies that lie together are shuffled together, and an id with many rows is spread as its rows are.
+    Columns named sequence_id and offset are replaced.
     """
     spark = pieces.sparkSession
     pieces = pieces.drop("sequence_id", "offset")
@@ -202,10 +203,11 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     counts = {r["length"]: r["n_rows"] for r in sizes.collect()}  # at most `capacity` rows
     entries, _ = plan(counts, capacity)
     places = spark.createDataFrame(entries or [(0, 0, 0, 0, 1, 0)], "_length long, _lo long, _hi long, _first long, _each long, _offset long")
-    lengths = spark.createDataFrame(list(counts.items()) or [(0, 1)], "_length long, n_rows long")
+    lengths = F.broadcast(spark.createDataFrame(list(counts.items()) or [(0, 1)], "_length long, n_rows long"))  # at most `capacity` rows
     rows = pieces.toDF(*names.values()).withColumn("_length", F.col(names["length"]).cast("long"))
-    rows = rows.withColumn("_at", hash60(F.monotonically_increasing_id())).withColumn("_one", F.lit(1).cast("long"))
-    ranked = running_total(rows, "_length", "_at", [], "_one", lengths, "_rank")
+    known = [F.col(names[c]) for c in ("doc_id", "piece") if c in names]
+    rows = rows.withColumn("_at", hash60(F.spark_partition_id(), *known)).withColumn("_one", F.lit(1).cast("long"))
+    ranked = running_total(rows, "_length", "_at", [names[c] for c in ("doc_id", "piece") if c in names], "_one", lengths, "_rank")
     p, e = ranked.alias("p"), F.broadcast(places).alias("e")  # the plan has a few entries for each length
     found = p.join(e, (F.col("p._length") == F.col("e._length")) & (F.col("p._rank") >= F.col("e._lo")) & (F.col("p._rank") < F.col("e._hi")))
     k = F.col("p._rank") - F.col("e._lo")

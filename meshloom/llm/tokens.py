@@ -10,7 +10,7 @@ from collections.abc import Iterable, Iterator
 #: The tokenizer in production; a parameter of every operator that encodes.
 WORD_BPE = "word_bpe_49k.json"
 #: Words that a worker remembers; beyond that it starts anew.
-CACHED_WORDS = 800_000
+CACHED_WORDS = 300_000
 #: Longer words are not remembered.
 LONG_WORD = 64
 #: Punctuation between a letter and white space is a piece of its own for the tokenizer.
