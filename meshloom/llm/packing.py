@@ -22,14 +22,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-from meshloom.llm.common import hash60, materialize, running_total, slices
+from meshloom.llm.common import materialize, slices
 from meshloom.llm.tokens import WordEncoder, default_path
 
 CAPACITY = 2048
 END_ID = 0
+#: Where a piece was numbered, and its number there among those of its length.
+PART, NTH = "__meshloom_part", "__meshloom_nth"
+#: Counts of partitions that are broadcast, of about 24 bytes each; more of them are joined.
+BROADCAST_COUNTS = 1_000_000
 #: (length, first rank, rank after the last, first bin, pieces of this length in each bin, offset of the first of them)
 Entry = tuple[int, int, int, int, int, int]
 
@@ -167,12 +173,28 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[list[Entry],
     return p.entries, p.bins
 
 
+class _Numbers:
+    """Numbers the pieces of each length in the order in which a task sees them."""
+
+    def __init__(self, capacity: int) -> None:
+        self.part, self.seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, dtype=np.int64)
+
+    def columns(self, lengths: np.ndarray) -> list[pa.Array]:
+        if len(lengths) and not 1 <= lengths.min() <= lengths.max() < len(self.seen):
+            raise ValueError(f"lengths must lie in 1..{len(self.seen) - 1}")
+        order = np.argsort(lengths, kind="stable")
+        line, nth = lengths[order], np.empty(len(lengths), dtype=np.int64)
+        nth[order] = self.seen[line] + np.arange(len(line)) - np.searchsorted(line, line, "left")
+        self.seen += np.bincount(lengths, minlength=len(self.seen))
+        return [pa.array(np.full(len(lengths), self.part), pa.int32()), pa.array(nth)]
+
+
 def encode_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
-    """(doc_id, piece, start, length, ids): each text's ids with the end id, those of over `capacity` ids cut into pieces."""
+    """(doc_id, piece, start, length, ids, PART, NTH): each text's ids with the end id, those of over `capacity` ids cut into pieces."""
     path = path or default_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end, step = WordEncoder.of(path), end_id.to_bytes(4, "little"), 4 * capacity
+        encoder, end, step, numbers = WordEncoder.of(path), end_id.to_bytes(4, "little"), 4 * capacity, _Numbers(capacity)
         for part in (x for b in batches for x in slices(b)):
             rows, of = [], []
             for k, ids in enumerate(encoder.encode([x or "" for x in part.column(1).to_pylist()])):
@@ -180,39 +202,56 @@ def encode_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPA
                 rows += [(i // step, i // 4, ids[i : i + step]) for i in range(0, len(ids), step)]
                 of += [k] * (len(rows) - len(of))
             piece, start, some = zip(*rows, strict=True)
+            lengths = np.array([len(x) // 4 for x in some], dtype=np.int64)
             yield pa.RecordBatch.from_arrays(
-                [part.column(0).take(pa.array(of)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array([len(x) // 4 for x in some], pa.int64()), pa.array(some, pa.binary())],
-                names=["doc_id", "piece", "start", "length", "ids"],
+                [part.column(0).take(pa.array(of)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(lengths), pa.array(some, pa.binary()), *numbers.columns(lengths)],
+                names=["doc_id", "piece", "start", "length", "ids", PART, NTH],
             )
 
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids binary"
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids binary, {PART} int, {NTH} long"
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
+def number(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """pieces with PART and NTH, written."""
+    at = pieces.columns.index("length")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers = _Numbers(capacity)
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns, *numbers.columns(b.column(at).to_numpy().astype(np.int64))], names=[*b.schema.names, PART, NTH])
+
+    plain = pieces.toDF(*[f"c{i}" for i in range(len(pieces.columns))])  # names may hold dots
+    schema = StructType([*plain.schema.fields, StructField(PART, IntegerType()), StructField(NTH, LongType())])
+    return materialize(plain.mapInArrow(run, schema), "numbered").toDF(*pieces.columns, PART, NTH)
+
+
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Adds sequence_id and offset to pieces, which has a column length in 1..capacity; other columns are carried along.
 
-    pieces should be a written table: it is read three times. Pieces of a length are ranked by a hash of their partition in it and of
-    doc_id and piece, if there: copies that lie together are shuffled together, and an id with many rows is spread as its rows are.
-    Columns named sequence_id and offset are replaced.
+    Pieces are numbered and written first, unless PART and NTH are there: those must come from one run, so pieces must be a written
+    table then. A piece's rank is its number in its partition and the count of its length in earlier ones, whose table is broadcast up
+    to BROADCAST_COUNTS rows and joined beyond that, with the same ranks. Columns named sequence_id and offset are replaced.
     """
     spark = pieces.sparkSession
     pieces = pieces.drop("sequence_id", "offset")
-    names = {c: f"c{i}" for i, c in enumerate(pieces.columns)}
-    sizes = pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n_rows"))
-    counts = {r["length"]: r["n_rows"] for r in sizes.collect()}  # at most `capacity` rows
+    if PART not in pieces.columns or NTH not in pieces.columns:
+        pieces = number(pieces.drop(PART, NTH), capacity)
+    sizes = materialize(pieces.groupBy(F.col("length").cast("long").alias("_length"), F.col(PART).alias("_part")).agg(F.count(F.lit(1)).alias("n_rows")), "counts")
+    counts = {r["_length"]: r["n"] for r in sizes.groupBy("_length").agg(F.sum("n_rows").alias("n")).collect()}  # at most `capacity` rows
     entries, _ = plan(counts, capacity)
     places = spark.createDataFrame(entries or [(0, 0, 0, 0, 1, 0)], "_length long, _lo long, _hi long, _first long, _each long, _offset long")
-    lengths = F.broadcast(spark.createDataFrame(list(counts.items()) or [(0, 1)], "_length long, n_rows long"))  # at most `capacity` rows
-    rows = pieces.toDF(*names.values()).withColumn("_length", F.col(names["length"]).cast("long"))
-    known = [F.col(names[c]) for c in ("doc_id", "piece") if c in names]
-    rows = rows.withColumn("_at", hash60(F.spark_partition_id(), *known)).withColumn("_one", F.lit(1).cast("long"))
-    ranked = running_total(rows, "_length", "_at", [names[c] for c in ("doc_id", "piece") if c in names], "_one", lengths, "_rank")
-    p, e = ranked.alias("p"), F.broadcast(places).alias("e")  # the plan has a few entries for each length
+    earlier = Window.partitionBy("_length").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
+    bases = sizes.select("_length", "_part", F.coalesce(F.sum("n_rows").over(earlier), F.lit(0)).alias("_base"))
+    if sizes.count() <= BROADCAST_COUNTS:
+        bases = F.broadcast(bases)
+    names = {c: f"c{i}" for i, c in enumerate(pieces.columns)}
+    rows = pieces.toDF(*names.values()).withColumn("_length", F.col(names["length"]).cast("long")).withColumn("_part", F.col(names[PART]))
+    p, e = rows.join(bases, ["_length", "_part"]).withColumn("_rank", F.col("_base") + F.col(names[NTH])).alias("p"), F.broadcast(places).alias("e")  # the plan has a few entries for each length
     found = p.join(e, (F.col("p._length") == F.col("e._length")) & (F.col("p._rank") >= F.col("e._lo")) & (F.col("p._rank") < F.col("e._hi")))
     k = F.col("p._rank") - F.col("e._lo")
     return found.select(
-        *[F.col(f"p.{n}").alias(c) for c, n in names.items()],
+        *[F.col(f"p.{n}").alias(c) for c, n in names.items() if c not in (PART, NTH)],
         (F.col("e._first") + F.floor(k / F.col("e._each"))).alias("sequence_id"),
         (F.col("e._offset") + F.pmod(k, F.col("e._each")) * F.col("p._length")).alias("offset"),
     )

@@ -96,6 +96,17 @@ def test_packing_carries_columns_of_any_name(spark):
     assert all([o for o, _ in sorted(x)] == [0, *np.cumsum([n for _, n in sorted(x)])[:-1]] and sum(n for _, n in x) <= 100 for x in used.values())
 
 
+def test_counts_of_partitions_are_joined_where_they_are_many(spark, monkeypatch):
+    monkeypatch.setattr(packing, "BROADCAST_COUNTS", 0)
+    pieces = spark.range(900, numPartitions=7).selectExpr("id AS doc_id", "0 AS piece", "1 + id % 40 AS length")
+    packed = packing.pack(pieces, 64).collect()
+    used = {}
+    for r in packed:
+        used.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert sorted(r.doc_id for r in packed) == list(range(900)) and len(used) == packing.plan({k: 900 // 40 + (k <= 900 % 40) for k in range(1, 41)}, 64)[1]
+    assert all([o for o, _ in sorted(x)] == [0, *np.cumsum([n for _, n in sorted(x)])[:-1]] for x in used.values())
+
+
 def test_slices_are_bounded_by_bytes():
     import pyarrow as pa
 
