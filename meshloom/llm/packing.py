@@ -34,7 +34,7 @@ CAPACITY = 2048
 END_ID = 0
 #: Where a piece was numbered, and its number there among those of its length.
 PART, NTH = "__meshloom_part", "__meshloom_nth"
-#: Counts of partitions that are broadcast, of about 24 bytes each; more of them are joined.
+#: Counts of partitions that are broadcast, of about 100 bytes each there; more of them are joined.
 BROADCAST_COUNTS = 1_000_000
 #: (length, first rank, rank after the last, first bin, pieces of this length in each bin, offset of the first of them)
 Entry = tuple[int, int, int, int, int, int]
