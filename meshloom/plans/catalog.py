@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from meshloom.plans import mesh, stats, surfaces, texts
+from meshloom.plans import mesh, stats, surfaces, terrain, texts
 
-PARTS = (mesh, stats, surfaces, texts)
+PARTS = (mesh, stats, surfaces, texts, terrain)
 
 
 def queries() -> dict:
