@@ -1,13 +1,13 @@
 """Spatial joins.
 
 Boxes meet by a grid: each box goes to the cells it touches, cells join by key, and a pair is kept in the one cell that holds the
-greater of the lower corners, so no distinct is needed. Distances, rays and insideness take a surface in blocks of at most
-MOST_TRIANGLES triangles, which are sent to the executors; results of blocks are merged by aggregation, whatever the surface's size.
+greater of the lower corners, so no distinct is needed. Distances, rays, segments and insideness are such joins as well, on grids of
+several levels, so that neither large triangles nor far points fill many cells; what is left is computed by column expressions.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -20,7 +20,8 @@ from meshloom.functions import vectors as V
 from meshloom.sources.shared import written
 
 MOST_TRIANGLES = 100_000
-BLOCK = 1 << 22
+#: Corners that bound the distances of points, points that are bounded at once, and pieces of a ray.
+SAMPLE, STEP, PIECES = 4096, 1024, 16
 
 
 def _grid(boxes: DataFrame, size: float, name: str) -> DataFrame:
@@ -75,40 +76,92 @@ def edges_cross(faces: DataFrame, size: float) -> DataFrame:
     return both.select("a", "b", *[f"p{c}" for c in columns], *[f"q{c}" for c in columns]).mapInPandas(run, "a long, b long")
 
 
-def _against(points: DataFrame, faces: DataFrame, kernel: Callable[[pd.DataFrame, np.ndarray, np.ndarray], pd.DataFrame], schema: str) -> DataFrame:
-    """kernel(points, triangles, ids) of every block of the surface, united."""
-    spark = points.sparkSession
-    n = faces.count()
-    blocks = max(1, -(-n // MOST_TRIANGLES))
-    columns = [f"{p}_{c}" for p in "abc" for c in "xyz"]
-    out = None
-    for k in range(blocks):
-        part = faces.where(F.pmod(F.xxhash64("fid"), F.lit(blocks)) == k).select("fid", *columns).orderBy("fid").toPandas()  # MOST_TRIANGLES rows or so
-        sent = spark.sparkContext.broadcast((part["fid"].to_numpy(), part[columns].to_numpy().reshape(-1, 3, 3)))
+def surface_bounds(faces: DataFrame) -> dict[str, float] | None:
+    """lo_x .. hi_z of a surface and the mean extent of its triangles; None if it has none."""
+    boxes = triangle_boxes(faces)
+    row = boxes.agg(*[F.min(f"lo_{c}").alias(f"lo_{c}") for c in "xyz"], *[F.max(f"hi_{c}").alias(f"hi_{c}") for c in "xyz"], F.avg(_extent("lo", "hi")).alias("mean")).first()
+    return None if row["mean"] is None else row.asDict()
 
-        def run(parts: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            ids, tri = sent.value
-            step = max(1, BLOCK // max(len(tri), 1) // 8)
-            for rows in parts:
-                for i in range(0, len(rows), step):
-                    if len(tri):
-                        yield kernel(rows.iloc[i : i + step], tri, ids)
 
-        found = points.mapInPandas(run, schema)
-        out = found if out is None else out.unionAll(found)
-    return out
+def _extent(lo: str, hi: str) -> Column:
+    return F.greatest(*[F.col(f"{hi}_{c}") - F.col(f"{lo}_{c}") for c in "xyz"])
 
 
-def nearest(points: DataFrame, faces: DataFrame) -> DataFrame:
-    """(id, distance, fid): the nearest triangle of each point (id, x, y, z), ties to the lowest."""
+def level_join(left: DataFrame, right: DataFrame, unit: float) -> DataFrame:
+    """Pairs of rows (l_.., r_..) whose boxes lo_x .. hi_z overlap, for boxes of very different sizes.
+
+    A box of extent up to unit * 2^k is of level k and touches eight cells of that level's grid at most. Each box also goes to the
+    grids of the higher levels that the other side has, so that a pair meets at the greater of its two levels, and is kept in the one
+    cell there that holds the greater of the lower corners. unit should be near the usual extent of the smaller boxes.
+    """
+    level = F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(_extent("lo", "hi") / unit, F.lit(1.0))))).cast("int")
+    left, right = left.withColumn("_own", level), right.withColumn("_own", level)
+    seen = [sorted(df.agg(F.collect_set("_own")).first()[0]) for df in (left, right)]  # levels are logarithms: tens at most
+
+    def dealt(df: DataFrame, others: list[int], name: str) -> DataFrame:
+        higher = F.filter(F.array(*[F.lit(k) for k in others]).cast("array<int>"), lambda k: k > F.col("_own"))
+        rows = df.withColumn("_level", F.explode(F.concat(F.array("_own"), higher)))
+        size = unit * F.pow(F.lit(2.0), F.col("_level"))
+        for c in "xyz":
+            rows = rows.withColumn(f"_{c}", F.explode(F.sequence(F.floor(F.col(f"lo_{c}") / size), F.floor(F.col(f"hi_{c}") / size))))
+        return rows.withColumnsRenamed({k: f"{name}_{k}" for k in df.columns})
+
+    met = dealt(left, seen[1], "l").join(dealt(right, seen[0], "r"), ["_level", "_x", "_y", "_z"])
+    size = unit * F.pow(F.lit(2.0), F.col("_level"))
+    meet = [(F.col(f"l_lo_{c}") <= F.col(f"r_hi_{c}")) & (F.col(f"r_lo_{c}") <= F.col(f"l_hi_{c}")) & (F.col(f"_{c}") == F.floor(F.greatest(f"l_lo_{c}", f"r_lo_{c}") / size)) for c in "xyz"]
+    return met.where(reduce(lambda p, q: p & q, meet, F.col("_level") == F.greatest("l__own", "r__own")))
+
+
+def _flat(boxes: DataFrame) -> DataFrame:
+    return boxes.withColumns({"lo_z": F.lit(0.0), "hi_z": F.lit(0.0)})
+
+
+def _with_boxes(faces: DataFrame) -> DataFrame:
+    """Faces (fid, a_x .. c_z) with their boxes."""
+    lo, hi = V.bounds([V.vec("a"), V.vec("b"), V.vec("c")])
+    named = {f"{s}_{c}": x for s, v in (("lo", lo), ("hi", hi)) for x, c in zip(v, "xyz", strict=True)}
+    return faces.select("fid", *[f"{p}_{c}" for p in "abc" for c in "xyz"]).withColumns(named)
+
+
+def _unit(bounds: dict[str, float]) -> float:
+    """A cell's size for a surface: its triangles' mean extent, but a millionth of all at least."""
+    whole = max(bounds[f"hi_{c}"] - bounds[f"lo_{c}"] for c in "xyz")
+    return max(bounds["mean"], whole * 1e-6) or 1.0
+
+
+def _within(points: DataFrame, faces: DataFrame) -> DataFrame:
+    """points with reach, a distance within which the surface has a point: that of the nearest of some corners."""
+    rows = faces.orderBy(F.xxhash64("fid"), "fid").limit(SAMPLE).select("a_x", "a_y", "a_z").collect()  # any corners give a bound
+    known = np.array(rows, float).reshape(-1, 3)
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for i in range(0, len(part), STEP):
+                some = part.iloc[i : i + STEP]
+                p = some[["x", "y", "z"]].to_numpy(float)
+                j = ((known * known).sum(1)[None] - 2 * p @ known.T).argmin(1)
+                yield some.assign(reach=np.sqrt(((p - known[j]) ** 2).sum(1)) * (1 + 1e-9))
+
+    return points.mapInPandas(run, "id long, x double, y double, z double, reach double")
 
-    def kernel(rows: pd.DataFrame, tri: np.ndarray, ids: np.ndarray) -> pd.DataFrame:
-        gap, _ = K.closest_on_triangles(rows[["x", "y", "z"]].to_numpy(), tri)
-        j = gap.argmin(1)
-        return pd.DataFrame({"id": rows["id"].to_numpy(), "distance": np.sqrt(gap[np.arange(len(rows)), j]), "fid": ids[j]})
 
-    found = _against(points.select("id", "x", "y", "z"), faces, kernel, "id long, distance double, fid long")
-    return found.groupBy("id").agg(F.min(F.struct("distance", "fid")).alias("m")).select("id", "m.distance", "m.fid")
+def nearest(points: DataFrame, faces: DataFrame) -> DataFrame:
+    """(id, distance, fid): the nearest triangle of each point (id, x, y, z), ties to the lowest.
+
+    Some corners of the surface bound each point's distance; triangles whose boxes lie within that bound are measured.
+    """
+    spark, bounds = points.sparkSession, surface_bounds(faces)
+    if bounds is None:
+        return spark.createDataFrame([], "id long, distance double, fid long")
+    whole = points.select(F.col("id").cast("long").alias("id"), *[F.col(c).cast("double").alias(c) for c in "xyz"]).dropna()
+    near = written(_within(whole, faces), "reach")
+    around = near.withColumns({f"{s}_{c}": F.col(c) + k * F.col("reach") for s, k in (("lo", -1), ("hi", 1)) for c in "xyz"})
+    met = level_join(around, _with_boxes(faces), _unit(bounds))
+    gaps = [F.greatest(F.col(f"r_lo_{c}") - F.col(f"l_{c}"), F.col(f"l_{c}") - F.col(f"r_hi_{c}"), F.lit(0.0)) for c in "xyz"]
+    met = met.where(reduce(lambda p, q: p + q, [g * g for g in gaps]) <= F.col("l_reach") * F.col("l_reach"))
+    gap = V.point_triangle_distance2(V.vec("l"), *[V.vec(f"r_{p}") for p in "abc"])
+    best = met.groupBy(F.col("l_id").alias("id")).agg(F.min(F.struct(gap.alias("gap"), F.col("r_fid").alias("fid"))).alias("m"))
+    return best.select("id", F.sqrt("m.gap").alias("distance"), "m.fid")
 
 
 def nearest_point_of(groups: DataFrame, faces: DataFrame) -> DataFrame:
@@ -123,13 +176,30 @@ def sphere_hits(spheres: DataFrame, faces: DataFrame) -> DataFrame:
 
 
 def inside(points: DataFrame, faces: DataFrame) -> DataFrame:
-    """(id, inside): whether the closed surface winds around each point."""
+    """(id, inside): whether the closed surface winds around each point.
 
-    def kernel(rows: pd.DataFrame, tri: np.ndarray, ids: np.ndarray) -> pd.DataFrame:
-        return pd.DataFrame({"id": rows["id"].to_numpy(), "w": K.winding_number(rows[["x", "y", "z"]].to_numpy(), tri)})
+    The triangles above a point are counted with the sign of their turn in the plane. Sides are told by their lower end first, so two
+    triangles agree on their common side, and each point lies in one of them.
+    """
+    bounds = surface_bounds(faces)
+    if bounds is None:
+        return points.select("id", F.lit(False).alias("inside"))
+    spots = _flat(points.select("id", "x", "y", "z").dropna().withColumns({f"{s}_{c}": F.col(c) for s in ("lo", "hi") for c in "xy"}))
+    sides = _with_boxes(faces).withColumn("top", F.col("hi_z"))
+    met = level_join(spots, _flat(sides), _unit(bounds)).where("r_top >= l_z")
+    px, py = F.col("l_x"), F.col("l_y")
+    a, b, c = (V.vec(f"r_{p}") for p in "abc")
+
+    def turn(s: V.Vector, e: V.Vector) -> Column:
+        def left_of(low: V.Vector, high: V.Vector) -> Column:
+            return (high[0] - low[0]) * (py - low[1]) - (px - low[0]) * (high[1] - low[1]) > 0
 
-    found = _against(points.select("id", "x", "y", "z"), faces, kernel, "id long, w double")
-    return found.groupBy("id").agg((F.abs(F.sum("w")) > 0.5).alias("inside"))
+        return F.when((s[1] <= py) & (e[1] > py) & left_of(s, e), 1).when((s[1] > py) & (e[1] <= py) & left_of(e, s), -1).otherwise(0)
+
+    n = V.triangle_normal(a, b, c)
+    above = (V.dot(n, V.sub(a, V.vec("l"))) > 0) == (n[2] > 0)
+    wound = met.groupBy(F.col("l_id").alias("id")).agg(F.sum(F.when(above, turn(a, b) + turn(b, c) + turn(c, a)).otherwise(0)).alias("w"))
+    return points.select("id").join(wound, "id", "left").select("id", (F.coalesce("w", F.lit(0)) != 0).alias("inside"))
 
 
 def signed_distances(points: DataFrame, faces: DataFrame) -> DataFrame:
@@ -137,30 +207,61 @@ def signed_distances(points: DataFrame, faces: DataFrame) -> DataFrame:
     return nearest(points, faces).join(inside(points, faces), "id").select("id", F.when(F.col("inside"), F.col("distance")).otherwise(-F.col("distance")).alias("distance"))
 
 
-def first_hits(rays: DataFrame, faces: DataFrame) -> DataFrame:
-    """(id, distance, fid): the first triangle that each ray (id, x, y, z, dx, dy, dz, own) meets in front, not counting its own."""
+def _along(met: DataFrame) -> DataFrame:
+    """Pairs of lines (l_x .., l_dx ..) and triangles that meet, with t, the place on the line in units of its direction."""
+    a, b, c = (V.vec(f"r_{p}") for p in "abc")
+    d, u, v = tuple(F.col(f"l_d{k}") for k in "xyz"), V.sub(b, a), V.sub(c, a)
+    h, s = V.cross(d, v), V.sub(V.vec("l"), a)
+    det, q = V.dot(u, h), V.cross(s, u)
+    rows = met.where(F.abs(det) > 1e-12).withColumns({"_p": V.dot(s, h) / det, "_q": V.dot(d, q) / det, "t": V.dot(v, q) / det})
+    return rows.where((F.col("_p") >= 0) & (F.col("_q") >= 0) & (F.col("_p") + F.col("_q") <= 1) & (F.col("t") >= 0))
 
-    def kernel(rows: pd.DataFrame, tri: np.ndarray, ids: np.ndarray) -> pd.DataFrame:
-        t = K.ray_hits(rows[["x", "y", "z"]].to_numpy(), rows[["dx", "dy", "dz"]].to_numpy(), tri)
-        t[(t <= 1e-12) | (rows["own"].to_numpy()[:, None] == ids[None])] = np.inf
-        j = t.argmin(1)
-        d = t[np.arange(len(rows)), j]
-        return pd.DataFrame({"id": rows["id"].to_numpy(), "distance": d, "fid": ids[j]})[np.isfinite(d)]
 
+def _pieces(lines: DataFrame, bounds: dict[str, float]) -> DataFrame:
+    """A row with a box for each piece of lines (x .., dx .., most) from 0 to most times their direction, in the surface's bounds."""
+    slack = 1e-9 * max(bounds[f"hi_{c}"] - bounds[f"lo_{c}"] for c in "xyz") + 1e-12
+    first, last = [F.lit(0.0)], [F.col("most")]
+    for c in "xyz":
+        p, d = F.col(c), F.col(f"d{c}")
+        lo, hi = (F.lit(bounds[f"lo_{c}"] - slack) - p), (F.lit(bounds[f"hi_{c}"] + slack) - p)
+        # along a side, a line is within its bounds everywhere or nowhere
+        outside = (lo > 0) | (hi < 0)
+        first.append(F.when(d != 0, F.least(lo / d, hi / d)).when(outside, float("inf")).otherwise(0.0))
+        last.append(F.when(d != 0, F.greatest(lo / d, hi / d)).when(outside, -1.0).otherwise(F.col("most")))
+    rows = lines.withColumns({"_from": F.greatest(*first), "_to": F.least(*last)}).where("_from <= _to")
+    rows = rows.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(PIECES - 1))))
+    step = (F.col("_to") - F.col("_from")) / PIECES
+    ends = [F.col("_from") + step * F.col("_k"), F.col("_from") + step * (F.col("_k") + 1)]
+    named = {}
+    for c in "xyz":
+        p, q = (F.col(c) + t * F.col(f"d{c}") for t in ends)
+        named |= {f"lo_{c}": F.least(p, q) - slack, f"hi_{c}": F.greatest(p, q) + slack}
+    return rows.withColumns(named).drop("_from", "_to", "_k")
+
+
+def first_hits(rays: DataFrame, faces: DataFrame) -> DataFrame:
+    """(id, distance, fid): the first triangle that each ray (id, x, y, z, dx, dy, dz, own) meets in front, not counting its own.
+
+    Rays are cut into pieces within the surface's bounds, and meet the triangles whose boxes the pieces' boxes touch.
+    """
+    bounds = surface_bounds(faces)
+    if bounds is None:
+        return rays.select("id", F.lit(None).cast("double").alias("distance"), F.lit(None).cast("long").alias("fid"))
     own = rays if "own" in rays.columns else rays.withColumn("own", F.lit(-1).cast("long"))
-    found = _against(own.select("id", "x", "y", "z", "dx", "dy", "dz", "own"), faces, kernel, "id long, distance double, fid long")
-    best = found.groupBy("id").agg(F.min(F.struct("distance", "fid")).alias("m"))
+    lines = own.select("id", "x", "y", "z", "dx", "dy", "dz", "own").dropna().withColumn("most", F.lit(float("inf"))).where("dx <> 0 OR dy <> 0 OR dz <> 0")
+    met = _along(level_join(_pieces(lines, bounds), _with_boxes(faces), _unit(bounds))).where("t > 1e-12 AND l_own <> r_fid")
+    best = met.groupBy(F.col("l_id").alias("id")).agg(F.min(F.struct(F.col("t").alias("distance"), F.col("r_fid").alias("fid"))).alias("m"))
     return rays.select("id").join(best, "id", "left").select("id", "m.distance", "m.fid")
 
 
 def segments_hit(segments: DataFrame, faces: DataFrame) -> DataFrame:
     """(id, hit): whether any of the segments (id, x, y, z, ex, ey, ez) of an id meets the surface."""
-
-    def kernel(rows: pd.DataFrame, tri: np.ndarray, ids: np.ndarray) -> pd.DataFrame:
-        hit = K.segment_hits(rows[["x", "y", "z"]].to_numpy(), rows[["ex", "ey", "ez"]].to_numpy(), tri).any(1)
-        return pd.DataFrame({"id": rows["id"].to_numpy(), "hit": hit})
-
-    return _against(segments.select("id", "x", "y", "z", "ex", "ey", "ez"), faces, kernel, "id long, hit boolean").groupBy("id").agg(F.bool_or("hit").alias("hit"))
+    every, bounds = segments.select("id").distinct(), surface_bounds(faces)
+    if bounds is None:
+        return every.select("id", F.lit(False).alias("hit"))
+    lines = segments.select("id", "x", "y", "z", *[(F.col(f"e{c}") - F.col(c)).alias(f"d{c}") for c in "xyz"]).dropna().withColumn("most", F.lit(1.0))
+    met = _along(level_join(_pieces(lines, bounds), _with_boxes(faces), _unit(bounds))).where("t <= 1")
+    return every.join(met.select(F.col("l_id").alias("id")).distinct().withColumn("hit", F.lit(True)), "id", "left").select("id", F.coalesce("hit", F.lit(False)).alias("hit"))
 
 
 def inscribed(faces: DataFrame) -> DataFrame:

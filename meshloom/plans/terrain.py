@@ -262,7 +262,7 @@ SQL = {
     "hexahedron_map": f"WITH {_POINTS}, i AS (SELECT *, {_IMAGE}, {_BLEND} AS h FROM p) SELECT id, {_six(*_v('i'))}, {', '.join(f'round((1 - h) * i_{c} + h * {c}, 6) + 0.0 AS b_{c}' for c in 'xyz')} FROM i",
     "point_in_tetra": f"WITH {_POINTS} SELECT id, least(x, y, z) >= -0.5 - 1e-10 AND x + y + z <= 1e-10 AS inside FROM p",
     "box_inflow_tags": _box(_TAKEN + " SELECT cid, lf, bucket FROM tags"),
-    "box_inflow_nodes": _box(_TAKEN + ", k AS (SELECT unnest(q) AS vid, bucket FROM tags) SELECT vid, CASE WHEN bool_or(bucket = 'zmax') THEN -1 ELSE max(substr(bucket, 7)::INTEGER) FILTER (bucket LIKE 'inflow%') END AS inflow_id FROM k WHERE bucket = 'zmax' OR bucket LIKE 'inflow%' GROUP BY vid"),
+    "box_inflow_nodes": _box(_TAKEN + ", k AS (SELECT unnest(q) AS vid, bucket FROM tags) SELECT vid, CASE WHEN bool_or(bucket = 'zmax') THEN -1 ELSE max(TRY_CAST(substr(bucket, 7) AS INTEGER)) END AS inflow_id FROM k WHERE bucket = 'zmax' OR bucket LIKE 'inflow%' GROUP BY vid"),
     "box_unclassified": _box(_TAKEN + " SELECT count(*) AS missing, 0::BIGINT AS extra FROM taken"),
     "box_boundary_cells": _box(" SELECT c.cid, c.cid IN (SELECT cid FROM bf) AS boundary FROM cells c"),
     "box_cell_edges": _box(" SELECT cid, le, a, b FROM edges"),

@@ -205,3 +205,38 @@ def test_settings_are_rewritten():
     lines = ["[A]", "x = 1", "", "[B]", "y = 2"]
     assert rewrite_settings(lines, "a", {"X": "5", "z": "6"}) == ["[A]", "X = 5", "z = 6", "", "[B]", "y = 2"]
     assert rewrite_settings(lines, "C", {"q": "1"})[-2:] == ["[C]", "q = 1"]
+
+
+def test_grid_searches_agree_with_brute_force(spark):
+    """A closed surface with triangles of very different sizes: a large cube whose top is an uneven field of small ones."""
+    rng, m = np.random.default_rng(5), 12
+    top = {(i, j): (i / m * 4, j / m * 4, 4 + (rng.uniform(-0.4, 0.4) if 0 < i < m and 0 < j < m else 0)) for i in range(m + 1) for j in range(m + 1)}
+    tri = [[top[p] for p in q] for i in range(m) for j in range(m) for q in (((i, j), (i + 1, j), (i + 1, j + 1)), ((i, j), (i + 1, j + 1), (i, j + 1)))]
+    tri += [[(0, 0, 0), (4, 4, 0), (4, 0, 0)], [(0, 0, 0), (0, 4, 0), (4, 4, 0)]]
+    rim = [[(k, 0) for k in range(m + 1)], [(m, k) for k in range(m + 1)], [(m - k, m) for k in range(m + 1)], [(0, m - k) for k in range(m + 1)]]
+    for side in rim:
+        a, b = ((*top[side[k]][:2], 0.0) for k in (0, -1))
+        tri += [[a, top[side[k + 1]], top[side[k]]] for k in range(m)] + [[a, b, top[side[-1]]]]
+    tri = np.array(tri, float)
+    names = [f"{p}_{c}" for p in "abc" for c in "xyz"]
+    faces = spark.createDataFrame([(i, *map(float, t.ravel())) for i, t in enumerate(tri)], "fid long, " + ", ".join(f"{c} double" for c in names))
+    p = np.vstack([rng.uniform(-1, 5.5, (150, 3)), rng.uniform(-300, 300, (10, 3))])
+    d = rng.normal(size=p.shape)
+    d[:20, 0] = 0
+    d[10:20, 1] = 0
+    rows = [(i, *map(float, (*a, *b))) for i, (a, b) in enumerate(zip(p, d, strict=True))]
+    points = spark.createDataFrame([*rows, (len(rows), None, 0.0, 0.0, 1.0, 0.0, 0.0)], "id long, x double, y double, z double, dx double, dy double, dz double")
+    gap = np.sqrt(K.closest_on_triangles(p, tri)[0]).min(1)
+    found = {r["id"]: r["distance"] for r in P.nearest(points, faces).collect()}
+    assert sorted(found) == list(range(len(p))) and np.allclose([found[i] for i in range(len(p))], gap, atol=1e-9)
+    wound = np.abs(K.winding_number(p, tri)) > 0.5
+    assert 0 < wound.sum() < len(p)
+    assert {r["id"]: r["inside"] for r in P.inside(points, faces).collect()} == {**dict(enumerate(wound.tolist())), len(p): False}
+    first = K.ray_hits(p, d, tri).min(1)
+    hits = {r["id"]: r["distance"] for r in P.first_hits(points, faces).collect()}
+    assert len(hits) == len(p) + 1 and all(hits[i] is None if np.isinf(t) else abs(hits[i] - t) < 1e-9 for i, t in enumerate(first))
+    ends = points.selectExpr("id", "x", "y", "z", "x + dx AS ex", "y + dy AS ey", "z + dz AS ez")
+    assert {r["id"]: r["hit"] for r in P.segments_hit(ends, faces).collect()} == {**{i: bool(t <= 1) for i, t in enumerate(first)}, len(p): False}
+    none = faces.limit(0)
+    assert P.nearest(points, none).count() == 0 and P.first_hits(points, none).where("distance IS NOT NULL").count() == 0
+    assert not P.inside(points, none).where("inside").count() and not P.segments_hit(ends, none).where("hit").count()
