@@ -14,7 +14,7 @@ from meshloom.operators import refine as R
 from meshloom.operators import surface as S
 from meshloom.operators import topology as T
 from meshloom.plans.mesh import LENGTHS, START, _box, box, levels, rounded, table
-from meshloom.plans.surfaces import _M, _TRI, SCALE, component, points, triangles
+from meshloom.plans.surfaces import _FACES, _M, _TRI, SCALE, component, points, triangles
 
 WIDTH = 25
 #: Corners of a skewed hexahedron.
@@ -270,4 +270,12 @@ SQL = {
     # of queries of plans.surfaces
     "point_triangle_distance": f"WITH {_SINGLE} SELECT fid, round({_distance(tuple(str(x) for x in PROBE), (_A, _B, _C))}, 6) + 0.0 AS distance FROM tri",
     "slice_segments": f"WITH {_SINGLE}, k AS (SELECT fid, list_filter([{_cut('a', 'b')}, {_cut('b', 'c')}, {_cut('c', 'a')}], lambda e: e IS NOT NULL) AS e FROM tri) SELECT fid, round(e[1][1], 6) + 0.0 AS p_x, round(e[1][2], 6) + 0.0 AS p_y, round(e[2][1], 6) + 0.0 AS q_x, round(e[2][2], 6) + 0.0 AS q_y FROM k WHERE len(e) = 2",
+    # cells of 0.4 around a cube of 1: one that reaches into the cube has a corner there
+    "keep_cells": """WITH c AS (SELECT unnest([i % 6, i // 6 % 6, i // 36]) * 0.4::DOUBLE - 1.2 AS lo, i FROM range(216) t(i)),
+      k AS (SELECT i, bool_and(lo > -0.5 AND lo + 0.4 < 0.5) AS whole, bool_or(lo > 0.5 OR lo + 0.4 < -0.5) AS away FROM c GROUP BY i)
+      SELECT CASE WHEN whole THEN 'inside' WHEN away THEN 'discarded' ELSE 'intersected' END AS outcome, count(*) AS n FROM k GROUP BY ALL""",
+    # a sphere from a centroid inwards reaches the opposite side or the nearest of those around it
+    "mis_slab": f"""WITH {_FACES}, w AS (SELECT fid, s, unnest([s % 2, s // 2 % 2, s // 4]) - 0.5::DOUBLE AS u, unnest([0, 1, 2]) AS k FROM e),
+      h AS (SELECT fid, k, CASE k WHEN 0 THEN 5.0::DOUBLE ELSE 100 END AS half, min(u) = max(u) AS own, 2 * avg(u) AS mid FROM w GROUP BY fid, k)
+      SELECT fid::BIGINT AS fid, round(2 * min(CASE WHEN own THEN half ELSE half * (1 - abs(mid)) END), 6) AS diameter FROM h GROUP BY fid""",
 }
