@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -109,3 +110,39 @@ def slices(batch: pa.RecordBatch, column: int = 1, rows: int = 1000, size: int =
         stop = max(start + 1, min(stop, start + rows))
         yield batch.slice(start, stop - start)
         start = stop
+
+
+def row_numbers() -> Iterator[int]:
+    """Numbers that no other task of the stage gives; a table that holds them must be written before it is read twice."""
+    start = TaskContext.get().partitionId() << 33
+    return iter(range(start, start + (1 << 33)))
+
+
+def frequent(table: DataFrame, n: str, most: int) -> DataFrame:
+    """The rows of table with the largest n, at most `most` of them: whole classes of about equal n, so that one pass of counts finds them."""
+    kind = F.floor(8 * F.log2(F.greatest(F.col(n), F.lit(1)).cast("double")))
+    left, least = most, 1 << 30
+    for k, rows in sorted(((r[0], r[1]) for r in table.groupBy(kind.alias("kind")).agg(F.count(F.lit(1))).collect()), reverse=True):  # at most 8 * 63 rows
+        if rows > left:
+            break
+        left, least = left - rows, k
+    return table.where(kind >= least)
+
+
+class Lookup:
+    """Rows of sorted whole numbers: `find` gives the row of each key and whether it is there."""
+
+    def __init__(self, keys: np.ndarray) -> None:
+        self.order = np.argsort(keys, kind="stable")
+        self.keys = keys[self.order]
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(self.keys):
+            return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return self.order[at], self.keys[at] == keys
+
+
+def lists(values: np.ndarray, groups: np.ndarray, n: int) -> pa.ListArray:
+    """An Arrow list for each of n groups; values lie together by group."""
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(groups, np.arange(n + 1)).astype(np.int32)), pa.array(values))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from meshloom.llm import langid, mixing, neardup, packing, quality, sharding, tokenbin, tokencount, topk, warc
+from meshloom.llm import alignment, langid, lmscore, mixing, neardup, packing, periodic, quality, sharding, tokenbin, tokencount, topk, warc
 from meshloom.llm.common import documents
 
 
@@ -18,6 +18,9 @@ def queries() -> dict:
         "op8_quality_rules": lambda spark, sf_dir: quality.op8(documents(spark, sf_dir)),
         "op9_near_duplicates": lambda spark, sf_dir: neardup.op9(documents(spark, sf_dir)),
         "op10_exact_top_k": lambda spark, sf_dir: topk.op10(spark.read.parquet(f"{sf_dir}/embeddings.parquet")),
+        "op11_lm_scores": lambda spark, sf_dir: lmscore.op11(documents(spark, sf_dir)),
+        "op12_periodic_runs": lambda spark, sf_dir: periodic.op12(documents(spark, sf_dir)),
+        "op13_token_alignment": lambda spark, sf_dir: alignment.op13(documents(spark, sf_dir)),
     }
 
 
