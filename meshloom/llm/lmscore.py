@@ -2,7 +2,7 @@
 
 A text is its words, A-Z lower-cased, joined by one space, then END; before it stand ORDER ENDs. Training texts fill a trie of
 contexts of up to ORDER bytes. A byte's code starts at the longest context seen: if the byte was seen there n times, of N in all
-and D different ones, it costs log((N + D) / n), else the escape log((N + D) / D), and coding goes on in the context one byte
+and D different ones, it costs log(2 N / (2 n - 1)), else the escape log(2 N / D), and coding goes on in the context one byte
 shorter, without the bytes that the longer one has seen (symbol exclusion): they leave N and D. After the empty context, the bytes
 not yet excluded cost alike. A context that excludes all of the next one's bytes is passed free of charge.
 
@@ -28,6 +28,7 @@ ignored.
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 from collections.abc import Iterator
 from itertools import repeat
@@ -54,6 +55,7 @@ GATHERED = 1 << 20
 #: Bits of a context in the trie's key; its order stands above.
 CONTEXT_BITS = 8 * ORDER
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
+SPACE, WORD = re.compile(rb"[\x20\x09-\x0D]"), re.compile(rb"[^\x20\x09-\x0D]")
 LOG_2 = math.log10(2.0)
 
 
@@ -73,31 +75,26 @@ class Text:
         self.data = b" ".join(words) + (END if ends else b" ")
 
 
-def _texts(rows: list[bytes | None]) -> Iterator[Text]:
+def _texts(rows: list[bytes | None], most: int) -> Iterator[Text]:
+    """The texts of rows, longer ones than most in parts that are cut behind white space."""
     for row, text in enumerate(rows):
-        text = (text or b"").translate(LOWER)
-        before, start = END * ORDER, 0
-        while len(text) - start > PART:
-            # cut behind the white space that follows; the rest's words are then as they were
-            head = text[start : start + PART]
-            stop = start + PART + len(text[start + PART :].split(None, 1)[0]) if not text[start + PART : start + PART + 1].isspace() and not head[-1:].isspace() else start + PART
+        text, before, start, ends = (text or b"").translate(LOWER), END * ORDER, 0, False
+        while not ends:
+            space = SPACE.search(text, start + most)
+            stop = space.end() if space else len(text)
+            ends = not WORD.search(text, stop)
             words = text[start:stop].split()
-            start = stop
-            if words and text[start:].strip():
-                part = Text(row, words, before, False)
+            if words or ends:
+                part = Text(row, words, before, ends)
                 yield part
                 before = (before + part.data)[-ORDER:]
-            elif words:
-                yield Text(row, words, before, True)
-                break
-        else:
-            yield Text(row, text[start:].split(), before, True)
+            start = stop
 
 
-def _parts(rows: list[bytes | None]) -> Iterator[list[Text]]:
+def _parts(rows: list[bytes | None], most: int = PART) -> Iterator[list[Text]]:
     part, size = [], 0
-    for x in _texts(rows):
-        if part and size + len(x.data) > PART:
+    for x in _texts(rows, most):
+        if part and size + len(x.data) > most:
             yield part
             part, size = [], 0
         part.append(x)
@@ -198,8 +195,8 @@ def trie(grams: DataFrame) -> DataFrame:
 
 def costs(grams: DataFrame, nodes: DataFrame) -> DataFrame:
     """(gram, n_all, bits): the code length of each gram's last byte after those before it."""
-    own = nodes.where(F.shiftright("node", CONTEXT_BITS) == ORDER).select("node", (F.col("n") + F.col("d")).alias("all"), F.explode("kids").alias("next", "n"))
-    seen = own.select(F.shiftleft(_low(F.col("node"), CONTEXT_BITS), 8).bitwiseOR(F.col("next").cast("long")).alias("gram"), F.col("n").alias("n_all"), F.log2(F.col("all") / F.col("n")).alias("bits"))
+    own = nodes.where(F.shiftright("node", CONTEXT_BITS) == ORDER).select("node", F.col("n").alias("all"), F.explode("kids").alias("next", "n"))
+    seen = own.select(F.shiftleft(_low(F.col("node"), CONTEXT_BITS), 8).bitwiseOR(F.col("next").cast("long")).alias("gram"), F.col("n").alias("n_all"), F.log2(2 * F.col("all") / (2 * F.col("n") - 1)).alias("bits"))
     zero = F.lit(0).cast("long")
     left = grams.where("n = 0").select("gram", "n_all", F.lit(0.0).alias("bits"), zero.alias("n_out"), zero.alias("d_out"), F.lit(False).alias("found"))
     for k in range(ORDER, -1, -1):
@@ -209,7 +206,7 @@ def costs(grams: DataFrame, nodes: DataFrame) -> DataFrame:
         n, d = F.col("n") - F.col("n_out"), F.col("d") - F.col("d_out")
         hit = F.element_at("kids", _low(F.col("gram"), 8).cast("int"))
         here = ~F.col("found") & F.col("n").isNotNull()
-        cost = F.when(here & hit.isNotNull(), F.log2((n + d) / hit)).when(here & (d > 0), F.log2((n + d) / d)).otherwise(0.0)
+        cost = F.when(here & hit.isNotNull(), F.log2(2 * n / (2 * hit - 1))).when(here & (d > 0), F.log2(2 * n / d)).otherwise(0.0)
         left = met.select(
             "gram",
             "n_all",
