@@ -9,7 +9,7 @@ has seen, with their cost in each language, and one of the contexts with their e
 The tables hold all that was seen and nothing else; languages share them in groups of GROUP.
 
 Training takes at most about SAMPLE_DOCS different labelled texts of each language and SAMPLE_ALL in all, chosen by a hash of the
-text, each whole; of more than MOST_LANGS labels those with the most documents are learned. Texts are lower-cased.
+text, each whole; every label is learned. Texts are lower-cased.
 
 The score is the probability of the language among those learned, times the share that its code saves of eight bits a byte: junk
 costs nearly as much as no model at all. `keep_rows` wants a probability of LEAST_SCORE, and bits a byte within a bound for each
@@ -34,7 +34,6 @@ from meshloom.llm.common import materialize, slices
 
 SAMPLE_DOCS = 500
 SAMPLE_ALL = 50_000
-MOST_LANGS = 1000
 #: Languages whose costs stand side by side in a table.
 GROUP = 16
 ORDER = 3
@@ -205,7 +204,7 @@ def _sample(docs: DataFrame) -> DataFrame | None:
     spread = F.shiftrightunsigned(F.xxhash64("text"), 1) / float(1 << 63)
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (remainder(F.col("doc_id")) != 1)).select("lang", "text", spread.alias("spread"))
     counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("m"), F.approx_count_distinct("spread", 0.01).alias("n"))
-    counts = counts.orderBy(F.desc("m"), "lang").limit(MOST_LANGS).collect()  # a row for each language
+    counts = counts.collect()  # a row for each label
     if not counts:
         return None
     each = min(SAMPLE_DOCS, max(1, SAMPLE_ALL // len(counts)))

@@ -143,13 +143,13 @@ def mix_rows(docs: DataFrame) -> DataFrame:
     """
     key = F.xxhash64(*[F.col(c) for c in ("doc_id", "source", "text")])
     taken = mix(docs, key).groupBy(KEY).agg(F.count(F.lit(1)).alias("m"), F.round(F.sum("taken") / F.greatest(F.max("size"), F.lit(1))).cast("long").alias("c"), F.min("first").alias("first"), F.min("second").alias("second"))
-    times = taken.where("c > 0").select(KEY, F.expr("c div m").alias("__each"), F.expr("c % m").alias("__more"), F.col("m").alias("n_rows"), F.coalesce("first", "second").alias("__first"), F.coalesce("second", "first").alias("__second"))
+    times = taken.where("c > 0").select(KEY, F.expr("c div m").alias("__meshloom_each"), F.expr("c % m").alias("__meshloom_more"), F.col("m").alias("n_rows"), F.coalesce("first", "second").alias("__meshloom_first"), F.coalesce("second", "first").alias("__meshloom_second"))
     joined = docs.withColumn(KEY, key).join(times.drop("n_rows"), KEY)
-    even = joined.where("__more = 0").withColumn("__copies", F.col("__each"))
-    odd = joined.where("__more > 0").withColumn("__at", hash60(F.monotonically_increasing_id())).withColumn("__one", F.lit(1).cast("long"))
-    odd = running_total(odd, KEY, "__at", [], "__one", times.where("__more > 0").select(KEY, "n_rows"), "__rank").withColumn("__copies", F.col("__each") + (F.col("__rank") < F.col("__more")).cast("long")).drop("__at", "__one", "__rank")
-    copies = even.unionByName(odd).where("__copies > 0").withColumn("__copy", F.explode(F.expr("sequence(1L, __copies)")))
-    return copies.sortWithinPartitions(F.when(F.col("__copy") % 2 == 1, F.col("__first")).otherwise(F.col("__second"))).select(*docs.columns)
+    even = joined.where("__meshloom_more = 0").withColumn("__meshloom_copies", F.col("__meshloom_each"))
+    odd = joined.where("__meshloom_more > 0").withColumn("__meshloom_at", hash60(F.monotonically_increasing_id())).withColumn("__meshloom_one", F.lit(1).cast("long"))
+    odd = running_total(odd, KEY, "__meshloom_at", [], "__meshloom_one", times.where("__meshloom_more > 0").select(KEY, "n_rows"), "__meshloom_rank").withColumn("__meshloom_copies", F.col("__meshloom_each") + (F.col("__meshloom_rank") < F.col("__meshloom_more")).cast("long")).drop("__meshloom_at", "__meshloom_one", "__meshloom_rank")
+    copies = even.unionByName(odd).where("__meshloom_copies > 0").withColumn("__meshloom_copy", F.explode(F.expr("sequence(1L, __meshloom_copies)")))
+    return copies.sortWithinPartitions(F.when(F.col("__meshloom_copy") % 2 == 1, F.col("__meshloom_first")).otherwise(F.col("__meshloom_second"))).select(*docs.columns)
 
 
 ORACLE = f"""

@@ -32,6 +32,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -185,18 +186,19 @@ def _sets(pairs: DataFrame, reps: DataFrame, docs: DataFrame, size: int) -> Data
     return materialize(found.join(reps.select("rep", "set_key"), ["rep", "set_key"], "left_semi").dropDuplicates(["rep"]).drop("set_key"), "sets")
 
 
-def _maybe_in(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """rows without most of those whose rep isn't in wanted, so that few texts are shuffled.
+def _maybe_in(rows: DataFrame, wanted: DataFrame, flag: str | None = None) -> DataFrame:
+    """rows without most of those whose rep isn't in wanted, so that few texts are shuffled; with a flag, all of them, flagged.
 
     wanted is sent as a bitmap of BITMAP bits of a hash, 4 KB a row: 8 MB at most, whatever the number of ids. The fuller it is the
     more rows pass; the join that follows decides.
     """
     at = F.pmod(F.xxhash64("rep"), F.lit(BITMAP)) + 1
-    bits = wanted.select(at.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("_bits"))
-    marked = rows.withColumn("_at", at).withColumn("_bucket", F.bitmap_bucket_number("_at")).withColumn("_place", F.bitmap_bit_position("_at"))
-    found = marked.join(F.broadcast(bits), "_bucket")
-    byte = F.conv(F.hex(F.expr("substring(_bits, CAST(_place div 8 AS INT) + 1, 1)")), 16, 10).cast("int")
-    return found.where(F.expr("1") == F.pmod(F.floor(byte / F.pow(F.lit(2), F.pmod("_place", F.lit(8)))), F.lit(2))).select(*rows.columns)
+    bits = wanted.select(at.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("__meshloom_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("__meshloom_bits"))
+    marked = rows.withColumn("__meshloom_at", at).withColumn("__meshloom_bucket", F.bitmap_bucket_number("__meshloom_at")).withColumn("__meshloom_place", F.bitmap_bit_position("__meshloom_at"))
+    found = marked.join(F.broadcast(bits), "__meshloom_bucket", "left")
+    byte = F.conv(F.hex(F.expr("substring(__meshloom_bits, CAST(__meshloom_place div 8 AS INT) + 1, 1)")), 16, 10).cast("int")
+    there = F.coalesce(F.pmod(F.floor(byte / F.pow(F.lit(2), F.pmod("__meshloom_place", F.lit(8)))), F.lit(2)) == 1, F.lit(False))
+    return found.select(*rows.columns, there.alias(flag)) if flag else found.where(there).select(*rows.columns)
 
 
 def _verify(pairs: DataFrame, reps: DataFrame, docs: DataFrame, size: int, threshold: tuple[int, int]) -> DataFrame:
@@ -372,12 +374,18 @@ def group(docs: DataFrame, size: int = 5, threshold: tuple[int, int] = (8, 10))
 def keep_rows(docs: DataFrame, size: int = 5) -> DataFrame:
     """The rows of docs that stand for their group, with their columns as they were; of repeated rows one stays.
 
-    Rows without a word are copies of nothing; those that have no doc_id either all stay.
+    Rows without a word are copies of nothing; those that have no doc_id either all stay. Only rows that may be dropped or repeated
+    are shuffled, all others pass.
     """
-    kept = _grouped(docs, size, (8, 10)).where("row_key = kept_row").select(F.col("row_key").alias("_row")).distinct()
-    nothing = F.col("doc_id").isNull() & ~F.coalesce("text", F.lit("")).rlike(WORD)
-    one = docs.where(~nothing).withColumn("_row", _row_key()).dropDuplicates(["_row"]).join(kept, "_row", "left_semi").drop("_row")
-    return one.unionByName(docs.where(nothing)).select(*docs.columns)
+    flag, nothing = "__meshloom_maybe", F.col("doc_id").isNull() & ~F.coalesce("text", F.lit("")).rlike(WORD)
+    groups = _grouped(docs, size, (8, 10)).groupBy("row_key").agg(F.min("kept_row").alias("kept_row"), F.count(F.lit(1)).alias("m"))
+    groups = materialize(groups.where("m > 1 OR row_key != kept_row").select(F.col("row_key").alias("rep"), (F.col("row_key") == F.col("kept_row")).alias("stays")), "dropped")
+    packed = docs.select(F.struct(*docs.columns).alias("__meshloom_row"), _row_key().alias("rep"), nothing.alias("__meshloom_nothing"))
+    marked = _maybe_in(packed, groups.select("rep"), flag)
+    odd = marked.where(f"{flag} AND NOT __meshloom_nothing").join(groups, "rep", "left")
+    twice = odd.where("stays").dropDuplicates(["rep"])
+    kept = [marked.where(f"__meshloom_nothing OR NOT {flag}"), odd.where("stays IS NULL"), twice]
+    return reduce(DataFrame.union, [x.select("__meshloom_row") for x in kept]).select("__meshloom_row.*")
 
 
 ORACLE = """

@@ -6,8 +6,9 @@ import random
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from meshloom.llm import neardup, queries, topk, warc
+from meshloom.llm import langid, mixing, neardup, quality, queries, topk, warc
 from meshloom.llm.common import fresh_dir
 from tests.llm.test_packing_mixing import EDGES, edge_docs
 
@@ -255,3 +256,35 @@ def test_pipeline(spark):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, edge, DATA).columns == edge.columns
     assert corpus_pipeline.STAGES[-1][1](spark, edge, DATA).where("offset < 0 OR offset + length > 2048").count() == 0
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    names = ["_row", "rep", "__first", "__copies", "stays", "n_rows", "size", "key", "_text", "common", "m"]
+    docs = edge_docs(spark).select("doc_id", "text", "source", "lang", *[F.lit(k).alias(n) for k, n in enumerate(names)])
+    for stage in (neardup.keep_rows, mixing.mix_rows, lambda d: quality.judge_rows(d, least_words=1), langid.keep_rows):
+        rows = stage(docs)
+        assert rows.columns == docs.columns and all(tuple(r)[4:] == tuple(range(len(names))) for r in rows.collect())
+
+
+def test_near_duplicates_keep_what_grouping_keeps(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    docs = docs.unionByName(docs.where("doc_id % 5 = 0"))
+    kept = [r.doc_id for r in neardup.keep_rows(docs).collect()]
+    assert sorted(kept) == sorted({r.doc_id for r in neardup.group(docs).where("kept").collect()})
+
+
+def test_rows_are_judged_by_their_own_label(spark):
+    rng = random.Random(6)
+    words = {x: ["".join(rng.choices("aeioulnrst", k=rng.randint(2, 8))) for _ in range(60)] for x in (f"l{i}" for i in range(40))}
+    prose = lambda x: " ".join(rng.choices(words[x][:12] * 4 + words[x], k=220))
+    rows = [(i, prose(f"l{i % 40}"), f"l{i % 40}") for i in range(400)]
+    rows += [(400, "## $$ " * 150, "l3"), (400, "## $$ " * 150, None), (401, rows[5][1], "none of them")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = quality.op8(docs).collect()
+    own = [r for r in found if r.doc_id < 400]
+    assert all(r.word_distance is not None and r.char_distance is not None for r in own) and sum(r.kept for r in own) >= 390
+    assert not any(r.kept for r in found if r.doc_id == 400)
+    kept = sorted((r.doc_id, r.lang or "") for r in quality.judge_rows(docs).collect())
+    assert kept == sorted((r.doc_id, x or "") for r, x in ((r, rows[r.doc_id][2] if r.doc_id < 400 else "none of them") for r in found) if r.kept)
+    predicted = {r.doc_id: r.lang_pred for r in langid.op1(docs.where("doc_id < 400")).collect()}
+    assert sum(predicted[i] == rows[i][2] for i in range(400)) >= 380 and set(predicted.values()) == set(words)
