@@ -37,13 +37,23 @@ from meshloom.llm.tokencount import byte_letters
 FIRST, SECOND = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Before such a space both tokenizers begin anew.
 CUT = re.compile(r"(?<=\S) ")
+#: ASCII characters, besides the space itself, after which a space is none of these.
+BLANKS = [f"{c} " for c in " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f"]
+#: Letters that all versions of Unicode class alike, and ASCII: texts of these are cut alike by both libraries that know the first tokenizer's pattern.
+LATIN = re.compile("[\\x00-~À-ÖØ-öø-ɏ]*")
 #: Parts of texts in each of the two generations that a worker remembers, and the longest of them.
-CACHED, LONG = 150_000, 64
+CACHED, LONG = 100_000, 64
 #: Pairs that are sent to all tasks: 25 MB.
 HOT_PAIRS = 1 << 20
 SPACE = "▁"
 
 
+def cut(text: str) -> list[str]:
+    """Parts of a text, without the space before each but the first."""
+    plain = text.isascii() and not text.startswith(" ") and not any(x in text for x in BLANKS)
+    return text.split(" ") if plain else CUT.split(text)
+
+
 def merge(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Links (i, j, closes) between tokens with these cumulative ends, which are the same at last; closes: both end there.
 
@@ -90,12 +100,13 @@ class Aligner:
         for own, mark in (([known.get(i, b"") for i in range(self.first.get_vocab_size())], "|"), (second_bytes, ";")):
             ids = [str(i) for i in range(len(own))]
             self.sides.append((own, np.array([len(x) for x in own]), np.array([[f"{i}," for i in ids], [i + mark for i in ids]], object)))
+        self.lossless = {bytes([i]) for i in range(256)} <= set(known.values())  # byte-level pieces then give back any text
         self.plain = self._plain(first, known)
         self.cache: dict[str, tuple[bytes, bytes] | None] = {}
         self.older: dict[str, tuple[bytes, bytes] | None] = {}
 
     def _plain(self, path: str, known: dict[int, bytes]):
-        """Encodes ASCII text as the first tokenizer does, faster: ids are in the order of merges, so they are ranks; None if they aren't."""
+        """Encodes LATIN text as the first tokenizer does, faster: ids are in the order of merges, so they are ranks; None if they aren't."""
         import public_tokenizers
         import tiktoken
 
@@ -115,13 +126,11 @@ class Aligner:
 
     def encode(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
         """Ids of a space and each text by both tokenizers."""
-        first: list[list[int]] = [[]] * len(texts)
-        rest = [i for i, x in enumerate(texts) if not (self.plain and x.isascii())]
+        plain = self.plain
+        first = [plain(f" {x}") if plain and LATIN.fullmatch(x) else None for x in texts]
+        rest = [i for i, x in enumerate(first) if x is None]
         for i, e in zip(rest, self.first.encode_batch_fast([f" {texts[i]}" for i in rest], add_special_tokens=False), strict=True):
             first[i] = e.ids
-        for i, x in enumerate(texts):
-            if self.plain and x.isascii():
-                first[i] = self.plain(f" {x}")
         return first, [x or [self.blank] for x in self.second.encode(texts, num_threads=1)]
 
     def checked(self, texts: list[str]) -> list[tuple[bytes, bytes] | None]:
@@ -129,13 +138,14 @@ class Aligner:
         first, second = (own for own, _, _ in self.sides)
         out: list[tuple[bytes, bytes] | None] = []
         for text, a, b in zip(texts, *self.encode(texts), strict=True):
-            same = f" {text}".encode() == b"".join([first[i] for i in a]) == b"".join([second[i] for i in b])
+            data = f" {text}".encode()
+            same = data == b"".join([second[i] for i in b]) and (self.lossless or data == b"".join([first[i] for i in a]))
             out.append((array("i", a).tobytes(), array("i", b).tobytes()) if same else None)
         return out
 
     def ids(self, texts: list[str | None]) -> list[tuple[bytes, bytes] | None]:
         """What `checked` gives for whole texts, part by part; None for null and empty ones too."""
-        parts = [CUT.split(x) if x else None for x in texts]
+        parts = [cut(x) if x else None for x in texts]
         if len(self.cache) > CACHED:
             self.cache, self.older = {}, self.cache  # what is used again comes back
         new = {p for x in parts if x for p in x}.difference(self.cache)
@@ -183,19 +193,19 @@ def align(docs: DataFrame, paths: tuple[str, str] | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner, numbers = Aligner.of(paths), row_numbers()
-        for part in (x for b in batches for x in slices(b, rows=2000, size=4 << 20)):
+        for part in (x for b in batches for x in slices(b, rows=1000, size=1 << 20)):
             found = aligner.ids(part.column(1).to_pylist())
             counts, groups, links, begin = aligner.aligned([x or (b"", b"") for x in found])
             text = np.repeat(np.arange(len(found)), np.diff(begin))
-            # the different pairs of each text, sorted by the two together
-            order = np.lexsort((links[:, 1], links[:, 0], text))
-            text, links = text[order], links[order]
-            new = np.ones(len(text), bool)
-            new[1:] = (text[1:] != text[:-1]) | (links[1:] != links[:-1]).any(axis=1)
-            cut = np.flatnonzero(new)
-            n, offsets = np.diff(np.append(cut, len(text))).astype(np.int32), pa.array(np.searchsorted(text[cut], np.arange(len(found) + 1)).astype(np.int32))
+            # the different pairs of each text
+            bits = [max(1, len(own).bit_length()) for own, _, _ in aligner.sides]
+            key = np.sort((np.repeat(np.arange(len(found)), np.diff(begin)) << sum(bits)) | (links[:, 0].astype(np.int64) << bits[1]) | links[:, 1])
+            cut_at = np.flatnonzero(np.diff(key, prepend=-1))
+            pair, text = key[cut_at], key[cut_at] >> sum(bits)
+            a, b = ((pair >> bits[1]) & ((1 << bits[0]) - 1)).astype(np.int32), (pair & ((1 << bits[1]) - 1)).astype(np.int32)
+            n, offsets = np.diff(np.append(cut_at, len(key))).astype(np.int32), pa.array(np.searchsorted(text, np.arange(len(found) + 1)).astype(np.int32))
             columns = [pa.array([next(numbers) for _ in found], pa.int64()), part.column(0), *(pa.array(c, pa.int64()) for c in (*counts, np.diff(begin))), pa.array(groups, pa.string())]
-            columns += [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (links[cut, 0], links[cut, 1], n)]
+            columns += [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (a, b, n)]
             yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups", "a", "b", "n"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
