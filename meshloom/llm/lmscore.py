@@ -49,7 +49,7 @@ HOT_WORDS = 1 << 18
 #: Longer words are counted by a 128-bit hash, after a space, which no word holds.
 LONG_WORD = 48
 #: Bytes of text that are looked at together; longer texts are cut between words.
-PART = 4 << 20
+PART = 2 << 20
 #: Different grams or words that a task gathers before it passes them on.
 GATHERED = 1 << 20
 #: Bits of a context in the trie's key; its order stands above.
@@ -150,7 +150,7 @@ def count(docs: DataFrame, train: Column) -> DataFrame:
                     own.clear()
 
         names = ["gram", "word", "n", "n_all"]
-        for batch in (x for b in batches for x in slices(b)):
+        for batch in (x for b in batches for x in slices(b, size=PART)):
             own = batch.column(0).to_pylist()
             for part in _parts(batch.column(1).cast(pa.binary()).to_pylist()):
                 flag = np.array([own[x.row] for x in part])
@@ -239,7 +239,7 @@ def score_texts(docs: DataFrame, train: Column) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lookup, bits, place, logs = sent.value
         numbers, get = row_numbers(), place.get
-        for batch in (x for b in batches for x in slices(b)):
+        for batch in (x for b in batches for x in slices(b, size=PART)):
             ids = [next(numbers) for _ in range(batch.num_rows)]
             for part in _parts(batch.column(1).cast(pa.binary()).to_pylist()):
                 size = len(part)
