@@ -42,7 +42,7 @@ BLANKS = [f"{c} " for c in " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f"]
 #: Letters that all versions of Unicode class alike, and ASCII: texts of these are cut alike by both libraries that know the first tokenizer's pattern.
 LATIN = re.compile("[\\x00-~À-ÖØ-öø-ɏ]*")
 #: Parts of texts in each of the two generations that a worker remembers, and the longest of them.
-CACHED, LONG = 100_000, 64
+CACHED, LONG = 40_000, 64
 #: Pairs that are sent to all tasks: 25 MB.
 HOT_PAIRS = 1 << 20
 SPACE = "▁"
@@ -207,6 +207,7 @@ def align(docs: DataFrame, paths: tuple[str, str] | None = None) -> DataFrame:
             columns = [pa.array([next(numbers) for _ in found], pa.int64()), part.column(0), *(pa.array(c, pa.int64()) for c in (*counts, np.diff(begin))), pa.array(groups, pa.string())]
             columns += [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (a, b, n)]
             yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups", "a", "b", "n"])
+        aligner.cache, aligner.older = {}, {}  # the worker may do other things next
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"row long, doc_id {kind}, n_a long, n_b long, n_groups long, n_links long, groups string, a array<int>, b array<int>, n array<int>")
