@@ -159,6 +159,23 @@ def point_triangle_distance2(p: Vector, a: Vector, b: Vector, c: Vector) -> Colu
     return F.when((area > 0) & inside, height * height / area).otherwise(F.least(to_segment(a, b), to_segment(b, c), to_segment(c, a)))
 
 
+def closest_on_triangle(p: Vector, a: Vector, b: Vector, c: Vector) -> Vector:
+    """The point of a triangle nearest to p, by the region of its plane that p lies over: a corner's, an edge's or its own."""
+    u, v = sub(b, a), sub(c, a)
+    (ua, va), (ub, vb), (uc, vc) = ((dot(u, sub(p, q)), dot(v, sub(p, q))) for q in (a, b, c))
+    in_c, in_b, in_a = ua * vb - ub * va, uc * va - ua * vc, ub * vc - uc * vb
+    whole = in_a + in_b + in_c
+    s = F.when((ua <= 0) & (va <= 0), 0.0).when((ub >= 0) & (vb <= ub), 1.0).when((in_c <= 0) & (ua >= 0) & (ub <= 0), F.try_divide(ua, ua - ub))
+    s = s.when((vc >= 0) & (uc <= vc), 0.0).when((in_b <= 0) & (va >= 0) & (vc <= 0), 0.0)
+    t = F.when((ua <= 0) & (va <= 0), 0.0).when((ub >= 0) & (vb <= ub), 0.0).when((in_c <= 0) & (ua >= 0) & (ub <= 0), 0.0)
+    t = t.when((vc >= 0) & (uc <= vc), 1.0).when((in_b <= 0) & (va >= 0) & (vc <= 0), F.try_divide(va, va - vc))
+    far = F.try_divide(vb - ub, (vb - ub) + (uc - vc))  # on the edge from b to c
+    beyond = (in_a <= 0) & (vb >= ub) & (uc >= vc)
+    s = s.when(beyond, 1 - far).otherwise(F.try_divide(in_b, whole))
+    t = t.when(beyond, far).otherwise(F.try_divide(in_c, whole))
+    return add(a, add(scale(u, s), scale(v, t)))
+
+
 def radial(p: Vector, center: tuple[float, float] = (0.0, 0.0)) -> Column:
     return F.hypot(p[0] - center[0], p[1] - center[1])
 

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from meshloom.functions import vectors as V
 from meshloom.operators import histogram as H
 from meshloom.operators import monitor as M
 from meshloom.operators import spatial as P
@@ -52,43 +54,48 @@ def vertices(faces: DataFrame) -> DataFrame:
 
 
 def topological_distances(faces: DataFrame, records: DataFrame, size: float) -> DataFrame:
-    """(fid, topo): shortest edge paths from each face to its opposite, within a search radius.
+    """(fid, topo): lengths of the shortest edge paths from the corners of each face to those of its opposite (fid, opposite, diameter).
 
-    The edge graph of a surface of at most MOST_TRIANGLES triangles is sent to the executors.
+    -1 without an opposite, and where no path is short enough: pi times the diameter, SEARCH_RADIUS of the surface's size at least.
+    All searches advance at once, an edge in each round: what lies at the front is joined with the edges, and goes on where it is the
+    shortest way so far and its length and the straight way to the goal are within the bound, which falls to the best path found.
+    So a search stays near the straight way and ends soon after it has met its goal. Each round is written.
     """
-    import numpy as np
-    import pandas as pd
-
-    from meshloom.functions import kernels as K
-
-    if faces.count() > P.MOST_TRIANGLES:
-        raise ValueError(f"paths need the whole surface at once, and take at most {P.MOST_TRIANGLES} triangles")
-    points = vertices(faces).orderBy("vid").toPandas()
-    edges = T.triangle_edges(faces.select("fid", "v")).select("a", "b").toPandas()
-    corner = {int(r["fid"]): [int(x) for x in r["v"]] for r in faces.select("fid", "v").collect()}
-    number = {int(v): i for i, v in enumerate(points["vid"])}
-    xyz = points[["x", "y", "z"]].to_numpy()
-    pairs = np.array([(number[a], number[b]) for a, b in edges.to_numpy().tolist()], dtype=int).reshape(-1, 2)
-    pairs = np.unique(np.concatenate([pairs, pairs[:, ::-1]]), axis=0)
-    lengths = np.sqrt(((xyz[pairs[:, 0]] - xyz[pairs[:, 1]]) ** 2).sum(1))
-    offsets = np.searchsorted(pairs[:, 0], np.arange(len(xyz) + 1))
-    sent = faces.sparkSession.sparkContext.broadcast((offsets, pairs[:, 1], lengths, xyz, corner, number))
-
-    def run(parts):
-        offsets, targets, lengths, xyz, corner, number = sent.value
-        for part in parts:
-            out = []
-            for fid, opposite, diameter in zip(part["fid"], part["opposite"], part["diameter"], strict=True):
-                if pd.isna(opposite):
-                    out.append(-1.0)
-                    continue
-                own, goal = ([number[v] for v in corner[int(f)]] for f in (fid, opposite))
-                center = xyz[own].mean(0)
-                start = {v: float(np.sqrt(((xyz[v] - center) ** 2).sum())) for v in own}
-                out.append(0.0 if set(own) & set(goal) else K.edge_paths(offsets, targets, lengths, own, set(goal), start, max(math.pi * diameter, S.SEARCH_RADIUS * size)))
-            yield pd.DataFrame({"fid": part["fid"], "topo": out})
-
-    return records.select("fid", "opposite", "diameter").mapInPandas(run, "fid long, topo double")
+    points = T.written(vertices(faces), "points")
+    place = lambda name: points.select(F.col("vid").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in "xyz"])
+    both = T.triangle_edges(faces.select("fid", "v")).select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.a", "e.b").distinct()
+    ends = both.join(place("a"), "a").join(place("b"), "b")
+    edges = T.written(ends.select("a", "b", *[f"b_{c}" for c in "xyz"], V.distance(V.vec("a"), V.vec("b")).alias("length")), "edges")
+    corners = faces.select("fid", "v", F.array(*[F.struct(*[F.col(f"{p}_{c}").alias(c) for c in "xyz"]) for p in "abc"]).alias("p"))
+    bound = F.greatest(math.pi * F.col("diameter"), F.lit(float(S.SEARCH_RADIUS * size)))
+    pairs = records.where("opposite IS NOT NULL").select("fid", "opposite", bound.alias("bound")).join(corners, "fid")
+    pairs = pairs.join(corners.select(F.col("fid").alias("opposite"), F.col("v").alias("goal"), F.col("p").alias("goals")), "opposite")
+
+    def straight(p: V.Vector) -> Column:
+        """From a point to the nearest corner of the goal."""
+        return F.array_min(F.transform("goals", lambda g: V.distance(p, V.field(g))))
+
+    start = pairs.select("fid", "bound", "goal", "goals", F.explode(F.arrays_zip("v", "p")).alias("s")).select("fid", F.col("s.v").alias("vid"), F.lit(0.0).alias("d"), "bound", "goal", "goals", straight(V.field(F.col("s.p"))).alias("ahead"))
+    front = T.written(start.where("ahead <= bound").drop("ahead"), "front")
+    reached = [front.where(F.array_contains("goal", F.col("vid"))).select("fid", "d")]
+    # a path of no length ends a search at once
+    front = front.join(reached[0].select("fid").distinct(), "fid", "left_anti")
+    best = T.written(front.select("fid", "vid", "d"), "best")
+    front = T.written(front, "front")
+    slack = 1 + 1e-12
+    while not front.isEmpty():
+        ways = front.withColumnRenamed("vid", "a").join(edges, "a").withColumn("d", F.col("d") + F.col("length"))
+        ways = ways.where((F.col("d") <= F.col("bound")) & (F.col("d") + straight(V.vec("b")) <= F.col("bound") * slack))
+        ways = ways.groupBy("fid", F.col("b").alias("vid")).agg(F.min("d").alias("d"), F.min("bound").alias("bound"), F.first("goal").alias("goal"), F.first("goals").alias("goals"))
+        known = best.select("fid", "vid", F.col("d").alias("old"))
+        ways = ways.join(known, ["fid", "vid"], "left").where("old IS NULL OR d < old").drop("old")
+        met = F.min(F.when(F.array_contains("goal", F.col("vid")), F.col("d"))).over(Window.partitionBy("fid"))
+        ways = T.written(ways.withColumn("bound", F.least("bound", met)), "front")
+        reached.append(ways.where(F.array_contains("goal", F.col("vid"))).select("fid", "d"))
+        best = T.written(best.union(ways.select("fid", "vid", "d")).groupBy("fid", "vid").agg(F.min("d").alias("d")), "best")
+        front = ways.where(~F.array_contains("goal", F.col("vid")) & (F.col("d") < F.col("bound")))
+    found = reduce(DataFrame.union, reached).groupBy("fid").agg(F.min("d").alias("topo"))
+    return records.select("fid").join(found, "fid", "left").select("fid", F.coalesce("topo", F.lit(-1.0)).alias("topo"))
 
 
 def find_min_gap(sv: DataFrame, sf: DataFrame, config: EngineConfig | None = None) -> tuple[MinGap, DataFrame]:
@@ -97,7 +104,7 @@ def find_min_gap(sv: DataFrame, sf: DataFrame, config: EngineConfig | None = Non
     size = S.mesh_size(sv).first()["size"]
     faces = T.written(S.usable(S.corners(sv, sf), size), "faces")
     records = T.written(gap_records(faces), "records")
-    scores = T.written(S.gap_scores(faces, records, P.edges_cross(faces, max(size / 20, 1e-12)), size), "scores")
+    scores = T.written(S.gap_scores(faces, records, P.crossings(faces), size), "scores")
     pick = S.min_gap(scores).first()
     raw = float(pick["diameter"]) if pick else 0.0
     monitor = records.select("fid", "diameter", F.col("diameter").alias("monitor"))
@@ -155,7 +162,7 @@ def valid_for_queries(sv: DataFrame, sf: DataFrame) -> str | None:
         return "the surface is not closed"
     if n := faces.where(S.degenerate()).count():
         return f"{n} degenerate triangles"
-    if n := P.edges_cross(faces, (S.mesh_size(sv).first()["size"] or 1.0) / 20).count():
+    if n := P.crossings(faces).count():
         return f"{n} pairs of triangles cross"
     return None
 

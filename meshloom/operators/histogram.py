@@ -117,17 +117,19 @@ def fill_with_maximum(rows: DataFrame, value: str) -> DataFrame:
 
 
 def nth_value(rows: DataFrame, value: str, place: int, descending: bool = False) -> float | None:
-    """The value at a place (from 0) of the sorted values; None if there are fewer.
+    """The value at a place (from 0) of the sorted values, NaN being the greatest; None if there are fewer.
 
     Values are counted between bounds that approximate quantiles give, and the interval that holds the place is cut again, until it
     holds one value: sums of a few counts each time, whatever the number of different values.
     """
     rows = rows.select(F.col(value).cast("double").alias("v")).where("v IS NOT NULL")
-    if descending:
-        rows = rows.select((-F.col("v")).alias("v"))
-    low, high = rows.agg(F.min("v"), F.max("v")).first()
-    if low is None:
-        return None
+    number = ~F.isnan("v")
+    sign = F.lit(-1.0 if descending else 1.0)
+    low, high, n, strange = rows.agg(F.min(F.when(number, sign * F.col("v"))), F.max(F.when(number, sign * F.col("v"))), F.count_if(number), F.count_if(~number)).first()
+    place -= strange if descending else 0
+    if not 0 <= place < n:
+        return float("nan") if (-strange <= place < 0 if descending else n <= place < n + strange) else None
+    rows = rows.where(number).select((sign * F.col("v")).alias("v"))
     before = 0
     while low < high:
         inside = rows.where(F.col("v").between(low, high))

@@ -12,16 +12,18 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meshloom.functions import kernels as K
+from meshloom.functions import predicates as X
 from meshloom.functions import vectors as V
+from meshloom.operators.hierarchy import Hierarchy, first_hits, hierarchy, nearest, segments_hit  # noqa: F401
 from meshloom.sources.shared import written
 
-MOST_TRIANGLES = 100_000
-#: Corners that bound the distances of points, points that are bounded at once, and pieces of a ray.
-SAMPLE, STEP, PIECES = 4096, 1024, 16
+#: A sphere that shrinks by less is done; rounds end with the last sphere, a few tens on usual surfaces, or after so many.
+TOLERANCE, ROUNDS = 1e-6, 200
 
 
 def _grid(boxes: DataFrame, size: float, name: str) -> DataFrame:
@@ -54,26 +56,31 @@ def triangle_boxes(faces: DataFrame) -> DataFrame:
     return faces.select(F.col("fid").alias("id"), *[x.alias(f"{s}_{c}") for s, v in (("lo", lo), ("hi", hi)) for x, c in zip(v, "xyz", strict=True)])
 
 
-def edges_cross(faces: DataFrame, size: float) -> DataFrame:
-    """(a, b), a < b: triangles without a common vertex that intersect, by their edges."""
-    boxes = triangle_boxes(faces)
-    pairs = overlap_join(boxes, boxes, size).where("a < b")
+def crossings(faces: DataFrame) -> DataFrame:
+    """(a, b, shared), a < b: pairs of triangles (fid, v, a_x .. c_z) that meet in more than the corners and sides they share.
+
+    shared is the number of common corners. Triangles whose boxes touch are tested by exact predicates; ones without an area, or with
+    a corner that isn't finite, meet nothing.
+    """
+    bounds = surface_bounds(faces)
     columns = [f"{n}_{c}" for n in "abc" for c in "xyz"]
-    left = faces.select(F.col("fid").alias("a"), F.col("v").alias("va"), *[F.col(c).alias(f"p{c}") for c in columns])
-    right = faces.select(F.col("fid").alias("b"), F.col("v").alias("vb"), *[F.col(c).alias(f"q{c}") for c in columns])
-    both = pairs.join(left, "a").join(right, "b").where(~F.arrays_overlap("va", "vb"))
+    if bounds is None:
+        return faces.sparkSession.createDataFrame([], "a long, b long, shared int")
+    sound = reduce(lambda p, q: p & q, [F.abs(F.col(c)) < float("inf") for c in columns])
+    boxes = _with_boxes(faces.where(sound)).join(faces.select("fid", "v"), "fid")
+    met = level_join(boxes, boxes, _unit(bounds)).where("l_fid < r_fid")
+    sides = [f"{s}_{c}" for s in "lr" for c in columns]
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            p, q = (part[[f"{s}{c}" for c in columns]].to_numpy().reshape(-1, 3, 3) for s in "pq")
-            hit = np.zeros(len(part), bool)
-            for i in range(3):
-                for x, y in ((p, q), (q, p)):
-                    s, e = x[:, i], x[:, (i + 1) % 3]
-                    hit |= np.array([K.segment_hits(s[k : k + 1], e[k : k + 1], y[k : k + 1])[0, 0] for k in range(len(part))], bool)
-            yield part.loc[hit, ["a", "b"]]
+            p, q = (np.stack([part.column(f"{s}_{c}").to_numpy() for c in columns], axis=1).reshape(-1, 3, 3) for s in "lr")
+            vp, vq = (part.column(f"{s}_v").flatten().to_numpy().reshape(-1, 3) for s in "lr")
+            hit, shared = X.triangles_cross(p, q, vp, vq)
+            rows = pa.RecordBatch.from_arrays([part.column("l_fid"), part.column("r_fid"), pa.array(shared, pa.int32())], names=["a", "b", "shared"])
+            yield rows.filter(pa.array(hit))
 
-    return both.select("a", "b", *[f"p{c}" for c in columns], *[f"q{c}" for c in columns]).mapInPandas(run, "a long, b long")
+    flat = met.select(F.col("l_fid").cast("long").alias("l_fid"), F.col("r_fid").cast("long").alias("r_fid"), *[F.col(f"{s}_v").cast("array<long>").alias(f"{s}_v") for s in "lr"], *[F.col(c).cast("double").alias(c) for c in sides])
+    return flat.mapInArrow(run, "a long, b long, shared int")
 
 
 def surface_bounds(faces: DataFrame) -> dict[str, float] | None:
@@ -129,41 +136,6 @@ def _unit(bounds: dict[str, float]) -> float:
     return max(bounds["mean"], whole * 1e-6) or 1.0
 
 
-def _within(points: DataFrame, faces: DataFrame) -> DataFrame:
-    """points with reach, a distance within which the surface has a point: that of the nearest of some corners."""
-    rows = faces.orderBy(F.xxhash64("fid"), "fid").limit(SAMPLE).select("a_x", "a_y", "a_z").collect()  # any corners give a bound
-    known = np.array(rows, float).reshape(-1, 3)
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            for i in range(0, len(part), STEP):
-                some = part.iloc[i : i + STEP]
-                p = some[["x", "y", "z"]].to_numpy(float)
-                j = ((known * known).sum(1)[None] - 2 * p @ known.T).argmin(1)
-                yield some.assign(reach=np.sqrt(((p - known[j]) ** 2).sum(1)) * (1 + 1e-9))
-
-    return points.mapInPandas(run, "id long, x double, y double, z double, reach double")
-
-
-def nearest(points: DataFrame, faces: DataFrame) -> DataFrame:
-    """(id, distance, fid): the nearest triangle of each point (id, x, y, z), ties to the lowest.
-
-    Some corners of the surface bound each point's distance; triangles whose boxes lie within that bound are measured.
-    """
-    spark, bounds = points.sparkSession, surface_bounds(faces)
-    if bounds is None:
-        return spark.createDataFrame([], "id long, distance double, fid long")
-    whole = points.select(F.col("id").cast("long").alias("id"), *[F.col(c).cast("double").alias(c) for c in "xyz"]).dropna()
-    near = written(_within(whole, faces), "reach")
-    around = near.withColumns({f"{s}_{c}": F.col(c) + k * F.col("reach") for s, k in (("lo", -1), ("hi", 1)) for c in "xyz"})
-    met = level_join(around, _with_boxes(faces), _unit(bounds))
-    gaps = [F.greatest(F.col(f"r_lo_{c}") - F.col(f"l_{c}"), F.col(f"l_{c}") - F.col(f"r_hi_{c}"), F.lit(0.0)) for c in "xyz"]
-    met = met.where(reduce(lambda p, q: p + q, [g * g for g in gaps]) <= F.col("l_reach") * F.col("l_reach"))
-    gap = V.point_triangle_distance2(V.vec("l"), *[V.vec(f"r_{p}") for p in "abc"])
-    best = met.groupBy(F.col("l_id").alias("id")).agg(F.min(F.struct(gap.alias("gap"), F.col("r_fid").alias("fid"))).alias("m"))
-    return best.select("id", F.sqrt("m.gap").alias("distance"), "m.fid")
-
-
 def nearest_point_of(groups: DataFrame, faces: DataFrame) -> DataFrame:
     """(group, id): of the points (group, id, x, y, z) of each group, the one nearest to the surface."""
     near = nearest(groups.select("id", "x", "y", "z"), faces)
@@ -207,82 +179,51 @@ def signed_distances(points: DataFrame, faces: DataFrame) -> DataFrame:
     return nearest(points, faces).join(inside(points, faces), "id").select("id", F.when(F.col("inside"), F.col("distance")).otherwise(-F.col("distance")).alias("distance"))
 
 
-def _along(met: DataFrame) -> DataFrame:
-    """Pairs of lines (l_x .., l_dx ..) and triangles that meet, with t, the place on the line in units of its direction."""
-    a, b, c = (V.vec(f"r_{p}") for p in "abc")
-    d, u, v = tuple(F.col(f"l_d{k}") for k in "xyz"), V.sub(b, a), V.sub(c, a)
-    h, s = V.cross(d, v), V.sub(V.vec("l"), a)
-    det, q = V.dot(u, h), V.cross(s, u)
-    rows = met.where(F.abs(det) > 1e-12).withColumns({"_p": V.dot(s, h) / det, "_q": V.dot(d, q) / det, "t": V.dot(v, q) / det})
-    return rows.where((F.col("_p") >= 0) & (F.col("_q") >= 0) & (F.col("_p") + F.col("_q") <= 1) & (F.col("t") >= 0))
-
-
-def _pieces(lines: DataFrame, bounds: dict[str, float]) -> DataFrame:
-    """A row with a box for each piece of lines (x .., dx .., most) from 0 to most times their direction, in the surface's bounds."""
-    slack = 1e-9 * max(bounds[f"hi_{c}"] - bounds[f"lo_{c}"] for c in "xyz") + 1e-12
-    first, last = [F.lit(0.0)], [F.col("most")]
-    for c in "xyz":
-        p, d = F.col(c), F.col(f"d{c}")
-        lo, hi = (F.lit(bounds[f"lo_{c}"] - slack) - p), (F.lit(bounds[f"hi_{c}"] + slack) - p)
-        # along a side, a line is within its bounds everywhere or nowhere
-        outside = (lo > 0) | (hi < 0)
-        first.append(F.when(d != 0, F.least(lo / d, hi / d)).when(outside, float("inf")).otherwise(0.0))
-        last.append(F.when(d != 0, F.greatest(lo / d, hi / d)).when(outside, -1.0).otherwise(F.col("most")))
-    rows = lines.withColumns({"_from": F.greatest(*first), "_to": F.least(*last)}).where("_from <= _to")
-    rows = rows.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(PIECES - 1))))
-    step = (F.col("_to") - F.col("_from")) / PIECES
-    ends = [F.col("_from") + step * F.col("_k"), F.col("_from") + step * (F.col("_k") + 1)]
-    named = {}
-    for c in "xyz":
-        p, q = (F.col(c) + t * F.col(f"d{c}") for t in ends)
-        named |= {f"lo_{c}": F.least(p, q) - slack, f"hi_{c}": F.greatest(p, q) + slack}
-    return rows.withColumns(named).drop("_from", "_to", "_k")
-
-
-def first_hits(rays: DataFrame, faces: DataFrame) -> DataFrame:
-    """(id, distance, fid): the first triangle that each ray (id, x, y, z, dx, dy, dz, own) meets in front, not counting its own.
+def inscribed(faces: DataFrame) -> DataFrame:
+    """(fid, diameter, opposite): the spheres inside that touch the surface at the middles of its triangles.
 
-    Rays are cut into pieces within the surface's bounds, and meet the triangles whose boxes the pieces' boxes touch.
+    A sphere starts with half the way to what the inward ray meets first, but half the least extent of the surface at most, and that
+    if it meets nothing; opposite is then null. In rounds, spheres whose centres have a nearer point of the surface shrink to pass
+    through it, all at once: a search for the nearest within the radius, as the touching point is that far away. A sphere is done
+    when the nearest point is its own triangle's or behind it, lies no deeper in the sphere than the bend of a triangle of its size
+    explains, or took less than TOLERANCE off its radius. Each round is written; of ROUNDS, the last leaves spheres as they are.
     """
+    tree = hierarchy(faces)
+    if tree is None:
+        return faces.select(F.col("fid").cast("long").alias("fid"), F.lit(0.0).alias("diameter"), F.lit(None).cast("long").alias("opposite"))
+    a, b, c = V.vec("a"), V.vec("b"), V.vec("c")
     bounds = surface_bounds(faces)
-    if bounds is None:
-        return rays.select("id", F.lit(None).cast("double").alias("distance"), F.lit(None).cast("long").alias("fid"))
-    own = rays if "own" in rays.columns else rays.withColumn("own", F.lit(-1).cast("long"))
-    lines = own.select("id", "x", "y", "z", "dx", "dy", "dz", "own").dropna().withColumn("most", F.lit(float("inf"))).where("dx <> 0 OR dy <> 0 OR dz <> 0")
-    met = _along(level_join(_pieces(lines, bounds), _with_boxes(faces), _unit(bounds))).where("t > 1e-12 AND l_own <> r_fid")
-    best = met.groupBy(F.col("l_id").alias("id")).agg(F.min(F.struct(F.col("t").alias("distance"), F.col("r_fid").alias("fid"))).alias("m"))
-    return rays.select("id").join(best, "id", "left").select("id", "m.distance", "m.fid")
-
-
-def segments_hit(segments: DataFrame, faces: DataFrame) -> DataFrame:
-    """(id, hit): whether any of the segments (id, x, y, z, ex, ey, ez) of an id meets the surface."""
-    every, bounds = segments.select("id").distinct(), surface_bounds(faces)
-    if bounds is None:
-        return every.select("id", F.lit(False).alias("hit"))
-    lines = segments.select("id", "x", "y", "z", *[(F.col(f"e{c}") - F.col(c)).alias(f"d{c}") for c in "xyz"]).dropna().withColumn("most", F.lit(1.0))
-    met = _along(level_join(_pieces(lines, bounds), _with_boxes(faces), _unit(bounds))).where("t <= 1")
-    return every.join(met.select(F.col("l_id").alias("id")).distinct().withColumn("hit", F.lit(True)), "id", "left").select("id", F.coalesce("hit", F.lit(False)).alias("hit"))
-
-
-def inscribed(faces: DataFrame) -> DataFrame:
-    """(fid, diameter, opposite): inscribed spheres at the centroids. For surfaces of up to MOST_TRIANGLES triangles."""
-    if faces.count() > MOST_TRIANGLES:
-        raise ValueError(f"spheres need the whole surface at once, and take at most {MOST_TRIANGLES} triangles")
-    columns = [f"{p}_{c}" for p in "abc" for c in "xyz"]
-    all_ = faces.select("fid", *columns).orderBy("fid").toPandas()
-    sent = faces.sparkSession.sparkContext.broadcast((all_["fid"].to_numpy(), all_[columns].to_numpy().reshape(-1, 3, 3)))
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, tri = sent.value
-        for part in parts:
-            own = np.searchsorted(ids, part["fid"].to_numpy())
-            t = tri[own]
-            n = np.cross(t[:, 1] - t[:, 0], t[:, 2] - t[:, 0])
-            n = -n / np.maximum(np.sqrt((n * n).sum(1, keepdims=True)), 1e-300)
-            d, j = K.inscribed_spheres(t.mean(1), n, own, tri)
-            yield pd.DataFrame({"fid": part["fid"].to_numpy(), "diameter": d, "opposite": pd.array(np.where(j < 0, 0, ids[j]), dtype="Int64").copy()}).assign(opposite=lambda x: x["opposite"].mask(j < 0))
-
-    return faces.select("fid").repartition(faces.sparkSession.sparkContext.defaultParallelism).mapInPandas(run, "fid long, diameter double, opposite long")
+    most = min(bounds[f"hi_{k}"] - bounds[f"lo_{k}"] for k in "xyz") / 2
+    outward = tree.faces.agg(F.sum(V.dot(a, V.cross(b, c)))).first()[0] > 0
+    normal = V.scale(V.unit(V.triangle_normal(a, b, c)), -1.0 if outward else 1.0)
+    start = tree.faces.select(F.col("fid").cast("long").alias("id"), *[x.alias(k) for x, k in zip(V.mean([a, b, c]), "xyz", strict=True)], *[x.alias(f"d{k}") for x, k in zip(normal, "xyz", strict=True)], F.greatest(*V.edge_lengths(a, b, c)).alias("edge"))
+    start = written(start, "starts")
+    hits = first_hits(start.withColumn("own", F.col("id")), tree)
+    live = start.join(hits, "id").select(*start.columns, F.least(F.lit(most), F.coalesce(F.col("distance") / 2, F.lit(most))).alias("r"), F.col("fid").alias("opposite"))
+    live, done = written(live, "spheres"), []
+    own, d = tuple(F.col(k) for k in "xyz"), tuple(F.col(f"d{k}") for k in "xyz")
+    corners = tree.faces.select("fid", *[f"{p}_{k}" for p in "abc" for k in "xyz"])
+    for _ in range(ROUNDS):
+        centers = live.select("id", *[(p + F.col("r") * n).alias(k) for p, n, k in zip(own, d, "xyz", strict=True)], "r")
+        near = nearest(centers, tree, F.col("r") * (1 + 1e-9) + TOLERANCE).select("id", "distance", "fid")
+        met = live.join(near, "id").join(corners, "fid", "left")
+        middle = tuple(p + F.col("r") * n for p, n in zip(own, d, strict=True))
+        met = met.withColumns({f"q{k}": x for x, k in zip(V.closest_on_triangle(middle, a, b, c), "xyz", strict=True)})
+        way = V.sub(tuple(F.col(f"q{k}") for k in "xyz"), own)
+        along, length = V.dot(way, d), V.dot(way, way)
+        half = F.col("edge") / 2
+        bend = F.when(F.col("edge") < 1.5 * F.col("r"), F.col("r") - F.sqrt(F.col("r") * F.col("r") - half * half)).otherwise(0.02 * F.col("r"))
+        stays = F.coalesce((F.col("fid") == F.col("id")) | (along <= 0) | (F.col("distance") >= F.col("r") - 2 * bend), F.lit(True))
+        off = V.cross(way, d)
+        smaller = F.when(V.dot(off, off) == 0, F.sqrt(length)).otherwise(F.try_divide(length, 2 * along))
+        found = met.withColumn("new", F.when(stays, F.col("r")).otherwise(F.least(smaller, F.col("r")))).withColumn("opposite", F.when(stays, F.col("opposite")).otherwise(F.col("fid")))
+        found = written(found.select(*start.columns, "new", "opposite", (~stays & (F.col("r") - F.col("new") > TOLERANCE)).alias("goes_on")), "round")
+        done.append(found.where("NOT goes_on").select("id", F.col("new").alias("r"), "opposite"))
+        live = found.where("goes_on").select(*start.columns, F.col("new").alias("r"), "opposite")
+        if live.isEmpty():
+            break
+    spheres = reduce(DataFrame.union, done, live.select("id", "r", "opposite").limit(0) if len(done) < ROUNDS else live.select("id", "r", "opposite"))
+    return faces.select(F.col("fid").cast("long").alias("fid")).join(spheres.withColumnRenamed("id", "fid"), "fid", "left").select("fid", F.coalesce(2 * F.col("r"), F.lit(0.0)).alias("diameter"), "opposite")
 
 
 def clip_cells(nodes_of: DataFrame, faces: DataFrame, candidates: DataFrame) -> DataFrame:

@@ -295,8 +295,10 @@ SQL = {
     "remove_unused": _box(f", u AS (SELECT DISTINCT unnest(kv) AS vid FROM marked) SELECT row_number() OVER (ORDER BY vid) AS vid, {_xyz()} FROM nodes WHERE vid IN (SELECT vid FROM u)"),
     "vertex_mean": _box("SELECT vid, round(avg(coalesce(value, 0.0)), 6) AS value FROM cv JOIN mon USING (cid) GROUP BY vid"),
     "umbrella_step": _box(
-        f""", e AS (SELECT a, b FROM edges UNION ALL SELECT b, a FROM edges), w AS (SELECT vid, 1.0 + (vid % 7) / 7.0::DOUBLE AS w FROM nodes),
-        s AS (SELECT a AS vid, sum(w.w * n.x) / sum(w.w) AS x, sum(w.w * n.y) / sum(w.w) AS y, sum(w.w * n.z) / sum(w.w) AS z FROM e JOIN nodes n ON n.vid = b JOIN w ON w.vid = b GROUP BY a)
+        f""", m AS (SELECT a, b, count(*) AS m FROM edges GROUP BY ALL), e AS (SELECT a, b, m FROM m UNION ALL SELECT b, a, m FROM m), w AS (SELECT vid, 1.0 + (vid % 7) / 7.0::DOUBLE AS w FROM nodes),
+        p AS (SELECT a, b, m * w.w AS w, m * w.w * n.x AS x, m * w.w * n.y AS y, m * w.w * n.z AS z FROM e JOIN nodes n ON n.vid = b JOIN w ON w.vid = b),
+        t AS (SELECT a AS vid, {", ".join(f"list_reduce(list({c} ORDER BY b), lambda s, v: s + v) AS {c}" for c in "wxyz")} FROM p GROUP BY a),
+        s AS (SELECT vid, x / w AS x, y / w AS y, z / w AS z FROM t)
         SELECT vid, {_xyz()} FROM s"""
     ),
     "level_smoothing": _box("SELECT cid, level::INTEGER AS level FROM lev"),

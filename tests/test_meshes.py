@@ -160,7 +160,7 @@ def test_slab_gap(spark):
 def test_crossing_triangles(spark):
     sv = spark.createDataFrame([(0, 0.0, 0.0, 0.0), (1, 2.0, 0.0, 0.0), (2, 0.0, 2.0, 0.0), (3, 0.5, 0.5, -1.0), (4, 0.5, 0.5, 1.0), (5, 0.6, 3.0, 0.0)], "vid long, x double, y double, z double")
     sf = spark.createDataFrame([(0, [0, 1, 2]), (1, [3, 4, 5])], "fid long, v array<long>")
-    assert [tuple(r) for r in P.edges_cross(S.corners(sv, sf), 0.5).collect()] == [(0, 1)]
+    assert [tuple(r) for r in P.crossings(S.corners(sv, sf)).collect()] == [(0, 1, 0)]
 
 
 def test_stage_stream(spark, tmp_path):
