@@ -295,11 +295,3 @@ def keep_cells(points_of: DataFrame, faces: DataFrame) -> DataFrame:
 
 def outcome_counts(kept: DataFrame) -> DataFrame:
     return kept.groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
-
-
-def containment(polygons: DataFrame) -> DataFrame:
-    """(id, parent, depth) of boxes (id, area, lo_x .. hi_y) by area rank: the smallest one around each, and how many there are."""
-    a = polygons.select(*[F.col(c).alias(f"i_{c}") for c in polygons.columns])
-    around: Column = reduce(lambda p, q: p & q, [(F.col(f"lo_{c}") <= F.col(f"i_lo_{c}")) & (F.col(f"hi_{c}") >= F.col(f"i_hi_{c}")) for c in "xy"])
-    met = a.join(polygons, around & (F.col("area") > F.col("i_area")), "left")  # loops of one cross-section: a few
-    return met.groupBy(F.col("i_id").alias("id")).agg(F.min_by("id", "area").alias("parent"), F.count("id").alias("depth"))

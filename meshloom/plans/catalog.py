@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from meshloom.plans import mesh, searches, stats, surfaces, terrain, texts
+from meshloom.plans import mesh, searches, shapes, stats, surfaces, terrain, texts
 
-PARTS = (mesh, stats, surfaces, texts, terrain, searches)
+PARTS = (mesh, stats, surfaces, texts, terrain, searches, shapes)
 
 
 def queries() -> dict:

@@ -9,7 +9,7 @@ from meshloom.operators import cases as C
 from meshloom.operators import spatial as P
 from meshloom.operators import surface as S
 from meshloom.plans.mesh import rounded, table
-from meshloom.plans.surfaces import SCALE, component
+from meshloom.plans.surfaces import _FACES, SCALE, box_surface, component
 from meshloom.plans.terrain import _A, _B, _C, _GROUND, _NORMAL, WIDTH, Sql, _cross, _distance, _dot, _minus, _v, ground, terrain
 
 #: Steps of the folded field's grid, and how far its corners lie off it.
@@ -38,6 +38,12 @@ def self_crossings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.crossings(S.corners(*folded(spark, sf_dir)))
 
 
+def slab(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spheres of a slab whose thickness and width follow the numbers of regions and of suppliers."""
+    thick, wide = (float(k * table(spark, sf_dir, t).count()) for k, t in ((2, "region"), (8, "supplier")))
+    return rounded(P.inscribed(S.corners(*box_surface(spark, (thick, wide, wide)))).select("fid", "diameter"), "diameter")
+
+
 def edge_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(fid, topo): paths between triangles of the height field, to one some triangles on, within a width of the embedding's."""
     faces = ground(spark, sf_dir)
@@ -53,6 +59,7 @@ QUERIES = {
     "terrain_nearest": lambda s, d: rounded(P.nearest(probes(s, d).select("id", "x", "y", "z"), ground(s, d)).select("id", "distance"), "distance"),
     "terrain_first_hit": lambda s, d: rounded(P.first_hits(probes(s, d).withColumn("z", F.lit(ABOVE)), ground(s, d)).select("id", "distance"), "distance"),
     "terrain_spheres": lambda s, d: rounded(P.inscribed(ground(s, d)).select("fid", "diameter"), "diameter"),
+    "mis_slab": slab,
     "terrain_edge_paths": edge_paths,
     "self_crossings": self_crossings,
 }
@@ -153,6 +160,9 @@ it(id, k, r, live) AS (SELECT id, 0, least(most, coalesce(t / 2, most)), true FR
         SELECT *, {', '.join(f'{e} AS q_{k}' for e, k in zip(_closest(_CENTER, _A, _B, _C), 'xyz', strict=True))} FROM (
           SELECT *, {_distance(_CENTER, (_A, _B, _C))} AS gap FROM it JOIN s1 USING (id) JOIN fc ON true WHERE live AND k < 200 QUALIFY row_number() OVER (PARTITION BY id ORDER BY gap, fid) = 1)))))"""
 
+_SLAB = f"""{_FACES}, d AS (SELECT 2.0::DOUBLE * (SELECT count(*) FROM region) AS sx, 8.0::DOUBLE * (SELECT count(*) FROM supplier) AS sy),
+fc AS (SELECT fid::BIGINT AS fid, {', '.join(f'({p} % 2 - 0.5::DOUBLE) * sx AS {p}_x, ({p} // 2 % 2 - 0.5::DOUBLE) * sy AS {p}_y, ({p} // 4 - 0.5::DOUBLE) * sy AS {p}_z' for p in 'abc')} FROM f, d)"""
+
 _PATHS = f"""e2 AS (SELECT s AS a, t AS b FROM ed UNION SELECT t, s FROM ed), el AS (SELECT a, b, sqrt({_dot(_minus(('p.x', 'p.y', 'p.z'), ('q.x', 'q.y', 'q.z')), _minus(('p.x', 'p.y', 'p.z'), ('q.x', 'q.y', 'q.z')))}) AS l FROM e2 JOIN sv p ON p.vid = a JOIN sv q ON q.vid = b),
 rc AS (SELECT f.fid, g.fid AS opposite, [f.va, f.vb, f.vc] AS own, [g.va, g.vb, g.vc] AS goal, greatest(pi() * ({LEAST_WIDTH}::DOUBLE + {WIDTHS} * abs(embedding[10]::DOUBLE)), {S.SEARCH_RADIUS}) AS far
   FROM sf f JOIN embeddings ON vec_id = f.fid // 2 LEFT JOIN sf g ON g.fid = (f.fid * 3 + 5) % (2 * (SELECT count(*) FROM embeddings))),
@@ -163,6 +173,7 @@ SQL = {
     "terrain_nearest": f"WITH {_GROUND}, {_PROBES} SELECT id, round(min({_distance(_v('o'), (_A, _B, _C))}), 6) + 0.0 AS distance FROM pr JOIN fc ON true GROUP BY id",
     "terrain_first_hit": f"WITH {_GROUND}, {_PROBES}, hi AS (SELECT * REPLACE ({ABOVE}::DOUBLE AS o_z) FROM pr) SELECT id, round(min({_hit(_v('o'), _v('d'))}), 6) + 0.0 AS distance FROM hi JOIN fc ON true GROUP BY id",
     "terrain_spheres": f"WITH RECURSIVE {_GROUND}, {_SPHERES} SELECT id AS fid, round(2 * arg_max(r, k), 6) + 0.0 AS diameter FROM it GROUP BY id",
+    "mis_slab": f"WITH RECURSIVE {_SLAB}, {_SPHERES} SELECT id AS fid, round(2 * arg_max(r, k), 6) + 0.0 AS diameter FROM it GROUP BY id",
     "terrain_edge_paths": f"WITH RECURSIVE {_GROUND}, {_PATHS}, b AS (SELECT w.fid, min(d) AS d FROM wk w JOIN rc ON rc.fid = w.fid AND list_contains(goal, w.vid) GROUP BY w.fid) SELECT rc.fid, round(coalesce(d, -1), 6) + 0.0 AS topo FROM rc LEFT JOIN b USING (fid)",
     "self_crossings": f"WITH {_FOLDED} SELECT * FROM hit UNION ALL SELECT * FROM flat",
 }

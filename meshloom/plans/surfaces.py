@@ -14,7 +14,7 @@ from meshloom.operators import topology as T
 from meshloom.plans.mesh import rounded, table
 
 CUBE = [(x - 0.5, y - 0.5, z - 0.5) for z in (0, 1) for y in (0, 1) for x in (0, 1)]
-#: Twelve triangles of a cube, outward.
+#: Twelve triangles of a cube, outward.
 CUBE_FACES = [(0, 2, 1), (1, 2, 3), (4, 5, 6), (5, 7, 6), (0, 1, 4), (1, 5, 4), (2, 6, 3), (3, 6, 7), (0, 4, 2), (2, 4, 6), (1, 3, 5), (3, 7, 5)]
 SCALE = 4.0
 
@@ -77,11 +77,6 @@ def triangle_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rows.select("fid", "area", "aspect", "least_edge", "most_edge", "least_angle"), "area", "least_edge", "most_edge").withColumns({"aspect": F.round("aspect", 3), "least_angle": F.round("least_angle", 4)})
 
 
-def mis_slab(spark: SparkSession, sf_dir: str) -> DataFrame:
-    faces = S.corners(*box_surface(spark, (10.0, 200.0, 200.0)))
-    return rounded(P.inscribed(faces).select("fid", "diameter"), "diameter")
-
-
 def clip_area(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cube's surface inside the cells of a grid that covers it: the pieces add up to its area."""
     from meshloom.operators import generate as G
@@ -147,7 +142,6 @@ QUERIES = {
     "aabb_overlap_join": lambda s, d: P.overlap_join(boxes(s, d, 0), boxes(s, d, 6), 0.1),
     "point_in_cell": lambda s, d: P.points_in_cells(points(s, d), unit_cells(s), 0.25),
     "slice_segments": lambda s, d: S.slice_segments(triangles(s, d), 0.01).select("fid", *[(F.round(c, 6) + F.lit(0.0)).alias(c) for c in ("p_x", "p_y", "q_x", "q_y")]),
-    "mis_slab": mis_slab,
     "clip_area": clip_area,
     "keep_cells": keep,
     "refine_two_levels": refine_two_levels,
