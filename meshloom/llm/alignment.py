@@ -9,8 +9,8 @@ no piece of the second holds a space after another character (checked when the m
 being common ends, and each different part is encoded and aligned once as long as a worker remembers it.
 
 Counts: a document's pairs are written with it, as ids and counts. All counts are one grouped sum. The HOT_PAIRS most frequent
-pairs at most are sent to all tasks, which look them up; links of the others are shuffled to their counts. Hot pairs, which may be
-in every document, are never shuffled, and what is sent is bounded.
+pairs at most are sent to all tasks; links of the others, if there are any, are shuffled to their counts. Hot pairs, which may be in
+every document, are never shuffled, and what is sent is bounded.
 
 Defined results: texts that are null or empty, and those that either tokenizer doesn't give back byte by byte, have no tokens;
 repeated rows are counted one by one; an empty table gives no rows; other columns are ignored.
@@ -18,7 +18,6 @@ repeated rows are counted one by one; an empty table gives no rows; other column
 
 from __future__ import annotations
 
-import hashlib
 import json
 import os
 import re
@@ -30,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meshloom.llm.common import Lookup, frequent, lists, materialize, row_numbers, slices
+from meshloom.llm.common import frequent, materialize, row_numbers, slices
 from meshloom.llm.tokencount import byte_letters
 
 #: The tokenizers in production; parameters of `align`.
@@ -213,13 +212,6 @@ def align(docs: DataFrame, paths: tuple[str, str] | None = None) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"row long, doc_id {kind}, n_a long, n_b long, n_groups long, n_links long, groups string, a array<int>, b array<int>, n array<int>")
 
 
-def _codes(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The last three columns flattened: pairs as one number, their counts, and the row in the batch of each."""
-    a, b, n = (batch.column(batch.num_columns - k) for k in (3, 2, 1))
-    lengths = np.diff(a.offsets.to_numpy())
-    return (a.flatten().to_numpy().astype(np.int64) << 32) | b.flatten().to_numpy(), n.flatten().to_numpy(), np.repeat(np.arange(batch.num_rows), lengths)
-
-
 def pair_counts(aligned: DataFrame) -> DataFrame:
     """(code, times, best): how often each pair of ids is linked in all of `align`'s rows; best: the most of its second id. code: a << 32 | b."""
 
@@ -230,8 +222,10 @@ def pair_counts(aligned: DataFrame) -> DataFrame:
             codes, at = np.unique(np.concatenate([x for x, _ in found]), return_inverse=True)
             return codes, np.bincount(at, np.concatenate([n for _, n in found]), len(codes)).astype(np.int64)
 
-        for batch in batches:
-            found.append(_codes(batch)[:2])
+        for batch in (b.slice(i, 1000) for b in batches for i in range(0, b.num_rows, 1000)):
+            a, b, n = (batch.column(k).flatten().to_numpy() for k in range(3))
+            codes, at = np.unique((a.astype(np.int64) << 32) | b, return_inverse=True)
+            found.append((codes, np.bincount(at, n, len(codes)).astype(np.int64)))
             if sum(len(x) for x, _ in found) > 1 << 21:
                 found = [summed()]
                 if len(found[0][0]) > 1 << 20:
@@ -247,36 +241,20 @@ def pair_counts(aligned: DataFrame) -> DataFrame:
 
 def link_scores(aligned: DataFrame, counts: DataFrame) -> DataFrame:
     """`align`'s columns but the links, with n_best and count_sum over each document's links. aligned must be a written table."""
-    spark = aligned.sparkSession
-    hot = frequent(counts, "times", HOT_PAIRS).toArrow()
-    codes, times, best = (hot.column(i).to_numpy() for i in range(3))
-    sent = spark.sparkContext.broadcast((Lookup(codes), times, best))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lookup, times, best = sent.value
-        for batch in batches:
-            codes, n, row = _codes(batch)
-            at, there = lookup.find(codes)
-            k, w = at[there], n[there].astype(np.int64)
-            sums = [np.zeros(batch.num_rows, np.int64) for _ in range(2)]
-            if len(k):
-                np.add.at(sums[0], row[there], w * best[k])
-                np.add.at(sums[1], row[there], w * times[k])
-            rest = [lists(x[~there], row[~there], batch.num_rows) for x in (codes, n)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(6)), pa.array([hashlib.sha256(x.encode()).hexdigest() if x else "" for x in batch.column(6).to_pylist()]), *map(pa.array, sums), *rest], names=names)
-
-    plain = aligned.columns[:6]
-    names = [*plain, "groups_sha256", "n_best", "count_sum", "code", "n"]
-    kinds = ", ".join(f"{c} {aligned.schema[c].dataType.simpleString()}" for c in plain)
-    found = materialize(aligned.mapInArrow(run, f"{kinds}, groups_sha256 string, n_best long, count_sum long, code array<long>, n array<int>"), "link-scores")
-    rare = found.where("size(code) > 0").select("row", F.explode(F.arrays_zip("code", "n")).alias("x")).select("row", "x.code", "x.n").join(counts, "code")
-    sums = rare.groupBy("row").agg(F.sum(F.expr("if(best, n, 0)")).alias("best"), F.sum(F.col("n") * F.col("times")).alias("times"))
-    more = found.where("size(code) > 0").join(sums, "row", "left")
-    more = more.withColumn("n_best", F.col("n_best") + F.coalesce("best", F.lit(0))).withColumn("count_sum", F.col("count_sum") + F.coalesce("times", F.lit(0)))
-    out = [c for c in names if c not in ("row", "code", "n")]
-    return found.where("size(code) = 0").select(*out).unionByName(more.select(*out))
+    hot = frequent(counts, "times", HOT_PAIRS)
+    links = aligned.select("row", F.inline(F.arrays_zip("a", "b", "n"))).select("row", F.shiftleft(F.col("a").cast("long"), 32).bitwiseOR(F.col("b").cast("long")).alias("code"), "n")
+    parts = [links.join(F.broadcast(hot), "code")]
+    if not hot.count() == counts.count():
+        # what is not sent is rare, so that its links may be shuffled
+        parts.append(links.join(F.broadcast(hot.select("code")), "code", "left_anti").join(counts, "code"))
+    sums = [x.groupBy("row").agg(F.sum(F.when(F.col("best"), F.col("n")).otherwise(0)).alias("n_best"), F.sum(F.col("n") * F.col("times")).alias("count_sum")) for x in parts]
+    found = sums[0] if len(sums) == 1 else sums[0].unionByName(sums[1]).groupBy("row").agg(F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum"))
+    plain = [c for c in aligned.columns if c not in ("a", "b", "n")]
+    out = aligned.select(*plain).join(found, "row", "left").withColumns({c: F.coalesce(c, F.lit(0)).cast("long") for c in ("n_best", "count_sum")})
+    return out.drop("row")
 
 
 def op13(docs: DataFrame) -> DataFrame:
-    aligned = materialize(align(docs), "aligned")
+    hashed = F.when(F.col("groups") != "", F.sha2(F.col("groups").cast("binary"), 256)).otherwise("")
+    aligned = materialize(align(docs).withColumn("groups", hashed).withColumnRenamed("groups", "groups_sha256"), "aligned")
     return link_scores(aligned, pair_counts(aligned))
