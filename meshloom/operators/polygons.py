@@ -32,15 +32,19 @@ def areas(rings: DataFrame) -> DataFrame:
 
 
 def _slabs(points: DataFrame, lines: DataFrame) -> DataFrame:
-    """Points (l_x, l_y, ..) with the sides (r_px, r_py, r_qx, r_qy, ..) above, below or through them, of which one end is in x and the other behind."""
+    """Points (l_x, l_y, ..) with the sides (r_px, r_py, r_qx, r_qy, ..) above, below or through them, ends and upright sides included."""
     flat = {f"{s}_{c}": F.lit(0.0) for s in ("lo", "hi") for c in "yz"}
-    lines = lines.where("px <> qx").withColumns({"lo_x": F.least("px", "qx"), "hi_x": F.greatest("px", "qx"), **flat})
+    lines = lines.withColumns({"lo_x": F.least("px", "qx"), "hi_x": F.greatest("px", "qx"), **flat})
     unit = lines.agg(F.avg(F.col("hi_x") - F.col("lo_x"))).first()[0] or 1.0
-    return level_join(points.withColumns({"lo_x": F.col("x"), "hi_x": F.col("x"), **flat}), lines, unit).where("r_lo_x <= l_x AND l_x < r_hi_x")
+    return level_join(points.withColumns({"lo_x": F.col("x"), "hi_x": F.col("x"), **flat}), lines, unit).where("r_lo_x <= l_x AND l_x <= r_hi_x")
+
+
+#: Of two sides that meet over a point, one counts; upright ones never do.
+COUNTS = "l_x < r_hi_x"
 
 
 def _height() -> Column:
-    """Of a side over a point, where it is at the point's x."""
+    """Of a side over a point, where it is at the point's x; null for an upright one."""
     return F.col("r_py") + F.try_divide((F.col("l_x") - F.col("r_px")) * (F.col("r_qy") - F.col("r_py")), F.col("r_qx") - F.col("r_px")) - F.col("l_y")
 
 
@@ -54,7 +58,8 @@ def nesting(rings: DataFrame) -> DataFrame:
     points = rings.select(F.col("id"), F.posexplode("p").alias("k", "q")).select("id", "k", F.col("q.x").alias("x"), F.col("q.y").alias("y"))
     met = _slabs(points, sides(rings)).where("l_id <> r_id").withColumn("up", _height())
     # a point on a side is within, so that equal rings and ones that touch are told by their sizes
-    told = met.groupBy("l_id", "l_k", "r_id").agg(F.sum((F.col("up") > NEAR).cast("long")).alias("above"), F.max(F.abs("up") <= NEAR).alias("touches"))
+    on = F.when(F.col("up").isNull(), F.col("l_y").between(F.least("r_py", "r_qy") - NEAR, F.greatest("r_py", "r_qy") + NEAR)).otherwise(F.abs("up") <= NEAR)
+    told = met.groupBy("l_id", "l_k", "r_id").agg(F.count_if(F.expr(COUNTS) & (F.col("up") > NEAR)).alias("above"), F.max(on).alias("touches"))
     held = told.where("touches OR above % 2 = 1").groupBy(F.col("l_id").alias("id"), F.col("r_id").alias("around")).agg(F.count(F.lit(1)).alias("m"))
     around = size.select(F.col("id").alias("around"), F.abs("area").alias("outer"))
     pairs = held.join(size.select("id", F.abs("area").alias("inner"), "n"), "id").join(around, "around").where("m = n AND (outer > inner OR outer = inner AND around < id)")
@@ -109,7 +114,7 @@ def union(rings: DataFrame) -> DataFrame:
         mx, my = (F.col("ax") + F.col("bx")) / 2, (F.col("ay") + F.col("by")) / 2
         spots = own.select("piece", (my if upright else mx).alias("x"), (-mx if upright else my).alias("y"))
         turned = lines.select(F.col("py").alias("px"), (-F.col("px")).alias("py"), F.col("qy").alias("qx"), (-F.col("qx")).alias("qy")) if upright else lines.select("px", "py", "qx", "qy")
-        above = _slabs(spots, turned).where(_height() > NEAR).groupBy(F.col("l_piece").alias("piece")).agg(F.sum(F.when(F.col("r_qx") < F.col("r_px"), 1).otherwise(-1)).alias("over"))
+        above = _slabs(spots, turned).where(COUNTS).where(_height() > NEAR).groupBy(F.col("l_piece").alias("piece")).agg(F.sum(F.when(F.col("r_qx") < F.col("r_px"), 1).otherwise(-1)).alias("over"))
         over = above if over is None else over.union(above)
     known = pieces.join(over, "piece", "left").withColumn("over", F.coalesce("over", F.lit(0)))
     upper, lower = F.col("over") > 0, F.col("over") + F.col("here") > 0
