@@ -9,7 +9,7 @@ from meshloom.operators import generate as G
 from meshloom.operators import topology as T
 
 START, LENGTHS = (-31.3, -20.0, 0.0), (51.3, 40.0, 218.0)
-DISC, OUTER, INNER, HEIGHT, START_Z, LAYERS = G.Disc(4, 5, 5), 620.0, 100.0, 1924.0, 0.0, 39
+DISC, OUTER, INNER, HEIGHT, START_Z = G.Disc(4, 5, 5), 620.0, 100.0, 1924.0, 0.0
 SECTIONS = "0:500:full,500:1200:hollow,1200:1924:full"
 
 
@@ -67,18 +67,24 @@ def box_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cell_volumes(nodes, cells).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("volume"), 4).alias("volume"), F.round(F.min("volume"), 6).alias("least"))
 
 
-def hybrid(spark: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame]:
+def layers(spark: SparkSession, sf_dir: str) -> int:
+    """Layers of cylinders and annuli, from the number of suppliers."""
+    return table(spark, sf_dir, "supplier").count() // 4 + 9
+
+
+def hybrid(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    n = layers(spark, sf_dir)
     raw = spark.createDataFrame([(SECTIONS,)], "raw string")
-    sections = G.snap_sections(G.parse_sections(raw), START_Z, HEIGHT, LAYERS)
-    nodes = G.cylinder_nodes(spark, DISC, OUTER, HEIGHT, START_Z, LAYERS, INNER)
-    return sections, G.mark_hollow_rims(nodes, DISC, sections), G.hybrid_cells(spark, DISC, LAYERS, sections)
+    sections = G.snap_sections(G.parse_sections(raw), START_Z, HEIGHT, n)
+    nodes = G.cylinder_nodes(spark, DISC, OUTER, HEIGHT, START_Z, n, INNER)
+    return sections, G.mark_hollow_rims(nodes, DISC, sections), G.hybrid_cells(spark, DISC, n, sections)
 
 
 def hybrid_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nodes by level after renumbering: how many, and the first id."""
-    _, nodes, cells = hybrid(spark)
+    _, nodes, cells = hybrid(spark, sf_dir)
     out, _ = T.reduce_mesh(nodes, cells.select("cid", "kvert"), cells)
-    level = F.round((F.col("z") - START_Z) / (HEIGHT / LAYERS)).cast("int")
+    level = F.round((F.col("z") - START_Z) / (HEIGHT / layers(spark, sf_dir))).cast("int")
     return out.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("n"), F.min("vid").alias("first_vid"), F.sum(F.col("knpr").cast("long")).alias("n_boundary"))
 
 
@@ -153,12 +159,12 @@ QUERIES = {
     "box_plane_tags": plane_tags,
     "box_volume": box_volume,
     "box_min_edge": lambda s, d: rounded(T.min_edge(*box(s, d)), "min_edge"),
-    "annulus_nodes": lambda s, d: rounded(G.annulus_nodes(s, 62.0, 40.0, 100.0, -5.0, (24, 3, 10)), "x", "y", "z"),
-    "annulus_cells": lambda s, d: corners_flat(G.annulus_cells(s, (24, 3, 10))),
-    "fullcyl_nodes": lambda s, d: rounded(G.cylinder_nodes(s, DISC, OUTER, HEIGHT, START_Z, LAYERS), "x", "y", "z"),
-    "fullcyl_cells": lambda s, d: corners_flat(G.cylinder_cells(s, DISC, LAYERS)),
-    "hybrid_sections": lambda s, d: hybrid(s)[0].select("pos", "lo", "hi", "mode", "gap", "layer_lo", "layer_hi"),
-    "hybrid_cells": lambda s, d: hybrid(s)[2].groupBy("layer").agg(F.count(F.lit(1)).alias("n")),
+    "annulus_nodes": lambda s, d: rounded(G.annulus_nodes(s, 62.0, 40.0, 100.0, -5.0, (24, 3, layers(s, d))), "x", "y", "z"),
+    "annulus_cells": lambda s, d: corners_flat(G.annulus_cells(s, (24, 3, layers(s, d)))),
+    "fullcyl_nodes": lambda s, d: rounded(G.cylinder_nodes(s, DISC, OUTER, HEIGHT, START_Z, layers(s, d)), "x", "y", "z"),
+    "fullcyl_cells": lambda s, d: corners_flat(G.cylinder_cells(s, DISC, layers(s, d))),
+    "hybrid_sections": lambda s, d: hybrid(s, d)[0].select("pos", "lo", "hi", "mode", "gap", "layer_lo", "layer_hi"),
+    "hybrid_cells": lambda s, d: hybrid(s, d)[2].groupBy("layer").agg(F.count(F.lit(1)).alias("n")),
     "hybrid_par_nodes": hybrid_nodes,
     "axis_mesh_edges": lambda s, d: G.axis_mesh(s, box_size(s, d), "edge"),
     "axis_mesh_faces": lambda s, d: G.axis_mesh(s, box_size(s, d), "face"),
@@ -211,6 +217,8 @@ def _xyz(x: str = "x", y: str = "y", z: str = "z") -> str:
     return f"round({x}, 6) + 0.0 AS x, round({y}, 6) + 0.0 AS y, round({z}, 6) + 0.0 AS z"
 
 
+#: Layers of cylinders and annuli, from the number of suppliers.
+_L = "(SELECT count(*) // 4 + 9 FROM supplier)"
 P, NI, NO = DISC.periods, DISC.n_inner, DISC.n_outer
 _DISC = f"""
 rings AS (
@@ -229,11 +237,11 @@ shell AS (
   SELECT {DISC.inner_cells} + m * {DISC.around} + i AS cell, [b + (m + 1) * {DISC.around} + i, b + (m + 1) * {DISC.around} + (i + 1) % {DISC.around}, b + m * {DISC.around} + (i + 1) % {DISC.around}, b + m * {DISC.around} + i] AS q4
   FROM range({NO}) a(m), range({DISC.around}) c(i), (SELECT 2 + {P} * {NI} * ({NI} - 1) AS b)),
 layer AS (SELECT * FROM core UNION ALL SELECT * FROM shell),
-cyl AS (SELECT k, cell, k * {DISC.cells} + cell + 1 AS cid, list_concat(list_transform(q4, lambda x: x + k * {DISC.nodes}), list_transform(q4, lambda x: x + (k + 1) * {DISC.nodes})) AS kv FROM layer, range({LAYERS}) r(k)),
+cyl AS (SELECT k, cell, k * {DISC.cells} + cell + 1 AS cid, list_concat(list_transform(q4, lambda x: x + k * {DISC.nodes}), list_transform(q4, lambda x: x + (k + 1) * {DISC.nodes})) AS kv FROM layer, range({_L}) r(k)),
 sec0 AS (SELECT unnest(string_split('{SECTIONS}', ',')) AS part, generate_subscripts(string_split('{SECTIONS}', ','), 1) - 1 AS pos),
 sec1 AS (SELECT pos::INTEGER AS pos, split_part(part, ':', 1)::DOUBLE AS lo, split_part(part, ':', 2)::DOUBLE AS hi, lower(split_part(part, ':', 3)) AS mode FROM sec0),
 sec AS (SELECT *, coalesce(abs(lo - lag(hi) OVER (ORDER BY pos)) > 1e-9, false) OR hi <= lo AS gap,
-  least({LAYERS}, greatest(0, round_even((lo - {START_Z}) / {HEIGHT / LAYERS}, 0)))::INTEGER AS layer_lo, least({LAYERS}, greatest(0, round_even((hi - {START_Z}) / {HEIGHT / LAYERS}, 0)))::INTEGER AS layer_hi FROM sec1),
+  least({_L}, greatest(0, round_even((lo - {START_Z}) / ({HEIGHT}::DOUBLE / {_L}), 0)))::INTEGER AS layer_lo, least({_L}, greatest(0, round_even((hi - {START_Z}) / ({HEIGHT}::DOUBLE / {_L}), 0)))::INTEGER AS layer_hi FROM sec1),
 hollow AS (SELECT unnest(range(layer_lo, layer_hi)) AS layer FROM sec WHERE mode = 'hollow'),
 hyb AS (SELECT * FROM cyl WHERE NOT (cell < {DISC.inner_cells} AND k IN (SELECT layer FROM hollow)))
 """
@@ -253,15 +261,15 @@ SQL = {
     ),
     "box_volume": _box(f"SELECT count(*) AS n, round({LENGTHS[0] * LENGTHS[1] * LENGTHS[2]}, 4) AS volume, round({LENGTHS[0] * LENGTHS[1] * LENGTHS[2]} / count(*), 6) AS least FROM cells"),
     "box_min_edge": _box("SELECT round(4 * t, 6) AS min_edge FROM tol"),
-    "annulus_nodes": f"WITH g AS (SELECT v + 1 AS vid, v % 24 AS t, (v // 24) % 4 AS r, v // 96 AS k FROM range({24 * 4 * 11}) x(v)) SELECT vid, {_xyz('(20 + 11 * r / 3.0::DOUBLE) * cos(pi() / 2 - 2 * pi() / 24 + t * 2 * pi() / 24)', '(20 + 11 * r / 3.0::DOUBLE) * sin(pi() / 2 - 2 * pi() / 24 + t * 2 * pi() / 24)', '-5 + 100.0::DOUBLE * k / 10')}, (k = 0 OR k = 10 OR r = 0 OR r = 3)::INTEGER AS knpr FROM g",
-    "annulus_cells": "WITH g AS (SELECT c + 1 AS cid, c % 24 AS t, (c // 24) % 3 AS r, c // 72 AS k FROM range(720) x(c)), h AS (SELECT cid, [t + 24 * (r + 4 * k) + 1, (t + 1) % 24 + 24 * (r + 4 * k) + 1, (t + 1) % 24 + 24 * (r + 1 + 4 * k) + 1, t + 24 * (r + 1 + 4 * k) + 1] AS q FROM g), i AS (SELECT cid, list_concat(q, list_transform(q, lambda x: x + 96)) AS kv FROM h) SELECT cid, " + _FLAT + " FROM i",
-    "fullcyl_nodes": f"WITH {_DISC}, n AS (SELECT k, j, base + i + 1 + k * {DISC.nodes} AS vid, CASE WHEN j <= {NI} THEN {OUTER / 2 * NI / (NI + NO)} * j / {NI} ELSE {OUTER / 2 * NI / (NI + NO)} + {OUTER / 2 * NO / (NI + NO)} * (j - {NI}) / {NO} END AS rad, 2 * pi() * i / n AS th FROM place, range({LAYERS + 1}) r(k)) SELECT vid, {_xyz('rad * cos(th)', 'rad * sin(th)', f'{HEIGHT}::DOUBLE * k / {LAYERS}')}, (k = 0 OR k = {LAYERS} OR j = {NI + NO})::INTEGER AS knpr FROM n",
+    "annulus_nodes": f"WITH g AS (SELECT v + 1 AS vid, v % 24 AS t, (v // 24) % 4 AS r, v // 96 AS k FROM range(24 * 4 * ({_L} + 1)) x(v)) SELECT vid, {_xyz('(20 + 11 * r / 3.0::DOUBLE) * cos(pi() / 2 - 2 * pi() / 24 + t * 2 * pi() / 24)', '(20 + 11 * r / 3.0::DOUBLE) * sin(pi() / 2 - 2 * pi() / 24 + t * 2 * pi() / 24)', f'-5 + 100.0::DOUBLE * k / {_L}')}, (k = 0 OR k = {_L} OR r = 0 OR r = 3)::INTEGER AS knpr FROM g",
+    "annulus_cells": f"WITH g AS (SELECT c + 1 AS cid, c % 24 AS t, (c // 24) % 3 AS r, c // 72 AS k FROM range(72 * {_L}) x(c)), h AS (SELECT cid, [t + 24 * (r + 4 * k) + 1, (t + 1) % 24 + 24 * (r + 4 * k) + 1, (t + 1) % 24 + 24 * (r + 1 + 4 * k) + 1, t + 24 * (r + 1 + 4 * k) + 1] AS q FROM g), i AS (SELECT cid, list_concat(q, list_transform(q, lambda x: x + 96)) AS kv FROM h) SELECT cid, " + _FLAT + " FROM i",
+    "fullcyl_nodes": f"WITH {_DISC}, n AS (SELECT k, j, base + i + 1 + k * {DISC.nodes} AS vid, CASE WHEN j <= {NI} THEN {OUTER / 2 * NI / (NI + NO)} * j / {NI} ELSE {OUTER / 2 * NI / (NI + NO)} + {OUTER / 2 * NO / (NI + NO)} * (j - {NI}) / {NO} END AS rad, 2 * pi() * i / n AS th FROM place, range({_L} + 1) r(k)) SELECT vid, {_xyz('rad * cos(th)', 'rad * sin(th)', f'{HEIGHT}::DOUBLE * k / {_L}')}, (k = 0 OR k = {_L} OR j = {NI + NO})::INTEGER AS knpr FROM n",
     "fullcyl_cells": f"WITH {_DISC} SELECT cid, {_FLAT} FROM cyl",
     "hybrid_sections": f"WITH {_DISC} SELECT * FROM sec",
     "hybrid_cells": f"WITH {_DISC} SELECT k::INTEGER AS layer, count(*) AS n FROM hyb GROUP BY k",
     "hybrid_par_nodes": f"""WITH {_DISC}, used AS (SELECT DISTINCT unnest(kv) AS old FROM hyb), num AS (SELECT old, row_number() OVER (ORDER BY old) AS vid, (old - 1) // {DISC.nodes} AS level FROM used),
         rim AS (SELECT layer AS level FROM hollow UNION SELECT layer + 1 FROM hollow),
-        k AS (SELECT n.*, (level IN (0, {LAYERS}) OR (old - 1) % {DISC.nodes} >= {DISC.nodes - DISC.around} OR (level IN (SELECT level FROM rim) AND (old - 1) % {DISC.nodes} BETWEEN {DISC.inner_nodes - DISC.around} AND {DISC.inner_nodes - 1}))::BIGINT AS knpr FROM num n)
+        k AS (SELECT n.*, (level IN (0, {_L}) OR (old - 1) % {DISC.nodes} >= {DISC.nodes - DISC.around} OR (level IN (SELECT level FROM rim) AND (old - 1) % {DISC.nodes} BETWEEN {DISC.inner_nodes - DISC.around} AND {DISC.inner_nodes - 1}))::BIGINT AS knpr FROM num n)
         SELECT level::INTEGER AS level, count(*) AS n, min(vid) AS first_vid, sum(knpr)::BIGINT AS n_boundary FROM k GROUP BY level""",
     "axis_mesh_edges": _box(
         """, e AS (SELECT 0 AS axis, v, i, j, k, row_number() OVER (ORDER BY k, j, i) AS o, v + 1 AS w FROM nodes n JOIN (SELECT vid AS id, vid - 1 AS v FROM nodes) m ON m.id = n.vid WHERE i < nx

@@ -101,7 +101,8 @@ def refine_two_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     from meshloom.operators import generate as G
     from meshloom.operators.refine import refine_uniformly
 
-    nodes, cells = G.box_nodes(spark, (0, 0, 0), (2, 1, 1), (2, 1, 1)), G.box_cells(spark, (2, 1, 1))
+    size = (table(spark, sf_dir, "supplier").count() // 8 + 1, 1, 1)
+    nodes, cells = G.box_nodes(spark, (0, 0, 0), size, size), G.box_cells(spark, size)
     for _ in range(2):
         nodes, cells = refine_uniformly(nodes, cells)
     shared = T.owners(cells).agg(F.max("n").alias("most_owners"), F.count(F.lit(1)).alias("n_faces"))
@@ -193,6 +194,7 @@ SQL = {
     "ray_first_hit": f"WITH {_PTS}, d AS (SELECT p.*, {', '.join(f'{_E[10 + i]} AS d{c}' for i, c in enumerate('xyz'))} FROM p JOIN embeddings ON vec_id = id), s AS (SELECT *, {_SLAB} FROM d), h AS (SELECT id, greatest(nx, ny, nz) AS near, least(fx, fy, fz) AS far FROM s) SELECT id, CASE WHEN near > far OR far < 0 THEN NULL ELSE round(CASE WHEN near >= 0 THEN near ELSE far END, 6) END AS distance FROM h",
     "aabb_overlap_join": f"WITH {_boxes(0, 'l')}, {_boxes(6, 'r')} SELECT l.id AS a, r.id AS b FROM l JOIN r ON " + " AND ".join(f"l.lo_{c} <= r.hi_{c} AND r.lo_{c} <= l.hi_{c}" for c in "xyz"),
     "point_in_cell": f"WITH {_PTS}, c AS (SELECT i AS id, (i % 4) * 0.25 - 0.5 AS lx, (i // 4 % 4) * 0.25 - 0.5 AS ly, (i // 16) * 0.25 - 0.5 AS lz FROM range(64) t(i)) SELECT p.id AS a, c.id AS b FROM p JOIN c ON x BETWEEN lx AND lx + 0.25 AND y BETWEEN ly AND ly + 0.25 AND z BETWEEN lz AND lz + 0.25",
-    "refine_two_levels": "SELECT 19 * 10 * 10::BIGINT AS n_nodes, 2 * 27 * 27::BIGINT AS n_cells, 2::BIGINT AS most_owners, (19 * 9 * 9 + 18 * 10 * 9 + 18 * 9 * 10)::BIGINT AS n_faces",
+    # a row of cells, each cut into nine along every side
+    "refine_two_levels": "WITH d AS (SELECT 9 * (count(*) // 8 + 1) AS n FROM supplier) SELECT ((n + 1) * 10 * 10)::BIGINT AS n_nodes, (n * 9 * 9)::BIGINT AS n_cells, 2::BIGINT AS most_owners, ((n + 1) * 9 * 9 + 2 * n * 10 * 9)::BIGINT AS n_faces FROM d",
     "clip_area": "SELECT 6.0::DOUBLE AS area",
 }
