@@ -240,3 +240,25 @@ def test_grid_searches_agree_with_brute_force(spark):
     none = faces.limit(0)
     assert P.nearest(points, none).count() == 0 and P.first_hits(points, none).where("distance IS NOT NULL").count() == 0
     assert not P.inside(points, none).where("inside").count() and not P.segments_hit(ends, none).where("hit").count()
+
+
+def test_files_are_written_by_many_tasks_in_order(spark, tmp_path):
+    from meshloom.sources import ordered, writers
+
+    old = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # else few lines are one partition
+    try:
+        rows = spark.range(0, 5000, 1, 8).select((4999 - F.col("id")).alias("cid"), F.col("id").alias("value"))
+        writers.write_area(f"{tmp_path}/a.txt", rows)
+        points = spark.range(60).select((F.col("id") % 3).alias("line"), (-F.col("id")).alias("pos"), *[F.col("id").cast("double").alias(c) for c in "xyz"])
+        writers.write_vtp(f"{tmp_path}/a.vtp", points)
+        ordered.write_sections(spark, f"{tmp_path}/b.txt", ["one\ntwo\n", (spark.range(0).select("id"), ["id"], lambda r: "none"), "three"])
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", old)
+    assert [int(x) for x in (tmp_path / "a.txt").read_text().split()] == list(range(4999, -1, -1))
+    text = (tmp_path / "a.vtp").read_text().split("\n")
+    first = next(i for i, x in enumerate(text) if 'Name="Points"' in x) + 1
+    assert [x.split()[0] for x in text[first : first + 20]] == [str(i) for i in range(57, -1, -3)]
+    ends = next(i for i, x in enumerate(text) if 'Name="offsets"' in x) + 1
+    assert text[ends : ends + 3] == ["20", "40", "60"]
+    assert (tmp_path / "b.txt").read_text() == "one\ntwo\nthree\n" and len(list(tmp_path.iterdir())) == 3  # no parts are left
