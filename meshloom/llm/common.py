@@ -101,7 +101,7 @@ def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Iterator[pa.R
         yield value, rows(value)
 
 
-def slices(batch: pa.RecordBatch, column: int = 1, rows: int = 1000, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: int = 1, rows: int = 1000, size: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """A batch in parts of at most so many rows, and of at most so many bytes in a text column unless a single text has more."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy().astype(np.int64))
     start = 0

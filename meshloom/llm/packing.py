@@ -207,6 +207,7 @@ def encode_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPA
                 [part.column(0).take(pa.array(of)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(lengths), pa.array(some, pa.binary()), *numbers.columns(lengths)],
                 names=["doc_id", "piece", "start", "length", "ids", PART, NTH],
             )
+        encoder.cache.clear()  # the worker may do other things next
 
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids binary, {PART} int, {NTH} long"
     return docs.select("doc_id", "text").mapInArrow(run, schema)

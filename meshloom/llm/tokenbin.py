@@ -176,6 +176,7 @@ def encode(docs: DataFrame, path: str, end_id: int, wide: bool, bounds: list[tup
                 ids = [np.frombuffer(x, "<u4").astype("<u2").tobytes() for x in ids]
             shard = [bisect.bisect_left(bounds, k) for k in zip(*(part.column(i).to_pylist() for i in range(4)), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), *part.columns[:4], pa.array(ids, pa.binary())], names=["shard", *ORDER, "ids"])
+        encoder.cache.clear()  # the worker may do other things next
 
     return _ordered(docs).mapInArrow(run, "shard int, known int, doc_id long, text_hash long, place_hash long, ids binary")
 

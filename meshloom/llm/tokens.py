@@ -10,7 +10,7 @@ from collections.abc import Iterable, Iterator
 #: The tokenizer in production; a parameter of every operator that encodes.
 WORD_BPE = "word_bpe_49k.json"
 #: Words that a worker remembers; beyond that it starts anew.
-CACHED_WORDS = 300_000
+CACHED_WORDS = 100_000
 #: Longer words are not remembered.
 LONG_WORD = 64
 #: Punctuation between a letter and white space is a piece of its own for the tokenizer.
@@ -65,7 +65,7 @@ class WordEncoder:
             cls._made[path] = cls(path)
         return cls._made[path]
 
-    def encode(self, texts: list[str], batch_chars: int = 4_000_000) -> Iterator[bytes]:
+    def encode(self, texts: list[str], batch_chars: int = 1_000_000) -> Iterator[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         start = 0
         while start < len(texts):
