@@ -1,4 +1,4 @@
-"""Queries of text formats over constants, and whole runs on generated solids."""
+"""Queries of text formats over lines from the tables, and whole runs on generated solids."""
 
 from __future__ import annotations
 
@@ -7,15 +7,19 @@ from pyspark.sql import functions as F
 
 from meshloom.operators import cases as C
 from meshloom.operators import generate as G
+from meshloom.plans.mesh import table
 from meshloom.plans.surfaces import box_surface
 from meshloom.sources import text as X
 
-SETTINGS = ["[Machine]", "Unit = mm", "BarrelDiameter = 65.5 # outer", "", "[Machine/Preprocessing]", "geometryStart = -31.3,-20,0", "; a comment", "HexMesher=Box", "[Process/Inflow_1]", "type = FLAT"]
-SUMMARY = ["COUNT histogram", "bin 0 : 12.5 %", "bin 1 : 50 %", "bin 2 : 37.5 %", "VOLUME histogram", "bin 0 = 0.25 %"]
+#: Lines of a settings file, one for each supplier, and of a summary, one for each part: expressions for Spark and SQL alike.
+SETTINGS = """CASE s_suppkey % 6 WHEN 0 THEN concat('[Group_', s_nationkey, ']') WHEN 1 THEN concat('Key_', s_suppkey, ' = ', s_nationkey, ' # a note')
+  WHEN 2 THEN '; nothing = here' WHEN 3 THEN '' WHEN 4 THEN concat('  MODE=Kind_', s_nationkey, ' and more ') ELSE 'plain words' END"""
+SUMMARY = """CASE p_partkey % 5 WHEN 0 THEN concat('bin ', p_partkey % 9, ' : ', p_size, '.5 %') WHEN 1 THEN concat(' bin ', p_partkey, ' = ', p_size, '%  of all')
+  WHEN 2 THEN 'COUNT histogram' WHEN 3 THEN concat('size: ', p_size) ELSE concat('share = ', p_size, '.25%') END"""
 
 
-def numbered(spark: SparkSession, rows: list[str]) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(rows)), "n long, value string")
+def lines_of(spark: SparkSession, sf_dir: str, name: str, key: str, value: str) -> DataFrame:
+    return table(spark, sf_dir, name).select(F.col(key).cast("long").alias("n"), F.expr(value).alias("value"))
 
 
 def min_gap_slab(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,8 +85,8 @@ def size_field(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "round_tube": round_tube,
     "size_field": size_field,
-    "ini_carry_section": lambda s, d: X.settings(numbered(s, SETTINGS)),
-    "parse_summary": lambda s, d: X.histogram_percents(numbered(s, SUMMARY)),
+    "ini_carry_section": lambda s, d: X.settings(lines_of(s, d, "supplier", "s_suppkey", SETTINGS)),
+    "parse_summary": lambda s, d: X.histogram_percents(lines_of(s, d, "part", "p_partkey", SUMMARY)),
     "cube_report": lambda s, d: C.report(*box_surface(s)),
     "min_gap_slab": min_gap_slab,
     "cleaned_cube": cleaned_cube,
@@ -90,10 +94,6 @@ QUERIES = {
 }
 
 
-def _values(rows: list[str]) -> str:
-    return "t(n, value) AS (VALUES " + ", ".join(f"({i}::BIGINT, '{x}')" for i, x in enumerate(rows)) + ")"
-
-
 _FIELD = ", ".join(f"embedding[{i + 1}]::DOUBLE * 4 AS {c}" for i, c in enumerate("xyz"))
 _CELL = ", ".join(f"least(2**d - 1, greatest(0, floor(({x} + 1) / (2.0 / 2**d)))) AS {i}" for x, i in zip("xyz", "ijk", strict=True))
 
@@ -108,8 +108,8 @@ SQL = {
       b AS (SELECT greatest(g, 2) AS g, (2**greatest(g, 2))::BIGINT AS n FROM full_)
       SELECT (least(n, greatest(0, ceil((x + 1) / (2.0 / n) - 0.5))) + (n + 1) * (least(n, greatest(0, ceil((y + 1) / (2.0 / n) - 0.5))) + (n + 1) * least(n, greatest(0, ceil((z + 1) / (2.0 / n) - 0.5)))))::BIGINT AS vid,
         max(greatest(0, ceil((greatest(depth, 2) - g) * ln(2) / ln(3))))::INTEGER AS level FROM q JOIN leaf USING (id), b GROUP BY 1""",
-    "ini_carry_section": f"""WITH {_values(SETTINGS)}, c AS (SELECT n, trim(regexp_replace(value, '[#;].*$', '')) AS line FROM t),
+    "ini_carry_section": f"""WITH t AS (SELECT s_suppkey::BIGINT AS n, {SETTINGS} AS value FROM supplier), c AS (SELECT n, trim(regexp_replace(value, '[#;].*$', '')) AS line FROM t),
       s AS (SELECT *, last_value(CASE WHEN line LIKE '[%' THEN lower(line[2:-2]) END IGNORE NULLS) OVER (ORDER BY n) AS section FROM c WHERE line <> '')
       SELECT n, section, lower(trim(split_part(line, '=', 1))) AS key, trim(substr(line, strpos(line, '=') + 1)) AS value FROM s WHERE line NOT LIKE '[%' AND line LIKE '%=%'""",
-    "parse_summary": f"WITH {_values(SUMMARY)} SELECT n, trim(regexp_extract(value, '^([^:=]*)[:=]', 1)) AS label, regexp_extract(value, '([0-9]+(\\.[0-9]+)?)\\s*%', 1)::DOUBLE AS pct FROM t WHERE value LIKE '%\\%%' ESCAPE '\\'",
+    "parse_summary": f"WITH t AS (SELECT p_partkey::BIGINT AS n, {SUMMARY} AS value FROM part) SELECT n, trim(regexp_extract(value, '^([^:=]*)[:=]', 1)) AS label, regexp_extract(value, '([0-9]+(\\.[0-9]+)?)\\s*%', 1)::DOUBLE AS pct FROM t WHERE value LIKE '%\\%%' ESCAPE '\\'",
 }
