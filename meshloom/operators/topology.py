@@ -176,3 +176,38 @@ def min_edge(nodes: DataFrame, cells: DataFrame) -> DataFrame:
     ends = cell_edges(cells).select("a", "b").distinct().join(at.toDF("a", "ax", "ay", "az"), "a").join(at.toDF("b", "bx", "by", "bz"), "b")
     length = F.sqrt(reduce(lambda p, q: p + q, [(F.col(f"a{c}") - F.col(f"b{c}")) * (F.col(f"a{c}") - F.col(f"b{c}")) for c in "xyz"]))
     return ends.select(length.alias("l")).where("l > 0").agg(F.min("l").alias("min_edge"))
+
+
+#: Half of the cells around one: each pair of neighbours once.
+HALF = [(i, j, k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1) if (i, j, k) > (0, 0, 0)]
+
+
+def merge_points(nodes: DataFrame, tolerance: float) -> DataFrame:
+    """(vid, into): the least id that nodes (vid, x, y, z) reach over steps of at most the tolerance in every coordinate.
+
+    Nodes lie in cells as wide as the tolerance, so those of a cell are one, and are joined to their least as a star. Only nodes of
+    neighbouring cells are compared. Nodes with a coordinate that is no finite number stay alone.
+    """
+    known = nodes.where(" AND ".join(f"abs({c}) < double('infinity')" for c in "xyz"))
+    # of equal points, one is compared
+    alike = known.groupBy("x", "y", "z").agg(F.min("vid").alias("first"))
+    placed = alike.select("first", "x", "y", "z", *[F.floor(F.col(c) / tolerance).alias(f"_{c}") for c in "xyz"])
+    placed = written(placed, "placed")
+    cell = ["_x", "_y", "_z"]
+    stars = placed.join(placed.groupBy(*cell).agg(F.min("first").alias("a")), cell).where("a <> first").select("a", F.col("first").alias("b"))
+    near = placed.select("first", "x", "y", "z", F.explode(F.array(*[F.struct(*[(F.col(f"_{c}") + d).alias(f"_{c}") for c, d in zip("xyz", step, strict=True)]) for step in HALF])).alias("c"))
+    near = near.select(F.col("first").alias("a"), *[F.col(c).alias(f"a_{c}") for c in "xyz"], "c._x", "c._y", "c._z")
+    close = F.greatest(*[F.abs(F.col(f"a_{c}") - F.col(c)) for c in "xyz"]) <= tolerance
+    links = stars.union(near.join(placed, cell).where(close).select("a", F.col("first").alias("b")))
+    found = components(placed.select(F.col("first").alias("id")), written(links, "links")).select(F.col("id").alias("first"), F.col("component").alias("into"))
+    merged = known.select("vid", "x", "y", "z").join(alike, ["x", "y", "z"]).join(found, "first").select("vid", "into")
+    return nodes.select("vid").join(merged, "vid", "left").select("vid", F.coalesce("into", "vid").alias("into"))
+
+
+def merge_mesh(nodes: DataFrame, cells: DataFrame, tolerance: float) -> tuple[DataFrame, DataFrame]:
+    """Nodes and cells (cid, kvert) with merged points, ids as they were; of merged points, the least id's place stays."""
+    merged = written(merge_points(nodes, tolerance), "merged")
+    kept = nodes.join(merged.where("vid = into").select("vid"), "vid", "left_semi")
+    at = cells.select("cid", F.posexplode("kvert").alias("k", "vid")).join(merged, "vid")
+    moved = at.groupBy("cid").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "into"))), lambda e: e["into"]).alias("kvert"))
+    return kept, cells.drop("kvert").join(moved, "cid")

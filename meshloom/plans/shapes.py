@@ -8,12 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meshloom.operators import polygons as G
+from meshloom.operators import topology as T
 from meshloom.plans.mesh import rounded, table
 from meshloom.plans.surfaces import component
 
 #: How far rectangles spread, and how large they are; rings to a middle, and how far middles are apart.
 SPREAD, LARGEST = 90, 40
 RINGS, APART = 6, 20.0
+#: Points are one within this; places are whole eighths, or a fourth of an eighth off, so no distance is near it by rounding.
+MERGED = 0.15
 
 
 def rectangles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,7 +42,14 @@ def union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return loops.agg(F.sum("area").alias("area"), F.sum("length").alias("length"), F.sum(F.signum("area")).cast("long").alias("outer_less_holes"))
 
 
+def merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(vid, into) of points from embeddings, among them equal ones, that lie within MERGED of each other."""
+    place = [F.floor(component(k) * 40) / 8 + F.when(F.col("vec_id") % 3 == 0, F.lit(0.03125)).otherwise(0.0) for k in range(3)]
+    return T.merge_points(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("vid"), *[p.alias(c) for p, c in zip(place, "xyz", strict=True)]), MERGED)
+
+
 QUERIES = {
+    "merged_points": merged,
     "polygon_union": lambda s, d: rounded(union(s, d), "area", "length"),
     "polygon_nesting": lambda s, d: G.nesting(rings(s, d)),
     "ring_areas": lambda s, d: rounded(G.areas(rings(s, d)), "area"),
@@ -54,6 +64,10 @@ t AS (SELECT id, place, rank, n, unnest(range(n)) AS k, pow(0.35::DOUBLE, rank)
 s AS (SELECT id, n, k, x + r * cos(turn + k * 2 * pi() / n) AS x, y + r * sin(turn + k * 2 * pi() / n) AS y FROM t)"""
 
 SQL = {
+    "merged_points": f"""WITH RECURSIVE p AS (SELECT vec_id AS id, {', '.join(f'floor(embedding[{i + 1}]::DOUBLE * 40) / 8 + CASE WHEN vec_id % 3 = 0 THEN 0.03125 ELSE 0 END AS {c}' for i, c in enumerate('xyz'))} FROM embeddings),
+      l AS (SELECT a.id AS a, b.id AS b FROM p a JOIN p b ON {' AND '.join(f'abs(a.{c} - b.{c}) <= {MERGED}' for c in 'xyz')}),
+      r(id, c) AS (SELECT id, id FROM p UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.id WHERE r.c < l.b)
+      SELECT id AS vid, min(c) AS "into" FROM r GROUP BY id""",
     # cells, sides and corners of whole-numbered squares: their alternating sum is parts less holes
     "polygon_union": f"WITH {_CELLS} SELECT (SELECT count(*) FROM c)::DOUBLE AS area, (SELECT count(*) FROM u WHERE n = 1)::DOUBLE AS length, (SELECT count(*) FROM v) - (SELECT count(*) FROM u) + (SELECT count(*) FROM c) AS outer_less_holes",
     "polygon_nesting": f"""WITH {_RINGS}, l AS (SELECT p.id, p.x AS px, p.y AS py, q.x AS qx, q.y AS qy FROM s p JOIN s q ON q.id = p.id AND q.k = (p.k + 1) % p.n),

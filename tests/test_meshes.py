@@ -262,3 +262,17 @@ def test_files_are_written_by_many_tasks_in_order(spark, tmp_path):
     ends = next(i for i, x in enumerate(text) if 'Name="offsets"' in x) + 1
     assert text[ends : ends + 3] == ["20", "40", "60"]
     assert (tmp_path / "b.txt").read_text() == "one\ntwo\nthree\n" and len(list(tmp_path.iterdir())) == 3  # no parts are left
+
+
+def test_points_within_a_tolerance_are_merged(spark):
+    """Two boxes that were cut from one by a hair, and a chain of near points."""
+    n, cells = (2, 2, 2), G.box_cells(spark, (2, 2, 2))
+    left = G.box_nodes(spark, (0, 0, 0), (2, 2, 2), n)
+    right = G.box_nodes(spark, (2 + 1e-9, 0, 0), (2, 2, 2), n).withColumn("vid", F.col("vid") + 100)
+    both = left.unionByName(right).select("vid", "x", "y", "z")
+    every = cells.unionByName(cells.select((F.col("cid") + 100).alias("cid"), F.transform("kvert", lambda v: v + 100).alias("kvert")))
+    nodes, merged = T.merge_mesh(both, every, 1e-6)
+    assert nodes.count() == 5 * 3 * 3 and T.component_sizes(merged).collect() == [(1, 16)]
+    chain = spark.createDataFrame([(i, 0.9 * i, 0.0, -0.0) for i in range(9)] + [(20, 50.0, 0.0, 0.0), (21, 50.0, 0.0, 0.0), (22, None, 0.0, 0.0), (23, math.nan, 0.0, 0.0)], "vid long, x double, y double, z double")
+    found = {r.vid: r.into for r in T.merge_points(chain, 1.0).collect()}
+    assert found == {**dict.fromkeys(range(9), 0), 20: 20, 21: 20, 22: 22, 23: 23}
