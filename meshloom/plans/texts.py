@@ -22,9 +22,24 @@ def lines_of(spark: SparkSession, sf_dir: str, name: str, key: str, value: str)
     return table(spark, sf_dir, name).select(F.col(key).cast("long").alias("n"), F.expr(value).alias("value"))
 
 
+def slab(spark: SparkSession, n: int) -> tuple[DataFrame, DataFrame]:
+    """A slab of 10 x 200 x 200, its wide sides of n x n squares."""
+    from meshloom.operators import topology as T
+
+    nodes, cells = G.box_nodes(spark, (-5, -100, -100), (10, 200, 200), (1, n, n)), G.box_cells(spark, (1, n, n))
+    quads = T.boundary_faces(cells).select(((F.col("cid") * 6 + F.col("lf")) * 2).alias("f"), "nodes", "lf")
+    v = [F.col("nodes")[k] for k in range(4)]
+
+    def half(i: int, a: int, b: int, c: int):
+        turned = F.when(F.col("lf") == 1, F.array(v[c], v[b], v[a])).otherwise(F.array(v[a], v[b], v[c]))  # the lower faces of cells run the other way
+        return F.struct((F.col("f") + i).alias("fid"), turned.alias("v"))
+
+    return nodes.select("vid", "x", "y", "z"), quads.select(F.inline(F.array(half(0, 0, 1, 2), half(1, 0, 2, 3))))
+
+
 def min_gap_slab(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A slab of 10 x 200 x 200: its smallest gap is its thickness."""
-    found, _ = C.find_min_gap(*box_surface(spark, (10.0, 200.0, 200.0)))
+    """The smallest gap of a slab, its thickness; its squares follow the number of regions."""
+    found, _ = C.find_min_gap(*slab(spark, 2 * table(spark, sf_dir, "region").count()))
     return spark.createDataFrame([(found.face, round(found.raw, 6), round(found.adjusted, 6), found.min_bin, found.max_bin, found.span, round(found.coarse, 6))], "face long, raw double, adjusted double, min_bin int, max_bin int, span int, coarse double")
 
 

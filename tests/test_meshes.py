@@ -27,7 +27,8 @@ def test_resolutions():
         G.box_resolution((1, 1, 1))
 
 
-def test_hybrid_golden(spark):
+def test_hybrid_golden(spark, monkeypatch):
+    monkeypatch.setattr(M, "layers", lambda *_: 39)
     by = {r["level"]: r for r in M.hybrid_nodes(spark, "").collect()}
     assert sum(r["n"] for r in by.values()) == 11787
     assert [by[k]["first_vid"] for k in (0, 10, 11, 24, 39)] == [1, 3211, 3211 + 321, 6652, 11467]
@@ -151,8 +152,16 @@ def test_kernels():
 
 
 def test_slab_gap(spark):
-    found, faces = C.find_min_gap(*box_surface(spark, (10.0, 200.0, 200.0)))
-    assert abs(found.raw - 10) < 0.1 and found.span == 1 and abs(found.coarse - 45.0) < 1e-6
+    from meshloom.plans.texts import slab
+
+    # twelve triangles: the spheres of the wide sides span the slab
+    rows = {r.fid: r.diameter for r in P.inscribed(S.corners(*box_surface(spark, (10.0, 200.0, 200.0)))).collect()}
+    assert all(abs(rows[k] - 10) < 0.1 for k in (8, 9, 10, 11)) and all(6.6 < rows[k] < 6.7 for k in range(8))
+    # squares far from the rim have no way round to the other side, so they are the gap
+    sv, sf = slab(spark, 10)
+    assert S.orientation(S.corners(sv, sf)).first()["volume"] > 0
+    found, _ = C.find_min_gap(sv, sf)
+    assert abs(found.raw - 10) < 0.1 and abs(found.coarse - found.adjusted * 1.5 * 3.0**found.span) < 1e-6
     assert C.corrected(9.0, 3, 0.5) == (3.0, 2) and C.corrected(9.0, 3, 5.0) is None
     assert C.valid_for_queries(*box_surface(spark)) is None
 
