@@ -45,7 +45,8 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-#: SQL cannot express the scores of language ID, the order of the mix's copies or the packing; tests hold them against brute force.
+#: SQL cannot express the scores of language ID, the order of the mix's copies or the packing. Stages are tested by operator: the rows of
+#: quality rules and near duplicates against the verdicts of their queries, whose SQL compares all pairs, the others against brute force.
 ORACLE_SQL = None
 
 
