@@ -32,11 +32,18 @@ def areas(rings: DataFrame) -> DataFrame:
 
 
 def _slabs(points: DataFrame, lines: DataFrame) -> DataFrame:
-    """Points (l_x, l_y, ..) with the sides (r_px, r_py, r_qx, r_qy, ..) above, below or through them, ends and upright sides included."""
+    """Points (l_x, l_y, ..) with the sides (r_px, r_py, r_qx, r_qy, ..) above, below or through them, ends and upright sides included.
+
+    Sides may have lo_y and hi_y: the heights of points that they matter to.
+    """
     flat = {f"{s}_{c}": F.lit(0.0) for s in ("lo", "hi") for c in "yz"}
+    placed = flat
+    if "lo_y" in lines.columns:
+        flat = {"lo_z": F.lit(0.0), "hi_z": F.lit(0.0)}
+        placed = flat | {"lo_y": F.col("y"), "hi_y": F.col("y")}
     lines = lines.withColumns({"lo_x": F.least("px", "qx"), "hi_x": F.greatest("px", "qx"), **flat})
-    unit = lines.agg(F.avg(F.col("hi_x") - F.col("lo_x"))).first()[0] or 1.0
-    return level_join(points.withColumns({"lo_x": F.col("x"), "hi_x": F.col("x"), **flat}), lines, unit).where("r_lo_x <= l_x AND l_x <= r_hi_x")
+    unit = lines.agg(F.avg(F.greatest(F.col("hi_x") - F.col("lo_x"), F.col("hi_y") - F.col("lo_y")))).first()[0] or 1.0
+    return level_join(points.withColumns({"lo_x": F.col("x"), "hi_x": F.col("x"), **placed}), lines, unit).where("r_lo_x <= l_x AND l_x <= r_hi_x")
 
 
 #: Of two sides that meet over a point, one counts; upright ones never do.
@@ -56,7 +63,10 @@ def nesting(rings: DataFrame) -> DataFrame:
     """
     size = written(areas(rings), "areas")
     points = rings.select(F.col("id"), F.posexplode("p").alias("k", "q")).select("id", "k", F.col("q.x").alias("x"), F.col("q.y").alias("y"))
-    met = _slabs(points, sides(rings)).where("l_id <> r_id").withColumn("up", _height())
+    # a point below a ring is not within, so a side matters from its ring's lowest point up to itself
+    reach = rings.select("id", (F.array_min(F.transform("p", lambda q: q["y"])) - 2 * NEAR).alias("lo_y"))
+    lines = sides(rings).join(reach, "id").withColumn("hi_y", F.greatest("py", "qy") + 2 * NEAR)
+    met = _slabs(points, lines).where("l_id <> r_id").withColumn("up", _height())
     # a point on a side is within, so that equal rings and ones that touch are told by their sizes
     on = F.when(F.col("up").isNull(), F.col("l_y").between(F.least("r_py", "r_qy") - NEAR, F.greatest("r_py", "r_qy") + NEAR)).otherwise(F.abs("up") <= NEAR)
     told = met.groupBy("l_id", "l_k", "r_id").agg(F.count_if(F.expr(COUNTS) & (F.col("up") > NEAR)).alias("above"), F.max(on).alias("touches"))

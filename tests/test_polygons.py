@@ -70,3 +70,19 @@ def test_nesting(spark):
     assert G.nesting(none).count() == 0 and G.union(none).count() == 0
     assert [tuple(r) for r in G.areas(frame(spark, rings[:2])).orderBy("id").collect()] == [(1, 100.0, 4), (2, -64.0, 4)]
     assert frame(spark, rings).where(F.size("p") == 3).count() == 1
+
+
+def test_points_meet_only_sides_of_rings_that_reach_them(spark, monkeypatch):
+    """Rings in one column: each meets itself and what is around it, however many lie above and below."""
+    met, slabs = [], G._slabs
+
+    def counted(points, lines):
+        out = slabs(points, lines)
+        met.append(out.count())
+        return out
+
+    monkeypatch.setattr(G, "_slabs", counted)
+    rings = [(2 * k + s, rectangle(s, 10 * k + s, 4 - 2 * s, 4 - 2 * s)) for k in range(40) for s in (0, 1)]
+    found = {r.id: (r.parent, r.depth) for r in G.nesting(frame(spark, rings)).collect()}
+    assert found == {2 * k + s: ((None, 0), (2 * k, 1))[s] for k in range(40) for s in (0, 1)}
+    assert met[0] <= 80 * 4 * 8
