@@ -95,27 +95,48 @@ def _crossings(lines: DataFrame) -> DataFrame:
     return found.select(F.explode(F.array("l_line", "r_line")).alias("line"), "at.x", "at.y")
 
 
+def _stretches(lines: DataFrame) -> DataFrame:
+    """(px, py, qx, qy, n): sides from left to right, or upwards, each once; n is how many more run back than that way.
+
+    Level and upright ones are cut where others on the same straight line end, by running sums, so that equal stretches are one.
+    """
+    low, high = (f(F.struct(F.col("px").alias("x"), F.col("py").alias("y")), F.struct(F.col("qx").alias("x"), F.col("qy").alias("y"))) for f in (F.least, F.greatest))
+    back = F.when((F.col("px") < F.col("qx")) | (F.col("px") == F.col("qx")) & (F.col("py") < F.col("qy")), -1).otherwise(1)
+    once = lines.select(low.alias("p"), high.alias("q"), back.alias("n")).select("p.x", "p.y", F.col("q.x").alias("u"), F.col("q.y").alias("v"), "n").groupBy("x", "y", "u", "v").agg(F.sum("n").alias("n"))
+    upright = F.col("x") == F.col("u")
+    slanted = once.where("x <> u AND y <> v").select(F.col("x").alias("px"), F.col("y").alias("py"), F.col("u").alias("qx"), F.col("v").alias("qy"), "n")
+    ends = F.array(*[F.struct(F.when(upright, F.col(b)).otherwise(F.col(a)).alias("at"), (F.col("n") * s).alias("n"), F.lit(s).alias("here")) for a, b, s in (("x", "y", 1), ("u", "v", -1))])
+    straight = once.where("x = u OR y = v").select(upright.alias("upright"), F.when(upright, F.col("x")).otherwise(F.col("y")).alias("place"), F.inline(ends))
+    # ends that are rounded to one point are one
+    steps = straight.groupBy("upright", "place", F.round("at", PLACES).alias("near")).agg(F.min("at").alias("at"), F.sum("n").alias("n"), F.sum("here").alias("here"))
+    along = Window.partitionBy("upright", "place").orderBy("near")
+    so_far = along.rowsBetween(Window.unboundedPreceding, 0)
+    cut = steps.select("upright", "place", "at", F.lead("at").over(along).alias("to"), F.sum("n").over(so_far).alias("n"), F.sum("here").over(so_far).alias("here")).where("here > 0")
+    of = lambda x, y: F.when(F.col("upright"), F.col(x)).otherwise(F.col(y))
+    return slanted.union(cut.select(of("place", "at"), of("at", "place"), of("place", "to"), of("to", "place"), "n"))
+
+
 def union(rings: DataFrame) -> DataFrame:
     """(loop, px, py, qx, qy): the boundary of what rings cover together, with the inside on the left: outer loops run counter-clockwise.
 
-    Sides are cut where they meet. Each piece, once, is told how many polygons lie above it, by the sides over its middle, and below
+    Equal sides, and equal stretches of level and upright ones, are counted and taken once. Sides are cut where they meet. Each piece, once, is told how many polygons lie above it, by the sides over its middle, and below
     it, by those that run along it; pieces that have the covered on one side only are the boundary. Each goes on with the piece that
     turns right the most, so that parts which touch in a point are one; loops are the components of that.
     """
-    lines = written(sides(rings).withColumn("line", F.monotonically_increasing_id()), "sides")
+    lines = written(_stretches(sides(rings)).withColumn("line", F.monotonically_increasing_id()), "sides")
     near = lambda c: F.round(c, PLACES) + F.lit(0.0)
     ends = lines.select("line", F.inline(F.array(*[F.struct(F.col(f"{e}x").alias("x"), F.col(f"{e}y").alias("y")) for e in "pq"])))
     # a shared stretch's ends count only within the side
-    at = lines.select("line", *[F.col(k) for k in ("px", "py", "qx", "qy")]).join(ends.union(_crossings(lines)), "line")
+    at = lines.select("line", "n", *[F.col(k) for k in ("px", "py", "qx", "qy")]).join(ends.union(_crossings(lines)), "line")
     dx, dy = F.col("qx") - F.col("px"), F.col("qy") - F.col("py")
     at = at.withColumn("t", ((F.col("x") - F.col("px")) * dx + (F.col("y") - F.col("py")) * dy) / (dx * dx + dy * dy)).where((F.col("t") >= -NEAR) & (F.col("t") <= 1 + NEAR))
-    points = at.select("line", near("x").alias("x"), near("y").alias("y"), "t").groupBy("line", "x", "y").agg(F.min("t").alias("t"))
+    points = at.select("line", "n", near("x").alias("x"), near("y").alias("y"), "t").groupBy("line", "n", "x", "y").agg(F.min("t").alias("t"))
     along = Window.partitionBy("line").orderBy("t", "x", "y")
-    cut = points.select("x", "y", F.lead("x").over(along).alias("u"), F.lead("y").over(along).alias("v")).where("u IS NOT NULL")
+    cut = points.select("n", "x", "y", F.lead("x").over(along).alias("u"), F.lead("y").over(along).alias("v")).where("u IS NOT NULL")
     # from left to right, or upwards; one that runs the other way has its inside below
     low, high = F.least(F.struct("x", "y"), F.struct(F.col("u").alias("x"), F.col("v").alias("y"))), F.greatest(F.struct("x", "y"), F.struct(F.col("u").alias("x"), F.col("v").alias("y")))
     back = F.when(low["x"] == F.col("x"), F.when(low["y"] == F.col("y"), -1).otherwise(1)).otherwise(1)
-    pieces = cut.select(low.alias("a"), high.alias("b"), back.alias("way")).groupBy("a", "b").agg(F.sum("way").alias("here"))
+    pieces = cut.select(low.alias("a"), high.alias("b"), (-back * F.col("n")).alias("way")).groupBy("a", "b").agg(F.sum("way").alias("here"))
     pieces = written(pieces.select(F.monotonically_increasing_id().alias("piece"), F.col("a.x").alias("ax"), F.col("a.y").alias("ay"), F.col("b.x").alias("bx"), F.col("b.y").alias("by"), "here"), "pieces")
     over = None
     for upright in (False, True):
@@ -123,8 +144,8 @@ def union(rings: DataFrame) -> DataFrame:
         # upright pieces are seen from their side: (x, y) becomes (y, -x), and what is to the left is above
         mx, my = (F.col("ax") + F.col("bx")) / 2, (F.col("ay") + F.col("by")) / 2
         spots = own.select("piece", (my if upright else mx).alias("x"), (-mx if upright else my).alias("y"))
-        turned = lines.select(F.col("py").alias("px"), (-F.col("px")).alias("py"), F.col("qy").alias("qx"), (-F.col("qx")).alias("qy")) if upright else lines.select("px", "py", "qx", "qy")
-        above = _slabs(spots, turned).where(COUNTS).where(_height() > NEAR).groupBy(F.col("l_piece").alias("piece")).agg(F.sum(F.when(F.col("r_qx") < F.col("r_px"), 1).otherwise(-1)).alias("over"))
+        turned = lines.select(F.col("py").alias("px"), (-F.col("px")).alias("py"), F.col("qy").alias("qx"), (-F.col("qx")).alias("qy"), "n") if upright else lines.select("px", "py", "qx", "qy", "n")
+        above = _slabs(spots, turned).where(COUNTS).where(_height() > NEAR).groupBy(F.col("l_piece").alias("piece")).agg(F.sum(F.when(F.col("r_qx") < F.col("r_px"), -F.col("r_n")).otherwise(F.col("r_n"))).alias("over"))
         over = above if over is None else over.union(above)
     known = pieces.join(over, "piece", "left").withColumn("over", F.coalesce("over", F.lit(0)))
     upper, lower = F.col("over") > 0, F.col("over") + F.col("here") > 0

@@ -86,3 +86,22 @@ def test_points_meet_only_sides_of_rings_that_reach_them(spark, monkeypatch):
     found = {r.id: (r.parent, r.depth) for r in G.nesting(frame(spark, rings)).collect()}
     assert found == {2 * k + s: ((None, 0), (2 * k, 1))[s] for k in range(40) for s in (0, 1)}
     assert met[0] <= 80 * 4 * 8
+
+
+def test_union_takes_equal_and_overlapping_stretches_once(spark, monkeypatch):
+    """Rectangles on a few places: what is crossed is bounded by the places, however many rectangles lie there."""
+    crossed, crossings = [], G._crossings
+
+    def counted(lines):
+        crossed.append(lines.count())
+        return crossings(lines)
+
+    monkeypatch.setattr(G, "_crossings", counted)
+    rng = random.Random(3)
+    rings = [(i, rectangle(rng.randint(0, 5) / 4, rng.randint(0, 5) / 4, rng.randint(1, 3) / 4, rng.randint(1, 3) / 4)) for i in range(300)]
+    assert loops(spark, rings) == [4.0]
+    assert crossed[0] <= 2 * 9 * 8
+    # twice a frame with a hole, of which slanted sides and a part are covered once more
+    hole = [(0, 0), (9, 0), (9, 9), (0, 9)], [(1, 1), (1, 8), (8, 8), (8, 1)]
+    rings = [(i, p) for i in range(2) for p in hole] + [(i, [(4, 4), (5, 4), (4, 6)]) for i in (2, 3)]
+    assert loops(spark, rings) == [-49.0, 1.0, 81.0]
