@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meshloom.llm.common import slices
-from meshloom.llm.tokens import default_path
+from meshloom.llm.tokens import byte_letters, default_path
 
 END_OF_WORD = "</w>"
 #: Bytes of text whose words take their steps together.
@@ -33,13 +33,6 @@ CHUNK = 8 << 20
 LAST_WORDS = 8
 
 
-def byte_letters() -> dict[str, int]:
-    """The letters that byte-level vocabularies write bytes as: printable ones as themselves, the others from 256 on."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in plain]
-    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
-
-
 def load_marked(path: str | None = None) -> tuple[list[bytes], list[bytes] | None]:
     """The pieces of a byte-level vocabulary file: those without the mark of word ends, and those with it (None if none has it)."""
     with open(path or default_path(), encoding="utf-8") as f:

@@ -10,7 +10,7 @@ from collections.abc import Iterable, Iterator
 #: The tokenizer in production; a parameter of every operator that encodes.
 WORD_BPE = "word_bpe_49k.json"
 #: Words that a worker remembers; beyond that it starts anew.
-CACHED_WORDS = 100_000
+CACHED_WORDS = 250_000
 #: Longer words are not remembered.
 LONG_WORD = 64
 #: Punctuation between a letter and white space is a piece of its own for the tokenizer.
@@ -18,6 +18,8 @@ STOP = re.compile("(?<=[A-Za-zÀ-ÖØ-öø-ÿ])([!-&(-/:-@\\[-`{-~]+)(?=[\\x20\\
 #: What str.split takes for white space and the tokenizer doesn't.
 ODD = re.compile("[\\x1c-\\x1f]")
 SPLIT = re.compile(r"[^\x20\x09-\x0D]+")
+#: A word of these letters is one piece, which no normalizer changes.
+LETTERS = re.compile("[a-zß-öø-ÿ]+")
 #: A text with this may hold a special token, which must be found as it stands.
 SPECIAL = "<|"
 
@@ -28,6 +30,13 @@ def default_path() -> str:
     return public_tokenizers.path(WORD_BPE)
 
 
+def byte_letters() -> dict[str, int]:
+    """The letters that byte-level vocabularies write bytes as: printable ones as themselves, the others from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
+
+
 def split_words(text: str) -> list[str]:
     """Parts of a text whose ids in turn are the text's."""
     if SPECIAL in text:
@@ -57,6 +66,8 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.cache: dict[str, bytes] = {}
+        letters = {b: x for x, b in byte_letters().items()}
+        self.spelt = {x: "".join(letters[b] for b in chr(x).encode()) for x in range(0xDF, 0x100)}  # as the model is given them
 
     @classmethod
     def of(cls, path: str) -> WordEncoder:
@@ -80,13 +91,13 @@ class WordEncoder:
         words = [split_words(x) for x in texts]
         if len(self.cache) > CACHED_WORDS:
             self.cache.clear()
-        new = list(set().union(*words).difference(self.cache))
+        new, plain, tokenize = list(set().union(*words).difference(self.cache)), LETTERS.fullmatch, self.model.tokenize
         for i in range(0, len(new), 20_000):
             part = new[i : i + 20_000]
             rest = []
             for word in part:
-                if word.isascii() and word.isalpha() and word.islower():  # one piece, which no normalizer changes
-                    self.cache[word] = array("I", [x.id for x in self.model.tokenize(word)]).tobytes()
+                if plain(word):
+                    self.cache[word] = array("I", [x.id for x in tokenize(word if word.isascii() else word.translate(self.spelt))]).tobytes()
                 else:
                     rest.append(word)
             for word, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):

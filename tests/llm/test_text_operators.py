@@ -24,6 +24,24 @@ def test_word_by_word_encoding_is_whole_text_encoding():
     assert WordEncoder.of(default_path()).check(["".join(rng.choices(letters, k=rng.randint(0, 40))) for _ in range(4000)])
 
 
+def test_words_of_latin_letters_are_encoded_by_the_model_alone():
+    encoder, sent = WordEncoder(default_path()), []
+    rng, letters = random.Random(9), "abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ"
+    texts = ["".join(rng.choices(letters, k=rng.randint(1, 12))) for _ in range(3000)] + list(letters)
+    assert encoder.check([*texts, " ".join(texts), "ÀÉ ªº µ e\u0301 ÷ é÷é l'été d'ÿ"])
+    tokenizer = encoder.tokenizer
+
+    class Counted:
+        def encode_batch_fast(self, words, **more):
+            sent.extend(words)
+            return tokenizer.encode_batch_fast(words, **more)
+
+    encoder.tokenizer = Counted()
+    encoder.cache.clear()
+    list(encoder.encode(texts))
+    assert not sent
+
+
 def test_language_on_held_out_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = langid.op1(docs).join(docs.select("doc_id", "lang"), "doc_id").collect()
