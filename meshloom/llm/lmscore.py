@@ -50,6 +50,8 @@ HOT_WORDS = 1 << 18
 LONG_WORD = 48
 #: Bytes of text that are looked at together; longer texts are cut between words.
 PART = 2 << 20
+#: Bits of a text's place in a part beside a gram: a part is made of one slice's rows, of which there are 1000 at most.
+TEXT_BITS = 63 - 8 * (ORDER + 1)
 #: Different grams or words that a task gathers before it passes them on.
 GATHERED = 1 << 20
 #: Bits of a context in the trie's key; its order stands above.
@@ -115,23 +117,32 @@ def _grams(part: list[Text]) -> tuple[np.ndarray, np.ndarray]:
     return grams[np.arange(len(own)) + own * ORDER], own
 
 
+def _tally(keys: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The different keys in order, and how often each is there, or the sum of its n."""
+    if n is None:
+        keys = np.sort(keys)
+    else:
+        order = np.argsort(keys, kind="stable")  # sorted runs are merged
+        keys, n = keys[order], n[order]
+    start = np.flatnonzero(np.concatenate([np.ones(min(len(keys), 1), bool), keys[1:] != keys[:-1]]))
+    return keys[start], np.diff(start, append=len(keys)) if n is None else np.add.reduceat(n, start) if len(start) else n
+
+
 class Gathered:
-    """Counts of keys, in training and in all, merged when there are many."""
+    """Counts of grams, in training and in all, merged when there are many; a gram's lowest bit tells the two apart meanwhile."""
 
     def __init__(self) -> None:
-        self.found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.found: list[tuple[np.ndarray, np.ndarray]] = []
 
-    def add(self, keys: pa.DictionaryArray, train: np.ndarray) -> None:
-        at, n = keys.indices.to_numpy(), len(keys.dictionary)
-        self.found.append((keys.dictionary.to_numpy(), np.bincount(at[train], minlength=n), np.bincount(at, minlength=n)))
+    def add(self, grams: np.ndarray, train: np.ndarray) -> None:
+        self.found.append(_tally(grams << 1 | train))
 
     def take(self, all_of_it: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        if self.found and (all_of_it or sum(len(x) for x, _, _ in self.found) > 2 * GATHERED):
-            keys, at = np.unique(np.concatenate([x for x, _, _ in self.found]), return_inverse=True)
-            sums = [np.bincount(at, np.concatenate([x[k] for x in self.found]), len(keys)).astype(np.int64) for k in (1, 2)]
-            self.found = [(keys, *sums)]
-            if all_of_it or len(keys) > GATHERED:
-                yield self.found.pop()
+        if self.found and (all_of_it or sum(len(x) for x, _ in self.found) > 2 * GATHERED):
+            self.found = [_tally(*[np.concatenate(x) for x in zip(*self.found, strict=True)])]
+            if all_of_it or len(self.found[0][0]) > GATHERED:
+                keys, n = self.found.pop()
+                yield _tally(keys >> 1)[0], _tally(keys >> 1, np.where(keys & 1, n, 0))[1], _tally(keys >> 1, n)[1]
 
 
 def count(docs: DataFrame, train: Column) -> DataFrame:
@@ -155,7 +166,7 @@ def count(docs: DataFrame, train: Column) -> DataFrame:
             for part in _parts(batch.column(1).cast(pa.binary()).to_pylist()):
                 flag = np.array([own[x.row] for x in part])
                 codes, text = _grams(part)
-                grams.add(pa.array(codes).dictionary_encode(), flag[text])
+                grams.add(codes, flag[text])
                 for x in part:
                     words[own[x.row]].update(x.words)
                     if x.ends:
@@ -244,14 +255,13 @@ def score_texts(docs: DataFrame, train: Column) -> DataFrame:
             for part in _parts(batch.column(1).cast(pa.binary()).to_pylist()):
                 size = len(part)
                 codes, text = _grams(part)
-                keys = pa.array(codes).dictionary_encode()
-                at, there = lookup.find(keys.dictionary.to_numpy())
-                value = np.where(there, bits[at] if len(bits) else 0.0, 0.0)
-                index = keys.indices.to_numpy()
-                sums = np.bincount(text, value[index], size)
-                rare = np.flatnonzero(~there[index])
-                some, n = np.unique(text[rare] * len(keys.dictionary) + index[rare], return_counts=True)
-                owner, code = some // len(keys.dictionary), keys.dictionary.to_numpy()[some % len(keys.dictionary)]
+                some, n = _tally(codes << TEXT_BITS | text)
+                code, owner = some >> TEXT_BITS, some & ((1 << TEXT_BITS) - 1)
+                at, there = lookup.find(code)  # in order, so that neighbours are looked up together
+                sums = np.bincount(owner, np.where(there, bits[at] if len(bits) else 0.0, 0.0) * n, size)
+                rare = np.flatnonzero(~there)
+                rare = rare[np.argsort(owner[rare], kind="stable")]
+                code, owner, n = code[rare], owner[rare], n[rare]
                 tokens = [x.words + [END] if x.ends else x.words for x in part]
                 lengths = np.array([len(x) for x in tokens])
                 flat = [w for x in tokens for w in x]

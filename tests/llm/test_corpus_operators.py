@@ -239,3 +239,21 @@ def test_base_scores_by_sql(spark):
     found = {r.doc_id: (r.n_tokens, r.n_known, r.train_tokens, r.base_score) for r in lmscore.op11(spark.read.parquet(f"{DATA}/documents.parquet")).collect()}
     assert found.keys() == wanted.keys()
     assert all(found[k][:3] == wanted[k][:3] and math.isclose(found[k][3], wanted[k][3], rel_tol=1e-9) for k in found)
+
+
+def test_grams_are_gathered_by_sorting(monkeypatch):
+    """Counts in training and in all, over parts that are merged and passed on; no hash table of grams is made."""
+    rng, gathered = np.random.default_rng(5), lmscore.Gathered()
+    monkeypatch.setattr(lmscore, "GATHERED", 50)
+    wanted, found = (Counter(), Counter()), (Counter(), Counter())
+    for part in range(12):
+        grams, train = rng.integers(0, 40 + 10 * part, 200) * (1 << 40) + 7, rng.random(200) < 0.5
+        wanted[0].update(grams[train].tolist())
+        wanted[1].update(grams.tolist())
+        gathered.add(grams, train)
+        for keys, n, n_all in gathered.take(part == 11):
+            assert (np.diff(keys) > 0).all()
+            found[0].update(dict(zip(keys.tolist(), n.tolist(), strict=True)))
+            found[1].update(dict(zip(keys.tolist(), n_all.tolist(), strict=True)))
+    assert +found[0] == wanted[0] and found[1] == wanted[1] and not gathered.found
+    assert [x.tolist() for x in lmscore._tally(np.array([], np.int64))] == [[], []]
