@@ -19,8 +19,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Short documents are too few words to judge by, so only their repetitions count."""
-    return quality.judge_rows(docs, least_words=1)
+    """Short documents are too few words to judge by, so only their repetitions count. Common words are counted over all documents."""
+    return quality.judge_rows(docs, least_words=1, sample_docs=None)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,6 +9,7 @@ from array import array
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from meshloom.llm import langid, quality, sharding, tokenbin, tokencount
 from meshloom.llm.common import fresh_dir
@@ -283,6 +284,20 @@ def test_quality_drops_junk_and_keeps_prose(spark):
     assert kept.columns == docs.columns and kept.count() == sum(r.kept for r in rows)
 
 
+def test_pipeline_takes_common_words_from_all_documents(spark, monkeypatch):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    seen, common = [], quality.common_words
+    monkeypatch.setattr(quality, "common_words", lambda *a: seen.append(common(*a)) or seen[-1])
+    rng = random.Random(8)
+    texts = [" ".join(rng.choices([f"w{chr(97 + x)}" for x in range(26)], range(1, 27), k=30)) for _ in range(600)]
+    docs = spark.createDataFrame([(i, "X" if i % 3 else "Y", x) for i, x in enumerate(texts)], "doc_id long, lang string, text string")
+    counts = {s: Counter(w for i, x in enumerate(texts) if ("X" if i % 3 else "Y") == s for w in x.split()) for s in "XY"}
+    wanted = {s: sorted(c, key=lambda w: (-c[w], w))[: quality.TOP_WORDS] for s, c in counts.items()}
+    monkeypatch.setattr(quality, "SAMPLE_DOCS", 2)
+    corpus_pipeline.quality_rules(spark, docs, DATA)
+    assert seen == [wanted] and quality.common_words(docs, 2) != wanted
+
+
 def test_shards_fit_their_limit(spark):
     rng = random.Random(4)
     docs = [(i // 2, "x" * rng.randint(0, 400)) for i in range(400)] + [(7, f"hot {i}" * 5) for i in range(200)]
