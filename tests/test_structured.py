@@ -99,3 +99,9 @@ def test_the_general_operators_are_not_asked(spark, monkeypatch, name):
     for operator in ("faces", "span", "corners_of", "cell_edges", "dense_ids"):
         monkeypatch.setattr(T, operator, refuse)
     assert catalog.queries()[name](spark, DATA).count() > 0
+
+
+def test_tasks_of_axis_mesh_edges_have_bounded_rows(spark):
+    n = (3000, 5, 3000)
+    rows = 2 * 3000 * 6 * 3001 + 3001 * 5 * 3001
+    assert G.axis_mesh(spark, n, "edge").rdd.getNumPartitions() * G.TASK_ROWS >= rows
