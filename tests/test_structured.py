@@ -105,3 +105,9 @@ def test_tasks_of_axis_mesh_edges_have_bounded_rows(spark):
     n = (3000, 5, 3000)
     rows = 2 * 3000 * 6 * 3001 + 3001 * 5 * 3001
     assert G.axis_mesh(spark, n, "edge").rdd.getNumPartitions() * G.TASK_ROWS >= rows
+
+
+def test_tasks_of_axis_mesh_faces_have_bounded_rows(spark):
+    n = (3000, 5, 3000)
+    rows = 2 * 3000 * 5 * 3001 + 3000 * 6 * 3000
+    assert G.axis_mesh(spark, n, "face").rdd.getNumPartitions() * G.TASK_ROWS >= rows
