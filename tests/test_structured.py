@@ -111,3 +111,9 @@ def test_tasks_of_axis_mesh_faces_have_bounded_rows(spark):
     n = (3000, 5, 3000)
     rows = 2 * 3000 * 5 * 3001 + 3000 * 6 * 3000
     assert G.axis_mesh(spark, n, "face").rdd.getNumPartitions() * G.TASK_ROWS >= rows
+
+
+def test_tasks_over_cells_have_bounded_rows(spark):
+    n = (3000, 5, 3000)
+    for cells in (G.box_cells(spark, n), X.span(G.box_cells(spark, n).select("cid"), n), X.adjacency(spark, n), X.edge_table(spark, n)):
+        assert cells.rdd.getNumPartitions() * G.TASK_ROWS >= math.prod(n)
