@@ -117,3 +117,8 @@ def test_tasks_over_cells_have_bounded_rows(spark):
     n = (3000, 5, 3000)
     for cells in (G.box_cells(spark, n), X.span(G.box_cells(spark, n).select("cid"), n), X.adjacency(spark, n), X.edge_table(spark, n)):
         assert cells.rdd.getNumPartitions() * G.TASK_ROWS >= math.prod(n)
+
+
+def test_tasks_of_box_nodes_have_bounded_rows(spark):
+    n = (3000, 5, 3000)
+    assert G.box_nodes(spark, START, LENGTHS, n).rdd.getNumPartitions() * G.TASK_ROWS >= 3001 * 6 * 3001
