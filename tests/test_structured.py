@@ -1,5 +1,6 @@
 """Box topology from row numbers against the operators for any mesh, and without shuffles of cells."""
 
+import itertools
 import math
 
 import pytest
@@ -122,3 +123,33 @@ def test_tasks_over_cells_have_bounded_rows(spark):
 def test_tasks_of_box_nodes_have_bounded_rows(spark):
     n = (3000, 5, 3000)
     assert G.box_nodes(spark, START, LENGTHS, n).rdd.getNumPartitions() * G.TASK_ROWS >= 3001 * 6 * 3001
+
+
+def tensor_grid(n, kind):
+    """(id, axis, nodes) of edges or faces of a tensor grid, one by one."""
+    steps = [1, n[0] + 1, (n[0] + 1) * (n[1] + 1)]
+    out = []
+    for axis, along in enumerate([(0,), (1,), (2,)] if kind == "edge" else [(0, 1), (0, 2), (1, 2)]):
+        size = [n[d] + (d not in along) for d in range(3)]
+        for k, j, i in itertools.product(*map(range, reversed(size))):
+            corners = [i * steps[0] + j * steps[1] + k * steps[2]]
+            for d in along:
+                corners += [c + steps[d] for c in corners]
+            out.append((len(out), axis, *corners))
+    return out
+
+
+@pytest.mark.parametrize("n", [*SIZES, (31, 2, 1), (32, 1, 2), (70, 3, 2), (3, 0, 2), (0, 0, 0)])
+@pytest.mark.parametrize("kind", ["edge", "face"])
+def test_axis_mesh_has_every_edge_and_face_once(spark, n, kind):
+    found = G.axis_mesh(spark, n, kind)
+    assert sorted(tuple(r) for r in found.collect()) == tensor_grid(n, kind)
+    assert [t for _, t in found.dtypes] == ["bigint", "int", *["bigint"] * (len(found.columns) - 2)]
+
+
+@pytest.mark.parametrize(("kind", "most"), [("face", 14), ("edge", 10)])
+def test_rows_of_axis_mesh_take_little_space_when_written(spark, tmp_path, kind, most):
+    out = str(tmp_path / kind)
+    G.axis_mesh(spark, (500, 5, 500), kind).coalesce(1).write.parquet(out)
+    written = sum(f.stat().st_size for f in (tmp_path / kind).glob("*.parquet"))
+    assert written <= most * spark.read.parquet(out).count()
