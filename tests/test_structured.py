@@ -153,3 +153,20 @@ def test_rows_of_axis_mesh_take_little_space_when_written(spark, tmp_path, kind,
     G.axis_mesh(spark, (500, 5, 500), kind).coalesce(1).write.parquet(out)
     written = sum(f.stat().st_size for f in (tmp_path / kind).glob("*.parquet"))
     assert written <= most * spark.read.parquet(out).count()
+
+
+def bytes_a_row(df, out):
+    df.coalesce(1).write.parquet(str(out))
+    return sum(f.stat().st_size for f in out.glob("*.parquet")) / df.count()
+
+
+WIDE = [(1, 2, 2), (31, 2, 1), (33, 3, 2), (65, 1, 3)]
+
+
+@pytest.mark.parametrize("n", WIDE)
+def test_adjacency_by_blocks_is_that_of_the_cells(spark, n):
+    assert rows(X.adjacency(spark, n)) == rows(T.adjacency(G.box_cells(spark, n)))
+
+
+def test_rows_of_adjacency_take_little_space_when_written(spark, tmp_path):
+    assert bytes_a_row(X.adjacency(spark, (250, 5, 250)), tmp_path / "out") < 3
