@@ -170,3 +170,14 @@ def test_adjacency_by_blocks_is_that_of_the_cells(spark, n):
 
 def test_rows_of_adjacency_take_little_space_when_written(spark, tmp_path):
     assert bytes_a_row(X.adjacency(spark, (250, 5, 250)), tmp_path / "out") < 3
+
+
+@pytest.mark.parametrize("n", [*SIZES, *WIDE])
+def test_span_by_blocks_is_that_of_the_cells(spark, n):
+    assert rows(X.spans(spark, n)) == rows(T.span(G.box_cells(spark, n)))
+
+
+def test_rows_of_vertex_span_take_little_space_when_written(spark, tmp_path):
+    assert bytes_a_row(X.spans(spark, (250, 5, 250)), tmp_path / "out") < 2
+    n = (3000, 5, 3000)
+    assert X.spans(spark, n).rdd.getNumPartitions() * G.TASK_ROWS >= math.prod(n) * 20
