@@ -181,3 +181,19 @@ def test_rows_of_vertex_span_take_little_space_when_written(spark, tmp_path):
     assert bytes_a_row(X.spans(spark, (250, 5, 250)), tmp_path / "out") < 2
     n = (3000, 5, 3000)
     assert X.spans(spark, n).rdd.getNumPartitions() * G.TASK_ROWS >= math.prod(n) * 20
+
+
+def longest_method(df):
+    """Bytes of the longest generated method; above 8000 the JVM interprets it and never compiles it."""
+    plans = getattr(getattr(df.sparkSession._jvm.org.apache.spark.sql.execution.debug, "package$"), "MODULE$")
+    found = plans.codegenStringSeq(df._jdf.queryExecution().executedPlan())
+    return max(found.apply(i)._3().maxMethodCodeSize() for i in range(found.size()))
+
+
+@pytest.mark.parametrize("n", [*SIZES, *WIDE])
+def test_edges_of_cells_by_blocks_are_those_of_the_cells(spark, n):
+    assert rows(X.cell_edges(spark, n)) == rows(T.cell_edges(G.box_cells(spark, n)))
+
+
+def test_edges_of_cells_are_made_by_compiled_code(spark):
+    assert longest_method(catalog.queries()["box_cell_edges"](spark, DATA)) < 8000
