@@ -197,3 +197,12 @@ def test_edges_of_cells_by_blocks_are_those_of_the_cells(spark, n):
 
 def test_edges_of_cells_are_made_by_compiled_code(spark):
     assert longest_method(catalog.queries()["box_cell_edges"](spark, DATA)) < 8000
+
+
+@pytest.mark.parametrize("n", WIDE)
+def test_edges_by_blocks_are_those_of_the_cells(spark, n):
+    assert rows(X.edge_table(spark, n)) == rows(T.edge_table(G.box_cells(spark, n)))
+
+
+def test_edges_are_made_by_compiled_code(spark):
+    assert longest_method(catalog.queries()["shared_edges"](spark, DATA)) < 8000
