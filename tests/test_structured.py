@@ -206,3 +206,21 @@ def test_edges_by_blocks_are_those_of_the_cells(spark, n):
 
 def test_edges_are_made_by_compiled_code(spark):
     assert longest_method(catalog.queries()["shared_edges"](spark, DATA)) < 8000
+
+
+def test_slabs_of_components_meet_where_few_cells_do(spark, monkeypatch):
+    """Of components that one slab holds, no link is joined."""
+    from meshloom.plans.mesh import marked
+
+    n, seen, joined = (12, 5, 31), [], T.components
+    monkeypatch.setattr(T, "components", lambda ids, links: seen.append(links.count()) or joined(ids, links))
+    kept = G.box_cells(spark, n).where(marked(*X.place("cid", n)))
+    assert rows(X.component_sizes(spark, n, marked, 4 * n[0] * n[1])) == rows(T.component_sizes(kept))
+    assert seen[0] <= 2 * 8  # one component goes through all slabs
+
+
+@pytest.mark.parametrize("slabs", [1, 2, 4, 7])
+def test_slabs_of_any_depth_have_the_same_components(spark, slabs):
+    n = (5, 4, 13)
+    wanted = rows(T.component_sizes(G.box_cells(spark, n).where(keep(*X.place("cid", n)))))
+    assert rows(X.component_sizes(spark, n, keep, slabs * n[0] * n[1])) == wanted
