@@ -224,3 +224,8 @@ def test_slabs_of_any_depth_have_the_same_components(spark, slabs):
     n = (5, 4, 13)
     wanted = rows(T.component_sizes(G.box_cells(spark, n).where(keep(*X.place("cid", n)))))
     assert rows(X.component_sizes(spark, n, keep, slabs * n[0] * n[1])) == wanted
+
+
+def test_tasks_of_umbrella_step_have_bounded_rows(spark):
+    n = (3000, 5, 9000)
+    assert X.umbrella_step(spark, START, LENGTHS, n, lambda vid: F.lit(1.0)).rdd.getNumPartitions() * G.TASK_ROWS >= 3001 * 6 * 9001
