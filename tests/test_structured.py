@@ -229,3 +229,7 @@ def test_slabs_of_any_depth_have_the_same_components(spark, slabs):
 def test_tasks_of_umbrella_step_have_bounded_rows(spark):
     n = (3000, 5, 9000)
     assert X.umbrella_step(spark, START, LENGTHS, n, lambda vid: F.lit(1.0)).rdd.getNumPartitions() * G.TASK_ROWS >= 3001 * 6 * 9001
+
+
+def test_tasks_of_boundary_faces_have_bounded_rows(spark):
+    assert X.boundary_faces(spark, (20000, 1, 20000), sides=[3]).rdd.getNumPartitions() * G.TASK_ROWS >= 20000 * 20000
