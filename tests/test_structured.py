@@ -233,3 +233,8 @@ def test_tasks_of_umbrella_step_have_bounded_rows(spark):
 
 def test_tasks_of_boundary_faces_have_bounded_rows(spark):
     assert X.boundary_faces(spark, (20000, 1, 20000), sides=[3]).rdd.getNumPartitions() * G.TASK_ROWS >= 20000 * 20000
+
+
+def test_tasks_of_boundary_cells_have_bounded_rows(spark):
+    n = (3000, 5, 9000)
+    assert X.is_boundary_cell(spark, n).rdd.getNumPartitions() * G.TASK_ROWS >= math.prod(n)
