@@ -238,3 +238,9 @@ def test_tasks_of_boundary_faces_have_bounded_rows(spark):
 def test_tasks_of_boundary_cells_have_bounded_rows(spark):
     n = (3000, 5, 9000)
     assert X.is_boundary_cell(spark, n).rdd.getNumPartitions() * G.TASK_ROWS >= math.prod(n)
+
+
+def test_blocks_of_vertex_means_are_spread_by_their_number(spark):
+    some = spark.range(1).select((F.col("id") + 1).alias("cid"), F.lit(1.0).alias("value"))
+    plan = X.vertex_means(spark, some, (3000, 5, 9000))._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression" in plan
